@@ -52,10 +52,22 @@ class Rolling:
         np.cumsum(mixed * powers(BASE, n)[:n], out=self.sums[1:])
         self.back = powers(BASE_INV, n + 1)
 
+    def windows(self, k: int) -> np.ndarray:
+        """of() for all slices of k units."""
+        return mix64((self.sums[k:] - self.sums[:-k]) * self.back[: len(self.sums) - k] + np.uint64(k) * MIX_B)
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64) * MIX_B)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, after seeing to it that Python workers get few long texts at a time."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def batches(rows: Iterable[pa.RecordBatch], size_of: Callable = len) -> Iterator[list[dict]]:
     """Rows as dicts of columns, cut so that no piece has more than BATCH_CHARS unless a single row has."""
     for batch in rows:
@@ -85,7 +97,7 @@ def map_texts(docs: DataFrame, fn: Callable[[dict], dict], schema: str, keep: tu
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     cols = [F.col(c) for c in keep] + [F.col("text").cast("string").alias("text")]
-    return docs.select(*cols).mapInArrow(run, schema)
+    return bounded(docs.select(*cols)).mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

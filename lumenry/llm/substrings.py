@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BATCH_CHARS, batches, stored
+from .common import BATCH_CHARS, batches, bounded, stored
 from .shingles import ByteRolling
 from .suffixes import merged, minima, repeated_windows, slices_of
 
@@ -55,7 +55,7 @@ def anchors(raw: list[bytes], rules: Repeats) -> tuple[np.ndarray, ...]:
         return none, none, none, none, none
     roll = ByteRolling(data)
     at = np.arange(n - k + 1)
-    grams = roll.of(at, at + k)
+    grams = roll.windows(k)
     low = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
     best = (minima((grams & ~low) | at.astype(np.uint64), length - k + 1) & low).astype(np.int64)
     text = np.repeat(np.arange(len(raw)), sizes)[: len(best)]
@@ -100,7 +100,7 @@ def anchor_table(docs: DataFrame, rules: Repeats, whole: bool) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, rules: Repeats = Repeats()) -> DataFrame:
     """key (of a text), start and end of spans whose union is what is repeated."""
-    length = rules.length
+    length, docs = rules.length, bounded(docs)
     shared = anchor_table(docs, rules, False).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     members = stored(anchor_table(docs, rules, True).join(shared, "anchor"), "members")
     one = F.min(F.struct("key", "start", "end")).alias("rep")
@@ -108,7 +108,7 @@ def repeated_spans(docs: DataFrame, rules: Repeats = Repeats()) -> DataFrame:
     many = classes.where("n > 1").select("anchor", "digest")
     alike = members.join(many, ["anchor", "digest"]).select("key", "start", "end")
 
-    mixed = classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.sum(F.col("rep.end") - F.col("rep.start")).alias("size")).where("classes > 1")
+    mixed = classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.sum(F.col("rep.end") - F.col("rep.start")).alias("size"), F.min("n").alias("least")).where("classes > 1 and least = 1").drop("least")
     mixed = stored(mixed, "mixed")
     total = mixed.agg(F.sum("size")).first()[0] or 0
     if not total:
@@ -192,11 +192,11 @@ def _with_bytes(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return texts.join(wanted, "key").select("key", "text", "list").mapInArrow(run, schema).dropDuplicates(["anchor", "digest"])
 
 
-def _cut(raw: bytes, spans: list | None) -> tuple[bytes, int, int]:
+def _cut(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[bytes, int, int]:
     """Remaining bytes, bytes removed, maximal removed runs."""
-    if not spans:
+    if not len(start):
         return raw, 0, 0
-    start, end = merged(np.array([s["start"] for s in spans], np.int64), np.array([s["end"] for s in spans], np.int64))
+    start, end = merged(start, end)
     kept, at = [], 0
     for a, b in zip(start.tolist(), end.tolist(), strict=True):
         kept.append(raw[at:a])
@@ -204,8 +204,16 @@ def _cut(raw: bytes, spans: list | None) -> tuple[bytes, int, int]:
     return b"".join([*kept, raw[at:]]), int((end - start).sum()), len(start)
 
 
+def _lists(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Starts and ends of each row's spans, without an object a span."""
+    at, flat = column.offsets.to_numpy(), column.values
+    start, end = flat.field("start").to_numpy().astype(np.int64), flat.field("end").to_numpy().astype(np.int64)
+    return [(start[a:b], end[a:b]) for a, b in zip(at, at[1:], strict=False)]
+
+
 def _with_spans(docs: DataFrame, rules: Repeats) -> DataFrame:
     spans = repeated_spans(docs, rules).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    docs = bounded(docs)
     return docs.withColumn("__key", text_key(F.col("text").cast("string"))).join(spans.withColumnRenamed("key", "__key"), "__key", "left").drop("__key").withColumnRenamed("spans", "__spans")
 
 
@@ -213,13 +221,14 @@ def substring_dedup(docs: DataFrame, rules: Repeats = Repeats()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row of docs(doc_id, text)."""
 
     def run(rows):
-        for piece in batches(rows):
-            raw = _bytes_of(piece["text"])
-            got = [_cut(r, s) for r, s in zip(raw, piece["__spans"], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(piece["doc_id"], pa.int64()), pa.array([len(r) for r in raw], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([hashlib.sha256(g[0]).hexdigest() for g in got], pa.string())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-            )
+        for batch in rows:
+            out = []
+            for text, (start, end) in zip(batch.column("text"), _lists(batch.column("__spans")), strict=True):
+                raw = (text.as_py() or "").encode()
+                kept, removed, runs = _cut(raw, start, end)
+                out.append((len(raw), removed, runs, hashlib.sha256(kept).hexdigest()))
+            columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     return _with_spans(base, rules).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -234,8 +243,8 @@ def remove_repeats(docs: DataFrame, rules: Repeats = Repeats()) -> DataFrame:
     def run(rows):
         for batch in rows:
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            texts, spans = columns["text"].to_pylist(), columns["__spans"].to_pylist()
-            clean = [t if not s else _cut(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)]
+            texts, spans = columns["text"].to_pylist(), _lists(columns["__spans"])
+            clean = [t if not len(a) else _cut(t.encode(), a, b)[0].decode("utf-8", "ignore") for t, (a, b) in zip(texts, spans, strict=True)]
             columns["text"] = pa.array(clean, columns["text"].type)
             if "n_chars" in names:
                 counts = [n if a is b else len(b) for n, a, b in zip(columns["n_chars"].to_pylist(), texts, clean, strict=True)]

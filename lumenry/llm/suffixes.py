@@ -16,12 +16,15 @@ def suffix_array(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     """
     n = len(data)
     end = np.repeat(bounds[1:], np.diff(bounds))
-    symbols = np.concatenate((data.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)))
-    key = np.zeros(n, np.uint64)
     at = np.arange(n)
+    # seven symbols of nine bits: a byte plus one, or zero from the slice's end on
+    left = np.minimum(end - at, 7)
+    wide = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64) + np.uint64(1)
+    key = np.zeros(n, np.uint64)
     for j in range(7):
-        key = (key << np.uint64(9)) | np.where(at + j < end, symbols[at + j], np.uint64(0))
-    order = np.argsort(key, kind="stable")
+        key = (key << np.uint64(9)) | wide[j : j + n]
+    key &= ~((np.uint64(1) << (np.uint64(9) * (7 - left).astype(np.uint64))) - np.uint64(1))
+    order = np.argsort(key)
     ranked = key[order]
     head = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
     size = np.diff(np.append(head, n))
@@ -34,7 +37,7 @@ def suffix_array(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
         follow = np.where(after < end[todo], rank[np.minimum(after, n - 1)] + 1, 0)
         own = rank[todo]
         pair = own * (n + 1) + follow
-        sort = np.argsort(pair, kind="stable")
+        sort = np.argsort(pair)
         todo, own, pair = todo[sort], own[sort], pair[sort]
         group = np.concatenate(([True], own[1:] != own[:-1]))
         begin = np.flatnonzero(group)
@@ -44,7 +47,7 @@ def suffix_array(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
         rank[todo] = np.repeat(own[head] + inside[head], size)
         todo = todo[np.repeat(size > 1, size)]
         h *= 2
-    sa = np.lexsort((at, rank))
+    sa = np.argsort(rank * n + at) if len(todo) else np.argsort(rank)
     place = np.empty(n, np.int64)
     place[sa] = at
     return sa, place
