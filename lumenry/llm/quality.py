@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import BASE, Rolling, map_texts, mix64
+from .common import Rolling, bounded, map_texts, mix64
 
 SYMBOLS = "#*$%&|<>"
 SCHEMA = (
@@ -150,4 +150,4 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
                     begin, held = i + 1, 0
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

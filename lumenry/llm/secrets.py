@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import bounded, map_texts
 
 # The rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -235,4 +235,4 @@ def redact_secrets(docs: DataFrame, training: Training = Training()) -> DataFram
                 columns["n_chars"] = pa.array(counts, batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
