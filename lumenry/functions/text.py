@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -109,11 +110,15 @@ def contains_all(have: Column, want: Column) -> Column:
     return F.size(F.array_except(want, have)) == 0
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) where use names its argument inside lambdas: bound to a variable, it is computed once and not for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def ngrams(words: Column, n: int) -> Column:
     """Distinct runs of n words as strings; none of a shorter text."""
-    last = F.size(words) - n + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")))
+    starts = lambda w: F.when(F.size(w) >= n, F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return once(words, lambda w: F.array_distinct(F.transform(starts(w), lambda i: F.array_join(F.slice(w, i, n), " "))))
 
 
 def shares_run(a: Column, b: Column, n: int = 6) -> Column:

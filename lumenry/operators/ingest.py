@@ -46,19 +46,6 @@ def percentiles(df: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.9
 
     Values are counted first, so what is ordered is one row a distinct value and not one a row.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    n = F.sum("c")
-    ordered = counts.agg(n.alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.array_sort(F.collect_list(F.struct("v", "c"))).alias("all"))
-    running = F.aggregate("all", F.array().cast("array<struct<v:bigint,upto:bigint>>"), lambda s, x: F.concat(s, F.array(F.struct(x.v.cast("long").alias("v"), (x.c + F.coalesce(F.element_at(s, -1)["upto"], F.lit(0))).cast("long").alias("upto")))))
-    if len(shares) == 0:
-        return ordered.select("min", "max")
-    place = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
-    pick = lambda p: F.coalesce(F.element_at(F.filter(running, lambda x: x.upto > place(p)), 1)["v"], F.lit(0))
-    return ordered.select(F.coalesce("min", F.lit(0)).alias("min"), *[pick(p).alias(f"p{round(p * 100)}") for p in shares], F.coalesce("max", F.lit(0)).alias("max"))
-
-
-def percentiles_by_rank(df: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
-    """The same figures over running counts of distinct values; for value ranges too wide for one row."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("long").alias("v")).agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     total = counts.agg(F.sum("c").alias("n"))

@@ -17,11 +17,12 @@ def matches_with_places(text: Column, pattern: str) -> Column:
 
     A split on the same pattern gives what lies between matches, so places are running sums of lengths.
     """
-    raw = T.found(text, pattern)
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    lengths = F.transform(raw, F.length)
-    before = lambda i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda s, x: s + x) + F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda s, x: s + x)
-    return F.transform(raw, lambda r, i: F.struct(r.alias("raw"), before(i).alias("start")))
+    def placed(both: Column) -> Column:
+        raw, gaps = both["raw"], both["gaps"]
+        total = lambda values: F.aggregate(values, F.lit(0), lambda s, x: s + F.length(x))
+        return F.transform(raw, lambda r, i: F.struct(r.alias("raw"), (total(F.slice(gaps, 1, i + 1)) + total(F.slice(raw, 1, i))).alias("start")))
+
+    return T.once(F.struct(T.found(text, pattern).alias("raw"), F.split(text, pattern, -1).alias("gaps")), placed)
 
 
 def court_citation_key(raw: Column) -> Column:
@@ -36,7 +37,7 @@ def court_citation_key(raw: Column) -> Column:
 def court_citations(text: Column) -> Column:
     """Both reporters' citations in order of place, with keys."""
     both = F.concat(matches_with_places(text, AIR_CITATION), matches_with_places(text, SCC_CITATION))
-    keyed = F.transform(both, lambda m: F.struct(m.start.alias("start"), m.raw.alias("raw"), court_citation_key(m.raw).alias("key")))
+    keyed = F.transform(both, lambda m: F.struct(m["start"].alias("start"), m["raw"].alias("raw"), court_citation_key(m["raw"]).alias("key")))
     return F.array_sort(keyed)
 
 
@@ -56,8 +57,9 @@ def mentions(docs: DataFrame, id: str = "id", text: str = "text", patterns: Patt
     if patterns.citation == AIR_CITATION:
         listed = court_citations(F.col(text))
     else:
-        listed = F.transform(matches_with_places(F.col(text), patterns.citation), lambda m: F.struct(m.start.alias("start"), m.raw.alias("raw"), m.raw.alias("key")))
-    rows = docs.select(F.col(id).alias("source_doc_id"), F.col(text).alias("text"), F.explode(listed).alias("m"))
+        listed = F.transform(matches_with_places(F.col(text), patterns.citation), lambda m: F.struct(m["start"].alias("start"), m["raw"].alias("raw"), m["raw"].alias("key")))
+    found = docs.select(F.col(id).alias("source_doc_id"), F.col(text).alias("text"), listed.alias("listed"))
+    rows = found.select("source_doc_id", "text", F.explode("listed").alias("m"))
     place, raw = F.col("m.start"), F.col("m.raw")
     return rows.select(
         F.col("m.key").alias("citation_key"), "source_doc_id", treatment(around(F.col("text"), place, raw, WINDOW), patterns).alias("treatment"),

@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
-
-RAW = StructType.fromDDL("Doc_url string, Text string, Titles string, Court_Name_Normalized string, Court_Type string, Case_Type string, Cites long, Cited_by long")
-METADATA = "struct<title:string,court:string,court_type:string,case_types:array<string>,cites:bigint,cited_by:bigint,url:string>"
-DOCUMENT = StructType.fromDDL(f"id string, text string, metadata {METADATA}, seq long")
-CHUNK = StructType.fromDDL(f"id string, doc_id string, idx int, text string, metadata {METADATA}")
-VECTOR = StructType.fromDDL("chunk_id string, embedding array<float>")
-RESULT = StructType.fromDDL(f"query_id string, rank int, score double, chunk_id string, doc_id string, text string, metadata {METADATA}, score_type string")
-LABEL = StructType.fromDDL("query string, relevant_chunk_ids array<string>, kind string, note string")
-MENTION = StructType.fromDDL("citation_key string, source_doc_id string, treatment string, raw string, snippet string")
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
+
+_STR, _LONG, _INT, _DOUBLE, _BOOL = StringType(), LongType(), IntegerType(), DoubleType(), BooleanType()
+
+
+def _struct(**fields: DataType) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in fields.items()])
+
+
+RAW = _struct(Doc_url=_STR, Text=_STR, Titles=_STR, Court_Name_Normalized=_STR, Court_Type=_STR, Case_Type=_STR, Cites=_LONG, Cited_by=_LONG)
+METADATA = _struct(title=_STR, court=_STR, court_type=_STR, case_types=ArrayType(_STR), cites=_LONG, cited_by=_LONG, url=_STR)
+DOCUMENT = _struct(id=_STR, text=_STR, metadata=METADATA, seq=_LONG)
+CHUNK = _struct(id=_STR, doc_id=_STR, idx=_INT, text=_STR, metadata=METADATA)
+VECTOR = _struct(chunk_id=_STR, embedding=ArrayType(FloatType()))
+RESULT = _struct(query_id=_STR, rank=_INT, score=_DOUBLE, chunk_id=_STR, doc_id=_STR, text=_STR, metadata=METADATA, score_type=_STR)
+LABEL = _struct(query=_STR, relevant_chunk_ids=ArrayType(_STR), kind=_STR, note=_STR)
+MENTION = _struct(citation_key=_STR, source_doc_id=_STR, treatment=_STR, raw=_STR, snippet=_STR)
 STRUCTURED_ANSWER = "refused boolean, claims array<struct<text:string,source_ids:array<int>>>"
-REQUEST_LOG = StructType.fromDDL(
-    "request_id string, ts string, client string, query string, route string, k int, refused boolean, cited array<int>, invalid array<int>, score_gap double, retriever_ms long, generation_ms long, error string"
-)
+REQUEST_LOG = _struct(
+    request_id=_STR, ts=_STR, client=_STR, query=_STR, route=_STR, k=_INT, refused=_BOOL, cited=ArrayType(_INT), invalid=ArrayType(_INT), score_gap=_DOUBLE, retriever_ms=_LONG, generation_ms=_LONG, error=_STR
+)
 SCORE_TYPES = ("cosine", "bm25", "rrf", "exact", "reranked")
 
 
