@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, media, ngram_join, packing, paragraphs, quality, secrets, substrings, tokens
+from . import bpe, licenses, media, ngram_join, oracles, packing, paragraphs, quality, secrets, substrings, tokens
 from .common import documents
 
 
@@ -69,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scans": op10_license_scans,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_ngram_join": oracles.NGRAM_JOIN, "op9_quality_rules": oracles.quality(quality.Rules())}
