@@ -4,9 +4,9 @@
    filtering holds for any one order, so the sketch only decides how few candidates there are, never which links.
 2. Of each distinct set, the prefix goes to an index: two sets that link share a shingle of both prefixes.
 3. Each shared shingle's members are tied to one pivot rather than to each other: a star of candidates. Pairs that
-   pass the length, positional and suffix filters are verified exactly, once each, and components follow.
-4. Where members of a shingle are still in different components, the remaining pairs are filtered in blocks and
-   verified; no link is lost. A second pass over components ends it.
+   pass the length, positional and suffix filters are verified exactly, and components follow.
+4. Where members of a shingle are still in different components, the remaining pairs are filtered and verified in
+   blocks; no link is lost, and no list of all pairs is made. A second pass over components ends it.
 
 The suffix filter counts each set's shingles by equal parts of the hash range: the sum of the lesser counts bounds
 the overlap. Shingles are 64-bit hashes; equal sets share a 64-bit key, so all copies of a text count as one set.
@@ -18,6 +18,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -25,7 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batches, stored
+from . import bloom
+from .common import batches, bounded, stored
 from .graph import connected_components
 from .shingles import part_counts, set_keys, shingle_hashes, shingle_sets
 
@@ -38,8 +40,8 @@ class Join:
 
     n: int = 4
     percent: int = 85
-    parts: int = 64
-    sketch_bits: int = 20
+    parts: int = 256
+    sketch_bits: int = 22
     block: int = 256
 
 
@@ -72,11 +74,14 @@ def rarity(docs: DataFrame, join: Join) -> np.ndarray:
         if total.any():
             part = TaskContext.get().partitionId()
             cut = total.reshape(SKETCH_SLICES, width)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([part] * SKETCH_SLICES, pa.int32()), pa.array([x.tobytes() for x in cut])], names=["slice", "part", "counts"])
+            packed = [zlib.compress(x.astype(np.int64).tobytes(), 1) for x in cut]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([part] * SKETCH_SLICES, pa.int32()), pa.array(packed)], names=["slice", "part", "counts"])
 
     def add(key, table):
-        total = sum(np.frombuffer(x, np.int64) for x in table["counts"].to_pylist())
-        return pa.table({"slice": table["slice"].slice(0, 1), "part": pa.array([0], pa.int32()), "counts": pa.array([total.tobytes()])})
+        total = np.zeros(width, np.int64)
+        for x in table["counts"].to_pylist():
+            total += np.frombuffer(zlib.decompress(x), np.int64)
+        return pa.table({"slice": table["slice"].slice(0, 1), "part": pa.array([0], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)])})
 
     found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, schema)
     # partial sums of 64 partitions each, then of those: no group grows with the corpus
@@ -84,7 +89,7 @@ def rarity(docs: DataFrame, join: Join) -> np.ndarray:
     whole = near.groupBy("slice").applyInArrow(add, schema)
     out = np.zeros((SKETCH_SLICES, width), np.int64)
     for row in whole.toLocalIterator():
-        out[row["slice"]] = np.frombuffer(row["counts"], np.int64)
+        out[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
     return np.minimum(out.reshape(-1), 2**31 - 1).astype(np.int32)
 
 
@@ -136,24 +141,18 @@ def link(index: DataFrame, fetch: Callable[[DataFrame], DataFrame], signatures:
     index: token, sid, size, place. fetch: ids (sid) to their sets (sid, items, sorted). signatures: ids (sid) to
     counts by parts (sid, sig).
     """
-    # pivots: the least member of each token that two or more sets share
-    ends = F.struct("sid", "size", "place")
-    shared = index.groupBy("token").agg(F.min(ends).alias("p"), F.max("sid").alias("top")).where(F.col("p.sid") != F.col("top")).select("token", "p")
-    members = stored(index.join(shared, "token").select("token", "sid", "size", "place", "p"), "members")
-    star = (
-        members.where(F.col("sid") != F.col("p.sid"))
-        .select(F.col("p.sid").alias("a"), F.col("p.size").alias("size_a"), F.col("p.place").alias("place_a"), F.col("sid").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
-        .where(_fits(percent))
-        .select("a", "b", "size_a", "size_b")
-        .distinct()
-    )
+    ends = index.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token")
+    members = stored(index.join(ends, "token").select("token", "sid", "size", "place"), "members")
     sigs = stored(signatures(members.select("sid").distinct()), "signatures")
-    first = verify(_suffix(stored(star, "star"), sigs, percent), fetch, percent)
-    first = stored(first, "links")
-    second = stored(_remaining(members, first, sigs, percent, block), "pairs")
-    if second.isEmpty():
-        return first
-    return first.union(verify(second, fetch, percent))
+    # a token's pivot is the set with the fewest rarer shingles, most likely what the others were copied from; each
+    # other set is tied to the one pivot that it shares most tokens with
+    pivots = members.groupBy("token").agg(F.min(F.struct("place", "sid", "size")).alias("q"))
+    pivots = stored(pivots.select("token", F.col("q.sid").alias("p"), F.col("q.size").alias("size_a"), F.col("q.place").alias("place_a")), "pivots")
+    star = members.join(pivots, "token").where("sid <> p").select(F.col("p").alias("a"), "size_a", "place_a", F.col("sid").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
+    often = star.where(_fits(percent)).groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("n"))
+    best = often.groupBy("b").agg(F.max(F.struct("n", "a", "size_a", "size_b")).alias("m")).select("m.a", "b", "m.size_a", "m.size_b")
+    links = stored(verify(_suffix(best, sigs, percent), fetch, percent), "links")
+    return links.union(_remaining(members, pivots, links, sigs, fetch, percent, block))
 
 
 def _suffix(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
@@ -167,66 +166,155 @@ def verify(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: i
     """Pairs (a, b) whose sets are similar enough, exactly; each pair is compared once."""
     pairs = stored(pairs.select("a", "b").distinct(), "candidates")
     need = stored(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct(), "needed")
-    sets = stored(fetch(need), "sets")
+    sets = fetch(need)
     both = pairs.join(sets.select(F.col("sid").alias("b"), F.col("items").alias("items_b")), "b").join(sets.select(F.col("sid").alias("a"), F.col("items").alias("items_a")), "a")
     common = F.size(F.array_intersect("items_a", "items_b"))
     return both.select("a", "b", common.alias("n"), (F.size("items_a") + F.size("items_b")).alias("m")).where((100 + percent) * F.col("n") >= percent * F.col("m")).select("a", "b")
 
 
-def _remaining(members: DataFrame, links: DataFrame, sigs: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs of tokens' members that are in different components so far and pass the filters."""
+WORK = "token long, other boolean, x int, y int, sid long, size int, component long, inner boolean, block int"
+
+
+def _enough(common: np.ndarray, a, b, percent: int) -> np.ndarray:
+    return common * (100 + percent) >= percent * (a + b)
+
+
+def _sides(key, t) -> tuple:
+    """Columns of one piece of work, and the rows that meet each other."""
+    sid, size, comp, where = (t[c].to_numpy() for c in ("sid", "size", "component", "block"))
+    inner = t["inner"].to_numpy(zero_copy_only=False)
+    other, x, y = (key[i].as_py() for i in (1, 2, 3))
+    left, right = (np.flatnonzero(where == x), np.flatnonzero(where == y)) if other else (np.flatnonzero(~inner), np.flatnonzero(inner))
+    return sid, size.astype(np.int64), comp.copy(), left, right
+
+
+def _remaining(members: DataFrame, pivots: DataFrame, links: DataFrame, sigs: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, block: int) -> DataFrame:
+    """Links among tokens' members that are in different components so far.
+
+    Of a token's members, those in its pivot's component need no pairs among each other. The others are dealt into
+    blocks; each meets blocks of the pivot's component, and each other, so that no task holds a whole group. Members
+    that could link by length and suffix filter in their piece of work are sent their sets and verified there; what
+    leaves a piece of work are links that join components, no more than its members.
+    """
     components = connected_components(links)
-    lit = members.join(components, members["sid"] == components["id"], "left").select("token", "sid", "size", F.col("p.sid").alias("pivot"), F.coalesce("component", "sid").alias("component"))
+    own = components.select(F.col("id").alias("sid"), "component")
+    root = components.select(F.col("id").alias("p"), F.col("component").alias("root"))
+    lit = members.join(pivots.select("token", "p"), "token").join(own, "sid", "left").join(root, "p", "left")
+    lit = lit.select("token", "sid", "size", F.coalesce("component", "sid").alias("component"), (F.coalesce("component", "sid") == F.coalesce("root", "p")).alias("inner")).dropDuplicates(["token", "sid"])
     # tokens of the same members are one group: the least such token stands for all
     pick = lambda seed: F.sum(F.xxhash64("sid", F.lit(seed)).cast("decimal(38,0)"))
-    groups = lit.groupBy("token").agg(F.count("*").alias("n"), pick(1).alias("h1"), pick(2).alias("h2"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    groups = groups.groupBy("n", "h1", "h2").agg(F.min("token").alias("token")).select("token", "n")
-    rows = lit.join(groups, "token").join(sigs, "sid").select("token", "sid", "size", "component", "pivot", "sig", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    # a group is cut into blocks by hash, and each pair of blocks is one piece of work
-    mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-
-    def pairs(key, t):
-        sid, size, comp, where = (t[c].to_numpy() for c in ("sid", "size", "component", "block"))
-        sig = np.stack(t["sig"].to_numpy(zero_copy_only=False)).astype(np.int32) if len(sid) else np.zeros((0, 1), np.int32)
-        pivot = t["pivot"].to_numpy()
-        x, y = int(key[1].as_py()), int(key[2].as_py())
-        left, right = np.flatnonzero(where == x), np.flatnonzero(where == y)
-        out_a, out_b = [], []
+    groups = lit.groupBy("token").agg(F.count_if("inner").alias("m"), F.count_if(~F.col("inner")).alias("o"), pick(1).alias("h1"), pick(2).alias("h2")).where("o > 0")
+    groups = groups.groupBy("m", "o", "h1", "h2").agg(F.min("token").alias("token"))
+    blocks = groups.select("token", F.ceil(F.col("m") / (4 * block)).cast("int").alias("ms"), F.ceil(F.col("o") / block).cast("int").alias("os"))
+    rows = lit.join(blocks, "token").join(sigs, "sid")
+    mine = F.pmod(F.xxhash64("sid"), F.when(F.col("inner"), F.col("ms")).otherwise(F.col("os"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
+    work = lambda other, x, y: F.struct(F.lit(other).alias("other"), x.cast("int").alias("x"), y.cast("int").alias("y"))
+    meets = F.transform(upto(F.col("ms")), lambda j: work(False, F.col("block"), j))
+    alike = F.transform(upto(F.col("os")), lambda j: work(True, F.least("block", j), F.greatest("block", j)))
+    tasks = F.when(F.col("inner"), F.transform(upto(F.col("os")), lambda i: work(False, i, F.col("block")))).otherwise(F.concat(meets, alike))
+    dealt = rows.withColumn("block", mine).select("token", "sid", "size", "component", "inner", "block", "sig", F.explode(tasks).alias("w"))
+    names = ["token", "other", "x", "y", "sid", "size", "component", "inner", "block"]
+    dealt = dealt.select("token", "w.other", "w.x", "w.y", *names[4:], "sig")
+
+    def possible(key, t):
+        """Members with a partner in another component that passes the filters."""
+        sid, size, comp, left, right = _sides(key, t)
+        sig = np.stack(t["sig"].to_numpy(zero_copy_only=False)).astype(np.int16 if size.max(initial=0) < 32768 else np.int32)
+        alive = np.zeros(len(sid), bool)
         for i in left:
-            js = right[(comp[right] != comp[i]) & (right > i if x == y else True)]
-            js = js[(100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])) & (sid[js] != pivot[js]) & (sid[i] != pivot[i])]
-            if len(js):
-                js = js[np.minimum(sig[js], sig[i]).sum(1, dtype=np.int64) * (100 + percent) >= percent * (size[js].astype(np.int64) + size[i])]
-                out_a += [np.full(len(js), sid[i])]
-                out_b += [sid[js]]
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}).group_by(["a", "b"]).aggregate([])
+            js = right[comp[right] != comp[i]]
+            js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
+            for at in range(0, len(js), 4096):
+                part = js[at : at + 4096]
+                part = part[_enough(np.minimum(sig[part], sig[i]).sum(1, dtype=np.int64), size[part], size[i], percent)]
+                alive[part] = True
+                alive[i] |= len(part) > 0
+        return t.filter(pa.array(alive)).select(names)
+
+    def verified(key, t):
+        """Links that join components, by exact overlaps: products of membership in tokens that two or more sets share."""
+        sid, size, comp, left, right = _sides(key, t)
+        items = t["items"].combine_chunks()
+        owner = np.repeat(np.arange(len(sid)), np.diff(items.offsets.to_numpy()))
+        kinds, token, counts = np.unique(items.values.to_numpy(), return_inverse=True, return_counts=True)
+        common = counts[token] > 1
+        owner, token = owner[common], (np.cumsum(counts > 1) - 1)[token[common]]
+        order = np.argsort(token, kind="stable")
+        owner, token = owner[order], token[order]
+        overlap = np.zeros((len(left), len(right)), np.float32)
+        width = 2048
+        for begin in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+            a, b = np.searchsorted(token, (begin, begin + width))
+            held = np.zeros((len(sid), width), np.float32)
+            held[owner[a:b], token[a:b] - begin] = 1
+            overlap += held[left] @ held[right].T
+        out = []
+        for n, i in enumerate(left):
+            js = np.flatnonzero((comp[right] != comp[i]) & _enough(overlap[n].astype(np.int64), size[right], size[i], percent))
+            _, lead = np.unique(comp[right[js]], return_index=True)
+            for j in right[js[lead]]:
+                out.append((min(sid[i], sid[j]), max(sid[i], sid[j])))
+                comp[comp == comp[j]] = comp[i]
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    keys = ["token", "other", "x", "y"]
+    alive = stored(dealt.groupBy(*keys).applyInArrow(possible, WORK), "alive")
+    if alive.isEmpty():
+        return links.limit(0)
+    sets = fetch(stored(alive.select("sid").distinct(), "needed"))
+    full = alive.join(sets, "sid").select(*names, "items")
+    return stored(full.groupBy(*keys).applyInArrow(verified, "a long, b long").distinct(), "more")
+
+
+def fetched(docs: DataFrame, wanted: DataFrame, sets_in: Callable[[dict], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """sid and items of the sets of wanted(sid, doc_id), read anew from docs; a few others may come along.
+
+    sets_in gives keys, items and bounds of all sets of a piece of docs. While the wanted ones fit a filter of fixed
+    size, texts are filtered where they are read and no text moves; beyond that they are joined.
+    """
+    wanted = stored(wanted, "wanted")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    if wanted.count() <= bloom.ROOM // 2:
+        keys = wanted.select(F.col("doc_id").alias("key"), F.lit(1).alias("salt")).union(wanted.select(F.col("sid").alias("key"), F.lit(2).alias("salt")))
+        held = docs.sparkSession.sparkContext.broadcast(bloom.build(keys))  # BITS / 8 bytes, whatever the corpus
+        chosen = None
+    else:
+        held = None
+        ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
+        chosen = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+
+    def run(rows):
+        for batch in rows:
+            small = batch if held is None else batch.filter(pa.array(bloom.holds(held.value, batch.column("doc_id"), 1)))
+            for piece in batches([small]):
+                keys, items, at = sets_in(piece)
+                listed = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(items.view(np.int64)))
+                out = pa.RecordBatch.from_arrays([pa.array(keys), listed], names=["sid", "items"])
+                yield out if held is None else out.filter(pa.array(bloom.holds(held.value, keys_column(keys), 2)))
 
-    return dealt.groupBy("token", "x", "y").applyInArrow(pairs, "a long, b long").distinct()
+    found = (texts if chosen is None else chosen).mapInArrow(run, "sid long, items array<long>")
+    # copies of a text give their set once each; one stays
+    return stored(found, "found").join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
+
+
+def keys_column(keys: np.ndarray) -> pa.Array:
+    return pa.array(keys, pa.int64())
 
 
 def ngram_join(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of docs(doc_id, text)."""
+    docs = bounded(docs)
     sets = stored(described(docs, rarity(docs, join), join), "doc_sets")
     reps = sets.where("size > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     index = sets.select("sid", "size", F.posexplode("tokens").alias("place", "token")).select("token", "sid", "size", "place")
 
+    def sets_in(piece: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, at = shingle_sets(_bytes_of(piece["text"]), join.n)
+        return set_keys(h, at).view(np.int64), h, at
+
     def fetch(need: DataFrame) -> DataFrame:
-        wanted = stored(reps.join(need, "sid", "left_semi"), "wanted")
-        texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").select("sid", "text")
-
-        def run(rows):
-            for piece in batches(rows):
-                h, at = shingle_sets(_bytes_of(piece["text"]), join.n)
-                items = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))
-                batch = pa.RecordBatch.from_arrays([pa.array(piece["sid"], pa.int64()), items], names=["sid", "items"])
-                # another text may have the same doc_id
-                yield batch.filter(pa.array(np.array(piece["sid"], np.int64) == set_keys(h, at).view(np.int64)))
-
-        return texts.mapInArrow(run, "sid long, items array<long>")
+        return fetched(docs, reps.join(need, "sid", "left_semi"), sets_in)
 
     def signatures(need: DataFrame) -> DataFrame:
         return sets.where(F.size("tokens") > 0).select("sid", "sig").join(need, "sid", "left_semi").dropDuplicates(["sid"])

@@ -19,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Rolling, batches, mix64, rows_of, stored
+from .common import Rolling, batches, bounded, mix64, rows_of, stored
 from .graph import connected_components
-from .ngram_join import link
+from .ngram_join import fetched, link
 from .shingles import part_counts, set_keys, word_hashes
 
 
@@ -32,7 +32,7 @@ class Paragraphs:
     min_words: int = 16
     recall: float = 0.999
     hashes: int = 16
-    parts: int = 16
+    parts: int = 32
     seed: int = 11
     block: int = 256
 
@@ -134,26 +134,18 @@ def paragraph_table(docs: DataFrame, rules: Paragraphs = Paragraphs()) -> DataFr
 
 def grouped_paragraphs(docs: DataFrame, rules: Paragraphs = Paragraphs()) -> DataFrame:
     """doc_id, no, first_line, last_line, pid, group_doc (the document that keeps the group's text; null: no copies), removed."""
+    docs = bounded(docs)
     table = stored(paragraph_table(docs, rules), "paragraphs")
     held = table.where(F.size("bands") > 0)
     index = held.select(F.explode("bands").alias("token"), F.col("pid").alias("sid"), "size", F.lit(0).alias("place"))
     reps = held.groupBy(F.col("pid").alias("sid")).agg(F.min("doc_id").alias("doc_id"))
 
+    def sets_in(piece: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, at = shingled(split(piece["text"], rules), rules.n)
+        return set_keys(h, at).view(np.int64), h, at
+
     def fetch(need: DataFrame) -> DataFrame:
-        wanted = stored(reps.join(need, "sid", "left_semi").groupBy(F.col("doc_id").alias("wanted_id")).agg(F.collect_list("sid").alias("sids")), "wanted")
-        texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-
-        def run(rows):
-            for piece in batches(rows):
-                p = split(piece["text"], rules)
-                h, at = shingled(p, rules.n)
-                keys, owner = set_keys(h, at).view(np.int64), p["text"][p["asked"]]
-                asked = [set(x) for x in piece["sids"]]
-                take = np.fromiter((k in asked[o] for k, o in zip(keys.tolist(), owner.tolist(), strict=True)), bool, len(keys))
-                items = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), items], names=["sid", "items"]).filter(pa.array(take))
-
-        return texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("text", "sids").mapInArrow(run, "sid long, items array<long>")
+        return fetched(docs, reps.join(need, "sid", "left_semi"), sets_in)
 
     def signatures(need: DataFrame) -> DataFrame:
         return held.select(F.col("pid").alias("sid"), "sig").join(need, "sid", "left_semi").dropDuplicates(["sid"])
