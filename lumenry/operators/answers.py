@@ -44,6 +44,17 @@ def prompts(queries: DataFrame, packed: DataFrame, remind: bool = True) -> DataF
     return joined.select("query_id", prompt.alias("prompt"), F.coalesce(F.size("b"), F.lit(0)).alias("n_sources"))
 
 
+def source_lines(results: DataFrame, warnings: DataFrame, patterns: PatternSet = LEGAL) -> DataFrame:
+    """results(query_id, rank, id, court, text) with a line for a reader: number, stance, court, text and what to beware of.
+
+    warnings: id, warning.
+    """
+    number = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    head = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] ("), T.stance_note(T.stance(F.col("text"), patterns)), F.lit(") "), F.coalesce("court", F.lit("unknown court")), F.lit(": "), "text")
+    lines = results.join(warnings, "id", "left").withColumn("n", number)
+    return lines.withColumn("line", F.concat(head, F.coalesce(F.concat(F.lit("\nCAUTION: "), "warning"), F.lit("")))).drop("warning")
+
+
 # A run of bracketed numbers of three digits at most, and the shortest span that is a claim.
 CITED_RUN = re.compile(r"(?:\[\s*\d{1,3}(?:\s*,\s*\d{1,3})*\s*\]\s*)+")
 SHORTEST = 15

@@ -60,6 +60,15 @@ def stratified_sample(df: DataFrame, by: str, id: str, n: int, seed: int = 0) ->
     return df.withColumn("draw", rank).where(F.col("draw") <= n)
 
 
+def probe_pool(df: DataFrame, positives: DataFrame, id: str, n: int, seed: int = 0) -> DataFrame:
+    """All positives and n other rows drawn by the digest of seed and id, with a flag."""
+    wanted = positives.select(id).distinct()
+    good = df.join(wanted, id, "left_semi").withColumn("positive", F.lit(True))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.col(id).cast("string")))
+    rest = df.join(wanted, id, "left_anti").withColumn("draw", key).orderBy("draw", id).limit(n).drop("draw").withColumn("positive", F.lit(False))
+    return good.unionByName(rest)
+
+
 def confusion(df: DataFrame, a: str, b: str) -> DataFrame:
     """a, b, n and the share of a's rows; one row a pair that occurs."""
     counts = df.groupBy(a, b).agg(F.count("*").alias("n"))

@@ -343,6 +343,17 @@ def treatment_warnings(spark, d):
     return treatment.warnings(rows, treatment.worst_treatment(treatment.mentions(rows, patterns=PLAIN)), patterns=PLAIN)
 
 
+@query(f"""with {MENTIONS_SQL}, w as (select citation_key, max(case treatment when 'overruled' then 3 when 'distinguished' then 2 when 'followed' then 1 else 0 end) as s from mentions group by 1),
+c as (select source_doc_id as id, string_agg(line, '; ' order by line) as warning from (select distinct source_doc_id, citation_key || ' was ' || case s when 3 then 'overruled' else 'distinguished' end as line from mentions join w using (citation_key) where s >= 2) group by 1),
+r as (select lang as query_id, doc_id as id, source, text, row_number() over (partition by lang order by doc_id) as n from documents)
+select id, md5('[' || n || '] (' || case {STANCE.format('text')} when 'both' then 'contains both a party''s submission and the court''s own reasoning' when 'holding' then 'the court''s own reasoning' when 'neither' then 'narrative or procedural, no stated position' else 'records a party''s submission, not the court''s finding' end || ') ' || source || ': ' || text || coalesce(chr(10) || 'CAUTION: ' || warning, '')) as digest from r left join c using (id)""")
+def source_lines(spark, d):
+    rows = docs(spark, d)
+    found = treatment.warnings(rows, treatment.worst_treatment(treatment.mentions(rows, patterns=PLAIN)), patterns=PLAIN)
+    listed = rows.select(F.col("lang").alias("query_id"), F.col("doc_id").alias("rank"), "id", F.col("source").alias("court"), "text")
+    return answers.source_lines(listed, found, PLAIN).select("id", F.md5("line").alias("digest"))
+
+
 # Evaluation.
 
 
@@ -392,6 +403,13 @@ def stratified_sample(spark, d):
     return evaluation.stratified_sample(docs(spark, d).select("lang", "doc_id"), "lang", "doc_id", 5, 7)
 
 
+@query("""with w as (select distinct doc_id from labels where quality = 0), r as (select doc_id from documents where doc_id not in (select doc_id from w) order by md5('3:' || doc_id), doc_id limit 50)
+select doc_id, true as positive from documents where doc_id in (select doc_id from w) union all select doc_id, false from r""")
+def probe_pool(spark, d):
+    bad = read(spark, d, "labels").where("quality = 0")
+    return evaluation.probe_pool(docs(spark, d).select("doc_id"), bad, "doc_id", 50, 3)
+
+
 @query("select lang, median(n_chars) as median_cited, round(avg(n_chars), 6) as mean_cited, round(avg((source = 'src0')::int), 6) as top_share from documents group by lang")
 def authority_profile(spark, d):
     return evaluation.authority_profile(docs(spark, d), "lang", "n_chars", F.col("source") == "src0")
