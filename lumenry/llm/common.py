@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows that a Python worker takes at once; long texts are further cut by bytes.
 BATCH_ROWS = 2048
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 1_500_000
 MIX_A, MIX_B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from .common import Rolling, bounded, map_texts, mix64
 
 SYMBOLS = "#*$%&|<>"
+PIECE = 1_000_000
 SCHEMA = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
     "base_failed boolean, kept boolean, dup_line_share double, ngram_shares array<double>"
@@ -129,9 +130,22 @@ def measure(texts: list[str | None], rules: Rules = Rules()) -> dict:
     }
 
 
+def measure_all(texts: list[str | None], rules: Rules = Rules()) -> dict:
+    """measure() over pieces of at most PIECE characters, or of one longer text; its arrays are many times their size."""
+    parts, begin, held = [], 0, 0
+    for i, text in enumerate(texts):
+        size = len(text or "") + 1
+        if i > begin and held + size > PIECE:
+            parts.append(measure(texts[begin:i], rules))
+            begin, held = i, 0
+        held += size
+    parts.append(measure(texts[begin:], rules))
+    return {k: [x for p in parts for x in p[k]] if k == "ngram_shares" else np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+
 def quality_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row of figures and a verdict for each row of docs(doc_id, text). Narrow: no shuffle."""
-    return map_texts(docs, lambda piece: measure(piece["text"], rules) | {"doc_id": piece["doc_id"]}, SCHEMA)
+    return map_texts(docs, lambda piece: measure_all(piece["text"], rules) | {"doc_id": piece["doc_id"]}, SCHEMA)
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -140,14 +154,7 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     def run(rows):
         for batch in rows:
-            texts = batch.column("text").to_pylist()
-            mask: list[bool] = []
-            begin = held = 0
-            for i, text in enumerate(texts):
-                held += len(text or "")
-                if held > 8_000_000 or i + 1 == len(texts):
-                    mask += measure(texts[begin : i + 1], rules)["kept"].tolist()
-                    begin, held = i + 1, 0
-            yield batch.filter(pa.array(mask, pa.bool_()))
+            if batch.num_rows:
+                yield batch.filter(pa.array(measure_all(batch.column("text").to_pylist(), rules)["kept"]))
 
     return bounded(docs).mapInArrow(run, docs.schema)
