@@ -41,7 +41,7 @@ class Join:
     n: int = 4
     percent: int = 85
     parts: int = 256
-    sketch_bits: int = 22
+    sketch_bits: int = 24
     block: int = 256
 
 
@@ -60,7 +60,10 @@ def _bytes_of(texts: list) -> list[bytes]:
 
 
 def rarity(docs: DataFrame, join: Join) -> np.ndarray:
-    """How often shingles stand in the corpus, by their hash's upper bits; of a fixed size whatever the corpus."""
+    """How often shingles stand in the corpus, by their hash's upper bits, in 255 steps of a logarithm.
+
+    Counts are over all texts; the table has 1 << sketch_bits bytes whatever the corpus.
+    """
     size, width = 1 << join.sketch_bits, (1 << join.sketch_bits) // SKETCH_SLICES
     shift = np.uint64(64 - join.sketch_bits)
     schema = "slice int, part int, counts binary"
@@ -68,29 +71,29 @@ def rarity(docs: DataFrame, join: Join) -> np.ndarray:
     def count(rows):
         from pyspark import TaskContext
 
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, np.uint32)
         for piece in batches(rows):
-            total += np.bincount((shingle_hashes(_bytes_of(piece["text"]), join.n)[0] >> shift).astype(np.int64), minlength=size)
+            at, n = np.unique((shingle_hashes(_bytes_of(piece["text"]), join.n)[0] >> shift).astype(np.int64), return_counts=True)
+            total[at] += n.astype(np.uint32)
         if total.any():
             part = TaskContext.get().partitionId()
-            cut = total.reshape(SKETCH_SLICES, width)
-            packed = [zlib.compress(x.astype(np.int64).tobytes(), 1) for x in cut]
+            packed = [zlib.compress(x.tobytes(), 1) for x in total.reshape(SKETCH_SLICES, width)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([part] * SKETCH_SLICES, pa.int32()), pa.array(packed)], names=["slice", "part", "counts"])
 
-    def add(key, table):
-        total = np.zeros(width, np.int64)
+    def add(table, last):
+        total = np.zeros(width, np.uint64)
         for x in table["counts"].to_pylist():
-            total += np.frombuffer(zlib.decompress(x), np.int64)
-        return pa.table({"slice": table["slice"].slice(0, 1), "part": pa.array([0], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)])})
+            total += np.frombuffer(zlib.decompress(x), np.uint32)
+        out = np.minimum(np.log2(total + 1.0) * 8, 255).astype(np.uint8) if last else np.minimum(total, 2**32 - 1).astype(np.uint32)
+        return pa.table({"slice": table["slice"].slice(0, 1), "part": pa.array([0], pa.int32()), "counts": pa.array([zlib.compress(out.tobytes(), 1)])})
 
     found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, schema)
     # partial sums of 64 partitions each, then of those: no group grows with the corpus
-    near = found.groupBy("slice", F.floor(F.col("part") / 64).alias("some")).applyInArrow(lambda key, t: add(key, t), schema)
-    whole = near.groupBy("slice").applyInArrow(add, schema)
-    out = np.zeros((SKETCH_SLICES, width), np.int64)
-    for row in whole.toLocalIterator():
-        out[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
-    return np.minimum(out.reshape(-1), 2**31 - 1).astype(np.int32)
+    near = found.groupBy("slice", F.floor(F.col("part") / 64).alias("some")).applyInArrow(lambda key, t: add(t, False), schema)
+    out = np.zeros((SKETCH_SLICES, width), np.uint8)
+    for row in near.groupBy("slice").applyInArrow(lambda t: add(t, True), schema).toLocalIterator():
+        out[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
+    return out.reshape(-1)
 
 
 def described(docs: DataFrame, counts: np.ndarray, join: Join) -> DataFrame:
@@ -99,7 +102,7 @@ def described(docs: DataFrame, counts: np.ndarray, join: Join) -> DataFrame:
     Of copies in one batch, only the first has tokens.
     """
     shift = np.uint64(64 - join.sketch_bits)
-    held = docs.sparkSession.sparkContext.broadcast(counts)  # of 4 << sketch_bits bytes, whatever the corpus
+    held = docs.sparkSession.sparkContext.broadcast(counts)  # 1 << sketch_bits bytes, whatever the corpus
 
     def lists(flat: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat, kind))
