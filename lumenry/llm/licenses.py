@@ -74,19 +74,17 @@ def _places(words: Column, phrase: str) -> Column:
     return F.when(asked & (last >= 0), F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: _stands(words, parts, i))).otherwise(F.array().cast("array<int>"))
 
 
-def scan_licenses(docs: DataFrame, templates: dict = TEMPLATES, top_words: int = 6, max_df: float = 0.2, least_score: float = 0.7) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict = TEMPLATES, top_words: int = 6, least_score: float = 0.7) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for each row of docs(doc_id, text)."""
     read = docs.select("doc_id", words_of(F.col("text").cast("string")).alias("words"))
     vocabulary = licence_words(templates)
     n, df = document_frequencies(read, vocabulary)
     idf = {w: math.log((n + 1) / (c + 1)) + 1e-3 for w, c in df.items()}
-    #: words in more than max_df of all documents say nothing; of few documents all words are kept
-    ranked = [w for w in sorted(vocabulary, key=lambda w: (-idf[w], w)) if df[w] <= max(max_df * n, 20)]
+    ranked = sorted(vocabulary, key=lambda w: (-idf[w], w))
     postings: dict[str, list[tuple[str, int]]] = defaultdict(list)
     for name, (text, _) in sorted(templates.items()):
         for at, w in enumerate(text.split()):
-            if w in ranked:
-                postings[name].append((w, at))
+            postings[name].append((w, at))
 
     none = F.array().cast("array<string>")
     rare = F.slice(F.array_intersect(F.array(*map(F.lit, ranked)), "words"), 1, top_words) if ranked else none

@@ -248,6 +248,13 @@ def test_licenses(spark, docs, empty):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_licenses_in_most_documents_keep_their_labels(spark):
+    notice = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
+    for n in (12, 60):
+        df = spark.createDataFrame([(i, f"file {i} {notice}" if i % 3 else f"plain text {i}") for i in range(n)], "doc_id long, text string")
+        assert [r["labels"] for r in licenses.scan_licenses(df).orderBy("doc_id").collect()] == ["bsd" if i % 3 else "" for i in range(n)]
+
+
 def want_words(i):
     return licenses.scan_texts([TEXTS[i]])[0][0]
 
