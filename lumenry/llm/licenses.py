@@ -1,10 +1,11 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
 The licence templates below are small and fixed, so their words, positions and key phrases are literals of the plan.
-One pass over the corpus counts in how many documents each licence word stands; that order, rarest first, tells each
-document's highest-IDF licence words. Their places propose where a template would have to begin (place less the
-word's place in the template); all proposals of a template are scored by the IDF of the template words that stand
-where they should, and a label needs a high score and every mandatory key phrase.
+One pass over the corpus counts in how many documents each licence word stands. Each template's words of highest IDF
+are its anchors, so many that a beginning at which none of them stands in place can't reach the score demanded. Their
+places propose where a template would have to begin (place less the word's place in the template); all proposals of a
+template are scored by the IDF of the template words that stand where they should, and a label needs a high score and
+every mandatory key phrase. Texts without a template's phrases aren't scored for it.
 
 Defined results: a null or empty text has no words, no places, null first_word and last_word, empty labels and score
 0; repeated rows are scanned each on its own; extra columns are ignored; an empty table gives an empty result.
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -46,7 +46,7 @@ def words_of(text: Column) -> Column:
 
 
 def licence_words(templates: dict = TEMPLATES) -> list[str]:
-    return sorted({w for text, _ in templates.values() for w in text.split()})
+    return sorted({w for text, phrases in templates.values() for part in (text, *phrases) for w in part.split()})
 
 
 def document_frequencies(words: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
@@ -64,53 +64,68 @@ def _stands(words: Column, phrase: list[str], at: Column) -> Column:
     return found
 
 
-def _places(words: Column, phrase: str) -> Column:
-    """Starts of a phrase, words from 0; texts without its rarest words aren't walked."""
+def _places(words: Column, phrase: str, held: Column | None = None) -> Column:
+    """Starts of a phrase, words from 0; texts without its rarest words (by held, their different words, if given) aren't walked."""
     parts = phrase.split()
     asked = F.lit(True)
     for w in sorted(parts, key=len, reverse=True):
-        asked = asked & F.array_contains(words, w)
+        asked = asked & F.array_contains(words if held is None else held, w)
     last = F.size(words) - len(parts)
     return F.when(asked & (last >= 0), F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: _stands(words, parts, i))).otherwise(F.array().cast("array<int>"))
 
 
-def scan_licenses(docs: DataFrame, templates: dict = TEMPLATES, top_words: int = 6, least_score: float = 0.7) -> DataFrame:
+def anchors(listed: list[tuple[str, int]], idf: dict[str, float], least_score: float) -> list[tuple[str, int]]:
+    """Places of the template's words of highest IDF, until the others together stay under the least score."""
+    whole, out, rest = sum(idf[w] for w, _ in listed), [], sum(idf[w] for w, _ in listed)
+    for w in sorted({w for w, _ in listed}, key=lambda w: (-idf[w], w)):
+        if rest < (least_score - 1e-9) * whole:
+            break
+        out += [x for x in listed if x[0] == w]
+        rest -= sum(idf[w] for x in listed if x[0] == w)
+    return out
+
+
+def scan_licenses(docs: DataFrame, templates: dict = TEMPLATES, least_score: float = 0.7) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for each row of docs(doc_id, text)."""
     read = docs.select("doc_id", words_of(F.col("text").cast("string")).alias("words"))
     vocabulary = licence_words(templates)
     n, df = document_frequencies(read, vocabulary)
     idf = {w: math.log((n + 1) / (c + 1)) + 1e-3 for w, c in df.items()}
-    ranked = sorted(vocabulary, key=lambda w: (-idf[w], w))
-    postings: dict[str, list[tuple[str, int]]] = defaultdict(list)
-    for name, (text, _) in sorted(templates.items()):
-        for at, w in enumerate(text.split()):
-            postings[name].append((w, at))
-
-    none = F.array().cast("array<string>")
-    rare = F.slice(F.array_intersect(F.array(*map(F.lit, ranked)), "words"), 1, top_words) if ranked else none
-    places = [_places(F.col("words"), p).alias(f"p{i}") for i, p in enumerate(BASE_PHRASES)]
-    one = read.select("doc_id", "words", rare.alias("rare"), *places)
+    postings = {name: [(w, at) for at, w in enumerate(text.split())] for name, (text, _) in templates.items()}
+    proposing = {name: anchors(listed, idf, least_score) for name, listed in postings.items()}
+    named = sorted(templates)
+
+    words, held = F.col("words"), F.col("held")
+    places = [_places(words, p).alias(f"p{i}") for i, p in enumerate(BASE_PHRASES)]
+    one = read.select("doc_id", "words", F.array_intersect(F.array(*map(F.lit, vocabulary)), "words").alias("held"), *places)
+
+    def verified(name: str) -> Column:
+        found = F.lit(True)
+        for phrase in templates[name][1]:
+            found = found & (F.size(_places(words, phrase, held)) > 0)
+        return found
+
+    #: of the templates whose mandatory phrases stand in the text, the anchors that do
+    two = one.withColumn("asked", F.filter(F.array(*(F.when(verified(t), F.lit(t)) for t in named)), lambda x: x.isNotNull()))
+    proposed = F.array_distinct(F.flatten(F.transform("asked", lambda t: F.element_at(F.create_map(*(x for t in named for x in (F.lit(t), F.array(*(F.lit(w) for w in sorted({w for w, _ in proposing[t]})))))), t))))
+    rare = F.when(F.size("asked") > 0, F.array_intersect(proposed, "held")).otherwise(F.array().cast("array<string>"))
+    two = two.withColumn("rare", rare)
     spots = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda s: F.array_contains("rare", s.w))
-    two = one.withColumn("spots", F.when(F.size("rare") > 0, spots).otherwise(F.array().cast("array<struct<i:int,w:string>>")))
+    two = two.withColumn("spots", F.when(F.size("rare") > 0, spots).otherwise(F.array().cast("array<struct<i:int,w:string>>")))
 
     def score(name: str) -> Column:
         """The best share of the template's IDF that stands in place, over all proposed beginnings."""
-        listed = postings[name]
-        whole = sum(idf[w] for w, _ in listed)
-        table = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(at).alias("at")) for w, at in listed))
+        whole = sum(idf[w] for w, _ in postings[name])
+        table = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(at).alias("at")) for w, at in proposing[name]))
         begins = F.array_distinct(F.flatten(F.transform("spots", lambda s: F.transform(F.filter(table, lambda p: p.w == s.w), lambda p: s.i - p["at"]))))
-        weigh = lambda o: sum((F.when(F.coalesce(F.when(o + at >= 0, F.get(F.col("words"), F.greatest(o + at, F.lit(0)))) == w, F.lit(False)), idf[w]).otherwise(0.0) for w, at in listed), F.lit(0.0)) / whole
+        weights = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(at).alias("at"), F.lit(float(idf[w])).alias("idf")) for w, at in postings[name]))
+        stands = lambda o, p: F.coalesce(F.when(o + p["at"] >= 0, F.get(words, F.greatest(o + p["at"], F.lit(0)))) == p.w, F.lit(False))
+        weigh = lambda o: F.aggregate(weights, F.lit(0.0), lambda held, p: held + F.when(stands(o, p), p.idf).otherwise(0.0)) / whole
         return F.coalesce(F.array_max(F.transform(begins, weigh)), F.lit(0.0))
 
-    named = [t for t in sorted(templates) if postings[t]]
-    scores = [F.when(F.size("spots") > 0, score(t)).otherwise(0.0).alias(f"s_{i}") for i, t in enumerate(named)]
+    scores = [F.when(F.array_contains("asked", t), score(t)).otherwise(0.0).alias(f"s_{i}") for i, t in enumerate(named)]
     three = two.select("doc_id", "words", *[f"p{i}" for i in range(len(places))], *scores)
-    accepted = []
-    for i, t in enumerate(named):
-        verified = F.lit(True)
-        for phrase in templates[t][1]:
-            verified = verified & (F.size(_places(F.col("words"), phrase)) > 0)
-        accepted.append(F.when(F.col(f"s_{i}") >= least_score, F.when(verified, F.struct(F.lit(t).alias("label"), F.least(F.col(f"s_{i}"), F.lit(1.0)).alias("score")))))
+    accepted = [F.when(F.col(f"s_{i}") >= least_score, F.struct(F.lit(t).alias("label"), F.least(F.col(f"s_{i}"), F.lit(1.0)).alias("score"))) for i, t in enumerate(named)]
     by_method = F.filter(F.array(*accepted), lambda x: x.isNotNull()) if accepted else F.array().cast("array<struct<label:string,score:double>>")
     by_base = F.array_distinct(F.filter(F.array(*(F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(BASE_PHRASES.values()))), lambda x: x.isNotNull()))
     four = three.select(

@@ -255,6 +255,13 @@ def test_licenses_in_most_documents_keep_their_labels(spark):
         assert [r["labels"] for r in licenses.scan_licenses(df).orderBy("doc_id").collect()] == ["bsd" if i % 3 else "" for i in range(n)]
 
 
+def test_every_licence_of_a_text_is_found(spark):
+    notices = {k: text for k, (text, _) in licenses.TEMPLATES.items() if k != "cc-by-nc"}
+    rows = [(0, " ... ".join(notices.values())), (1, "fee hereby lesser mozilla redistribution unencumbered. " + notices["isc"])] + [(i, "plain text") for i in range(2, 9)]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == (",".join(sorted(notices)), 1.0) and got[1] == ("isc", 1.0) and got[2] == ("", 0.0)
+
+
 def want_words(i):
     return licenses.scan_texts([TEXTS[i]])[0][0]
 
