@@ -1,10 +1,12 @@
 """Substring dedup by paragraphs: MinHash banding, exact verification, removal by components.
 
-A paragraph is a line of `min_words` words or more, or a run of shorter lines. One that stays shorter than that is
-only considered where it is all of its document, so that short lines which many documents share stay. Paragraphs are
-sets of five-word shingles of lower-cased words; bands are tuned so that a pair at the threshold is found with the
-demanded recall; pairs that collide in a band are verified by exact Jaccard similarity; of each component of equal or
-similar paragraphs the first one by (doc_id, place) stays and the others are removed.
+Every line with words is a paragraph. Lines of under `min_words` words that follow each other, up to a blank line, are
+one more, and so are the pieces that such a run is cut into by content: before each word whose hash is the least among
+`reach` words to both sides, so that a passage is cut alike wherever it stands and however it is wrapped. Paragraphs
+may thus overlap; what any removed one holds goes. They are sets of five-word shingles of lower-cased words (of fewer
+words: all as one); bands are tuned so that a pair at the threshold is found with the demanded recall; pairs that
+collide in a band are verified by exact Jaccard similarity; of each component of equal or similar paragraphs the first
+one by (doc_id, place) stays and the others are removed.
 
 Equal paragraphs share a 64-bit key and count as one set. Defined results: a null or empty text has no paragraphs;
 rows of one doc_id are parts of one document in the result, and repeat each other; extra columns are ignored; an
@@ -13,6 +15,7 @@ empty table gives an empty result; ties are broken by (doc_id, place), nulls fir
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +33,7 @@ class Paragraphs:
     n: int = 5
     percent: int = 80
     min_words: int = 16
+    reach: int = 8
     recall: float = 0.999
     hashes: int = 16
     parts: int = 32
@@ -47,32 +51,57 @@ def tune(threshold: float, recall: float, hashes: int) -> tuple[int, int]:
     return 1, 1
 
 
+def cuts(words: np.ndarray, run: np.ndarray, reach: int) -> np.ndarray:
+    """Whether a piece begins at each word: at least `reach` words from both ends of its run (-1: in none), and least by hash there."""
+    n = len(words)
+    value = words.copy()
+    value[:-1] += words[1:] * np.uint64(3)
+    value = mix64(value)
+    out = run >= 0
+    for k in range(1, reach + 1):
+        far = np.zeros(n, bool)
+        far[k:] = (run[k:] == run[:-k]) & (value[k:] < value[:-k])
+        out &= far
+        far = np.zeros(n, bool)
+        far[:-k] = (run[:-k] == run[k:]) & (value[:-k] <= value[k:])
+        out &= far
+    return out
+
+
 def split(texts: list[str | None], rules: Paragraphs) -> dict[str, np.ndarray]:
-    """Paragraphs with words of all texts: text (its number), no, first_line, last_line, and bounds into words."""
+    """Paragraphs of all texts: text (its number), no, first_word, last_word (of the text), and bounds into words."""
     lines = [(t or "").split("\n") for t in texts]
     counts = np.fromiter(map(len, lines), np.int64, len(lines))
     words, at = word_hashes([x.encode() for ls in lines for x in ls]) if len(lines) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
     owner = np.repeat(np.arange(len(lines)), counts)
     size = np.diff(at)
-    long = size >= rules.min_words
-    begins = np.ones(len(owner), bool)
-    begins[1:] = long[1:] | long[:-1] | (owner[1:] != owner[:-1])
-    first = np.flatnonzero(begins)
-    last = np.append(first[1:], len(owner))
-    has = at[last] > at[first]
-    first, last = first[has], last[has]
-    text = owner[first]
+    short = (size > 0) & (size < rules.min_words)
+    begins = short.copy()
+    begins[1:] &= ~short[:-1] | (owner[1:] != owner[:-1])
+    run_of = np.where(short, np.cumsum(begins) - 1, -1)
+    run = np.repeat(run_of, size)
+    lead = np.flatnonzero(begins)
+    tail = lead + np.bincount(run_of[short], minlength=len(lead))
+    piece = cuts(words, run, rules.reach)
+    piece[at[lead]] = True
+    piece_start = np.flatnonzero(piece)
+    piece_end = np.append(piece_start[1:], len(words))
+    piece_end = np.minimum(piece_end, at[tail][run[piece_start]])
+    has = size > 0
+    start = np.concatenate((at[:-1][has], at[lead], piece_start))
+    end = np.concatenate((at[1:][has], at[tail], piece_end))
+    # by place, the longest first; a piece or run that is a line or a run counts once
+    bounds = np.unique(np.stack((start, -end), 1), axis=0) if len(start) else np.zeros((0, 2), np.int64)
+    start, end = bounds[:, 0], -bounds[:, 1]
+    base = at[np.concatenate(([0], np.cumsum(counts)))]
+    text = np.searchsorted(base, start, side="right") - 1
     no = np.arange(len(text)) - np.searchsorted(text, text)
-    base = np.concatenate(([0], np.cumsum(counts)))
-    start, end = at[first], at[last]
-    of_text = at[base[1:]] - at[base[:-1]]
-    asked = (end - start >= rules.min_words) | (end - start == of_text[text])
-    return {"words": words, "text": text, "no": no, "first_line": first - base[text], "last_line": last - base[text], "start": start, "end": end, "asked": asked}
+    return {"words": words, "text": text, "no": no, "first_word": start - base[text], "last_word": end - base[text], "start": start, "end": end}
 
 
 def shingled(p: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingles of each asked paragraph, and bounds."""
-    start, end = p["start"][p["asked"]], p["end"][p["asked"]]
+    """Sorted distinct shingles of each paragraph, and bounds."""
+    start, end = p["start"], p["end"]
     counts = end - start
     made = np.maximum(counts - n + 1, 1)
     begin = rows_of(start, made)
@@ -103,37 +132,33 @@ def band_keys(h: np.ndarray, at: np.ndarray, bands: int, rows: int, seed: int) -
 
 
 def paragraph_table(docs: DataFrame, rules: Paragraphs = Paragraphs()) -> DataFrame:
-    """doc_id, no, first_line, last_line, pid (0: not considered), size, sig and band keys of each paragraph."""
+    """doc_id, no, first_word, last_word, pid, size, sig and band keys of each paragraph."""
     bands, rows_a_band = tune(rules.percent / 100, rules.recall, rules.hashes)
 
     def run(rows):
         for piece in batches(rows):
             p = split(piece["text"], rules)
             h, at = shingled(p, rules.n)
-            asked, total = p["asked"], len(p["text"])
-            pid, size = np.zeros(total, np.int64), np.zeros(total, np.int32)
-            pid[asked] = set_keys(h, at).view(np.int64)
-            size[asked] = np.diff(at)
+            pid = set_keys(h, at).view(np.int64)
+            size = np.diff(at).astype(np.int32)
             _, lead = np.unique(pid, return_index=True)
-            first = np.zeros(total, bool)
-            first[lead] = True
-            first &= asked  # of copies in one batch, the first has bands
-            mine = first[asked]
-            keys = band_keys(h, at, bands, rows_a_band, rules.seed)[mine].view(np.int64)
-            sig = part_counts(h, at, rules.parts)[mine].astype(np.int32)
+            first = np.zeros(len(pid), bool)
+            first[lead] = True  # of copies in one batch, the first has bands
+            keys = band_keys(h, at, bands, rows_a_band, rules.seed)[first].view(np.int64)
+            sig = part_counts(h, at, rules.parts)[first].astype(np.int32)
             spread = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(first * x.shape[1]))).astype(np.int32)), pa.array(x.reshape(-1), kind))
             ids = np.array(piece["doc_id"], dtype=object)[p["text"]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(p["no"].astype(np.int32)), pa.array(p["first_line"].astype(np.int32)), pa.array(p["last_line"].astype(np.int32)), pa.array(pid), pa.array(size), spread(sig, pa.int32()), spread(keys, pa.int64())],
-                names=["doc_id", "no", "first_line", "last_line", "pid", "size", "sig", "bands"],
+                [pa.array(ids, pa.int64()), pa.array(p["no"].astype(np.int32)), pa.array(p["first_word"].astype(np.int32)), pa.array(p["last_word"].astype(np.int32)), pa.array(pid), pa.array(size), spread(sig, pa.int32()), spread(keys, pa.int64())],
+                names=["doc_id", "no", "first_word", "last_word", "pid", "size", "sig", "bands"],
             )
 
-    schema = "doc_id long, no int, first_line int, last_line int, pid long, size int, sig array<int>, bands array<long>"
+    schema = "doc_id long, no int, first_word int, last_word int, pid long, size int, sig array<int>, bands array<long>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def grouped_paragraphs(docs: DataFrame, rules: Paragraphs = Paragraphs()) -> DataFrame:
-    """doc_id, no, first_line, last_line, pid, group_doc (the document that keeps the group's text; null: no copies), removed."""
+    """doc_id, no, first_word, last_word, pid, group_doc (the document that keeps the group's text; null: no copies), removed."""
     docs = bounded(docs)
     table = stored(paragraph_table(docs, rules), "paragraphs")
     held = table.where(F.size("bands") > 0)
@@ -152,15 +177,15 @@ def grouped_paragraphs(docs: DataFrame, rules: Paragraphs = Paragraphs()) -> Dat
 
     components = connected_components(link(index, fetch, signatures, rules.percent, rules.block))
     # a paragraph's set is named by its component; sets without links name themselves
-    keys = table.where("pid <> 0").select("doc_id", "no", "pid")
+    keys = table.select("doc_id", "no", "pid")
     sets = keys.groupBy("pid").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "no")).alias("lead"))
     named = sets.join(components, sets["pid"] == components["id"], "left").select("pid", "n", "lead", F.coalesce("component", "pid").alias("component"))
     named = stored(named, "named")
     groups = named.groupBy("component").agg(F.sum("n").alias("n"), F.min("lead").alias("lead")).where("n > 1").select("component", "lead")
     lit = named.join(groups.withColumnRenamed("lead", "kept"), "component").select("pid", "kept")
-    copy = table.select("doc_id", "no", "first_line", "last_line", "pid").join(lit, "pid", "left")
+    copy = table.select("doc_id", "no", "first_word", "last_word", "pid").join(lit, "pid", "left")
     removed = F.col("kept").isNotNull() & ~F.struct("doc_id", "no").eqNullSafe(F.col("kept"))
-    return copy.select("doc_id", "no", "first_line", "last_line", "pid", F.col("kept.doc_id").alias("group_doc"), F.col("kept").isNotNull().alias("repeated"), removed.alias("removed"))
+    return copy.select("doc_id", "no", "first_word", "last_word", "pid", F.col("kept.doc_id").alias("group_doc"), F.col("kept").isNotNull().alias("repeated"), removed.alias("removed"))
 
 
 def paragraph_dedup(docs: DataFrame, rules: Paragraphs = Paragraphs()) -> DataFrame:
@@ -179,9 +204,28 @@ def paragraph_dedup(docs: DataFrame, rules: Paragraphs = Paragraphs()) -> DataFr
     return joined.select("doc_id", zero("n_paragraphs"), zero("n_repeated"), zero("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.coalesce("group_docs", F.array().cast("array<long>")).alias("group_docs"))
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without those of its words, and without the lines that lose all their words."""
+    out, at, gone = [], 0, {i for s, e in spans for i in range(s, e)}
+    for line in text.split("\n"):
+        found = [m.start() for m in WORD.finditer(line)]
+        hit = [at + i in gone for i in range(len(found))]
+        at += len(found)
+        if any(hit):
+            if all(hit):
+                continue
+            ends = [*found[1:], len(line)]
+            line = line[: found[0]] + "".join(line[s:e] for s, e, h in zip(found, ends, hit, strict=True) if not h)
+        out.append(line)
+    return "\n".join(out)
+
+
 def drop_paragraphs(docs: DataFrame, rules: Paragraphs = Paragraphs()) -> DataFrame:
-    """docs with its columns, without the lines of removed paragraphs; a document may be left empty."""
-    gone = grouped_paragraphs(docs, rules).where("removed").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("first_line", "last_line")).alias("__gone"))
+    """docs with its columns, without the words of removed paragraphs; a document may be left empty."""
+    gone = grouped_paragraphs(docs, rules).where("removed").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("first_word", "last_word")).alias("__gone"))
     names = docs.columns
 
     def run(rows):
@@ -189,8 +233,7 @@ def drop_paragraphs(docs: DataFrame, rules: Paragraphs = Paragraphs()) -> DataFr
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             clean = []
             for text, spans in zip(columns["text"].to_pylist(), columns["__gone"].to_pylist(), strict=True):
-                out = {i for s in spans or () for i in range(s["first_line"], s["last_line"])}
-                clean.append(text if not out else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in out))
+                clean.append(without(text, [(s["first_word"], s["last_word"]) for s in spans]) if spans else text)
             columns["text"] = pa.array(clean, columns["text"].type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 

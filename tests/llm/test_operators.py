@@ -125,6 +125,24 @@ def test_paragraphs(spark, docs, empty):
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= 16
 
 
+def test_paragraphs_of_short_lines(spark):
+    words = [f"p{i}" for i in range(60)]
+    own = lambda k, n=40: [f"d{k}w{i}" for i in range(n)]
+    wrap = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    long = lambda k: " ".join(own(k, 30))
+    rows = [
+        (0, f"{long(0)}\nread more about our six offers\n{long(1)}"), (1, f"{long(2)}\nread more about our six offers\n{long(3)}"),
+        (2, wrap(own(4) + words + own(5), 11)), (3, wrap(own(6, 37) + words + own(7), 9)), (4, wrap(own(8), 10) + "\n\nalpha beta\ngamma"), (5, wrap(own(9), 10) + "\n\nalpha beta\ngamma"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in paragraphs.paragraph_dedup(df).collect()}
+    assert got[0] == got[2] == got[4] == 0 and got[1] == 1 and got[3] > 0 and got[5] > 0
+    kept = {r["doc_id"]: r["text"] for r in paragraphs.drop_paragraphs(df).collect()}
+    assert kept[0] == rows[0][1] and kept[1] == f"{long(2)}\n{long(3)}" and kept[2] == rows[2][1] and kept[5] == wrap(own(9), 10) + "\n"
+    left = kept[3].split()
+    assert [w for w in left if w not in words] == own(6, 37) + own(7) and sum(w in words for w in left) < 30
+
+
 def test_packing(spark, docs, empty):
     rules = packing.Packing(buckets=3, budget=500, shard_rows=4)
     rows = packing.pack_documents(docs, rules).collect()
