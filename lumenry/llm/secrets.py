@@ -1,9 +1,11 @@
 """Secret scans: fixed rules, and a character convolutional network over every other candidate.
 
-Candidates are runs of 16 or more key characters with a letter and a digit. The network, written in numpy, sees the
-candidate and the characters around it; it is trained here on labelled findings that a seeded generator writes
+Candidates are runs of 16 or more key characters with a letter and a digit; other runs are none. Those that rules cover
+whole need no score. The network, written in numpy, sees the candidate and the characters around it; a long one also
+through a window that slides over it, and its best score counts. It is trained here on labelled findings that a seeded generator writes
 (`Training.examples` of them, the documented bound), its scores are calibrated on a held-out part, and the threshold
-is the highest one that keeps the demanded recall there. Spans that the network accepts are added as kind "net".
+is the highest one that keeps the demanded recall there. Spans that the network accepts are added as kind "net", also where they overlap
+spans of rules.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned each on its own; extra columns are
 ignored; an empty table gives an empty result. Offsets are code points, ends exclusive.
@@ -30,6 +32,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 KINDS = ("assign", "access", "hex", "net")
 SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, n_net bigint, base_sha256 string, spans string"
 BEFORE, INSIDE, AFTER = 24, 40, 16
+STEP = 10
 WIDTH = BEFORE + INSIDE + AFTER
 
 
@@ -48,6 +51,13 @@ def window(text: str, start: int, end: int) -> bytes:
     return shown.encode("latin-1", "replace")
 
 
+def views(text: str, start: int, end: int) -> list[bytes]:
+    """The candidate's window; of one longer than the network sees at once, also those of all its stretches by steps."""
+    last = end - INSIDE
+    slid = [*range(start, last, STEP), last] if last > start else []
+    return [window(text, start, end), *(window(text, s, s + INSIDE) for s in slid)]
+
+
 #: Classes of characters: 0 none, 1 other, then digits, letters and signs one by one.
 _SIGNS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-.:\"' \n"
 _CODES = np.ones(256, np.int64)
@@ -174,18 +184,29 @@ def _mixed(run: str) -> bool:
     return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
 
 
+def _covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
+    """Whether sorted spans leave nothing of start..end."""
+    for s, _, e in spans:
+        if s <= start:
+            start = max(start, e)
+    return start >= end
+
+
 def scan(texts: list[str | None], net: Net) -> list[list[tuple[int, int, int]]]:
-    """All spans of each text; every candidate that no rule covers is scored by the network, all of a batch at once."""
-    spans, asked, windows = [], [], []
+    """All spans of each text; every candidate that rules don't cover whole is scored by the network, all of a batch at once."""
+    spans, asked, begins, windows = [], [], [], []
     for i, text in enumerate(texts):
         text = text or ""
         spans.append(base_spans(text))
+        base = tuple(spans[i])
         for m in CANDIDATE.finditer(text):
-            if _mixed(m[0]) and not any(s < m.end() and m.start() < e for s, _, e in spans[i]):
+            if _mixed(m[0]) and not _covered(m.start(), m.end(), base):
                 asked.append((i, m.start(), m.end()))
-                windows.append(window(text, m.start(), m.end()))
+                begins.append(len(windows))
+                windows += views(text, m.start(), m.end())
     if asked:
-        for (i, s, e), p in zip(asked, net.score(encode(windows)), strict=True):
+        scores = np.concatenate([net.score(encode(windows[at : at + 4096])) for at in range(0, len(windows), 4096)])
+        for (i, s, e), p in zip(asked, np.maximum.reduceat(scores, begins), strict=True):
             if p >= net.threshold:
                 spans[i].append((s, 3, e))
     return [sorted(x) for x in spans]
