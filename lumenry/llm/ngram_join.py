@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bloom
 from .common import batches, bounded, stored
@@ -96,10 +96,15 @@ def rarity(docs: DataFrame, join: Join) -> np.ndarray:
     return out.reshape(-1)
 
 
-def described(docs: DataFrame, counts: np.ndarray, join: Join) -> DataFrame:
+def text_digest() -> Column:
+    """64 bits of a text; they need to differ only among rows of one doc_id."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def described(docs: DataFrame, counts: np.ndarray, join: Join, digests: bool = False) -> DataFrame:
     """doc_id, sid (the set's key), size, sig (counts by parts of the hash range) and the prefix's tokens, rarest first.
 
-    Of copies in one batch, only the first has tokens.
+    Of copies in one batch, only the first has tokens. With digests, also the text's.
     """
     shift = np.uint64(64 - join.sketch_bits)
     held = docs.sparkSession.sparkContext.broadcast(counts)  # 1 << sketch_bits bytes, whatever the corpus
@@ -120,12 +125,14 @@ def described(docs: DataFrame, counts: np.ndarray, join: Join) -> DataFrame:
             place = np.arange(len(h)) - np.repeat(at[:-1], sizes)
             tokens = h[order[place < taken[owner]]].view(np.int64)
             sig = part_counts(h, at, join.parts).astype(np.int32)
+            more = [pa.array(piece["digest"], pa.int64())] if digests else []
             yield pa.RecordBatch.from_arrays(
-                [pa.array(piece["doc_id"], pa.int64()), pa.array(keys.view(np.int64)), pa.array(sizes.astype(np.int32)), lists(sig.reshape(-1), np.full(len(sizes), join.parts), pa.int32()), lists(tokens, taken, pa.int64())],
-                names=["doc_id", "sid", "size", "sig", "tokens"],
+                [pa.array(piece["doc_id"], pa.int64()), pa.array(keys.view(np.int64)), pa.array(sizes.astype(np.int32)), lists(sig.reshape(-1), np.full(len(sizes), join.parts), pa.int32()), lists(tokens, taken, pa.int64()), *more],
+                names=["doc_id", "sid", "size", "sig", "tokens", *["digest"] * digests],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, sid long, size int, sig array<int>, tokens array<long>")
+    asked = [F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), *[text_digest().alias("digest")] * digests]
+    return docs.select(*asked).mapInArrow(run, "doc_id long, sid long, size int, sig array<int>, tokens array<long>" + ", digest long" * digests)
 
 
 def _fits(percent: int):
@@ -305,10 +312,10 @@ def keys_column(keys: np.ndarray) -> pa.Array:
     return pa.array(keys, pa.int64())
 
 
-def ngram_join(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of docs(doc_id, text)."""
+def named_rows(docs: DataFrame, join: Join, digests: bool = False) -> DataFrame:
+    """doc_id, size, sid and component (and digest) for each row of docs(doc_id, text)."""
     docs = bounded(docs)
-    sets = stored(described(docs, rarity(docs, join), join), "doc_sets")
+    sets = stored(described(docs, rarity(docs, join), join, digests), "doc_sets")
     reps = sets.where("size > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     index = sets.select("sid", "size", F.posexplode("tokens").alias("place", "token")).select("token", "sid", "size", "place")
 
@@ -324,13 +331,33 @@ def ngram_join(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
     links = link(index, fetch, signatures, join.percent, join.block)
     components = connected_components(links)
-    named = sets.join(components, sets["sid"] == components["id"], "left").select("doc_id", "size", "sid", F.coalesce("component", "sid").alias("component"))
-    named = stored(named, "named")
+    named = sets.join(components, sets["sid"] == components["id"], "left").select("doc_id", "size", "sid", F.coalesce("component", "sid").alias("component"), *["digest"] * digests)
+    return stored(named, "named")
+
+
+def ngram_join(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """doc_id, n_shingles and component_id for each row of docs(doc_id, text)."""
+    named = named_rows(docs, join)
     least = named.where("size > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "component", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """docs without the rows that another document's name stands for, with all their columns."""
-    gone = ngram_join(docs, join).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stored(gone, "gone"), "doc_id", "left_anti")
+    """docs with one row of each component, with all their columns; rows without shingles stay.
+
+    The row of the least doc_id stays, null last, then of the least digest of its text. Rows are told apart by both; of
+    rows that repeat both any one stays. Partial aggregation takes in copies where they are read, however many.
+    """
+    # rows of one doc_id and text in one component count as one
+    keys = named_rows(docs, join, True).where("size > 0").groupBy("component", "doc_id", "digest").agg(F.count("*").alias("n"))
+    keys = stored(keys.withColumn("rank", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")), "keys")
+    first = keys.groupBy("component").agg(F.min("rank").alias("first"))
+    ruled = keys.join(first, "component").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"), "n", (F.col("rank") == F.col("first")).alias("lead"))
+    ruled = stored(ruled.where("not lead or n > 1"), "gone")
+    again = stored(ruled.where("lead").drop("n", "lead"), "again")
+    marked = docs.withColumn("__digest", text_digest())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__of"))
+    kept = marked.join(ruled.select("__id", "__of"), same, "left_anti")
+    if not again.isEmpty():
+        kept = kept.union(marked.join(again, same, "left_semi").dropDuplicates(["doc_id", "__digest"]))
+    return kept.drop("__digest")

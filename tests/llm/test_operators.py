@@ -81,6 +81,14 @@ def test_ngram_join_of_many_near_copies(spark):
         assert got == sorted(brute_components(rows, 4, 85))
 
 
+def test_one_row_of_a_component_stays(spark):
+    text = lambda k: " ".join(f"k{k}w{i}" for i in range(60))
+    rows = [(1, text(1)), (1, text(1)), (1, text(1)), (None, text(1)), (None, text(1)), (2, text(2)), (3, text(2)), (3, text(3)), (None, text(4)), (None, text(4)), (None, text(5)), (4, ""), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in ngram_join.keep_one(df, ngram_join.Join(sketch_bits=10)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, text(1)), (2, text(2)), (3, text(3)), (None, text(4)), (None, text(5)), (4, ""), (4, "")]))
+
+
 @pytest.mark.parametrize("classes", [1, 2048])
 def test_substrings(spark, docs, empty, classes):
     rules = substrings.Repeats(shard_classes=classes)
