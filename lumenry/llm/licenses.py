@@ -21,20 +21,76 @@ from pyspark.sql import Column, DataFrame, functions as F
 # Phrases whose places are counted, and their labels.
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Notices as they stand in public files, and phrases without which a notice doesn't count.
-TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
-    "agpl-3": ("licensed under the gnu affero general public license version 3", ("affero general public license",)),
-    "apache-2": ("licensed under the apache license version 2 0", ("apache license",)),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", ("source and binary forms",)),
-    "cc-by": ("licensed under the creative commons attribution 4 0 international license", ("creative commons attribution",)),
-    "cc-by-nc": ("licensed under cc by nc 4 0", ("by nc",)),
-    "cc-by-sa": ("licensed under cc by sa 4 0", ("by sa",)),
-    "gpl": ("this work is licensed under the gnu general public license version 3", ("gnu general public license",)),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
-    "lgpl": ("licensed under the gnu lesser general public license version 3", ("lesser general public license",)),
-    "mit": ("released under the mit license", ("mit license",)),
-    "mpl-2": ("this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    "unlicense": ("this is free and unencumbered software released into the public domain", ("unencumbered software",)),
+# Notices as they stand in public files (permission notices, file headers, titles and short references),
+# and phrases without which a notice doesn't count. A label stands for any of its notices.
+TEMPLATES: dict[str, tuple[tuple[str, tuple[str, ...]], ...]] = {
+    "agpl-3": (
+        ("licensed under the gnu affero general public license version 3", ("affero general public license",)),
+        ("it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", ("gnu affero general public license",)),
+        ("spdx license identifier agpl 3 0", ("spdx license identifier agpl 3",)),
+    ),
+    "apache-2": (
+        ("licensed under the apache license version 2 0", ("apache license",)),
+        ("you may not use this file except in compliance with the license you may obtain a copy of the license at", ("this file except in compliance with the license",)),
+        ("under the apache license 2 0", ("apache license 2 0",)),
+        ("apache license version 2 0 january 2004", ("apache license version 2 0",)),
+        ("spdx license identifier apache 2 0", ("spdx license identifier apache 2",)),
+    ),
+    "bsd": (
+        ("redistribution and use in source and binary forms with or without modification are permitted", ("source and binary forms",)),
+        ("use of this source code is governed by a bsd style license", ("bsd style license",)),
+        ("licensed under the bsd license", ("bsd license",)),
+        ("spdx license identifier bsd", ("spdx license identifier bsd",)),
+    ),
+    "cc-by": (
+        ("licensed under the creative commons attribution 4 0 international license", ("creative commons attribution",)),
+        ("licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
+        ("licensed under cc by 4 0", ("cc by 4 0",)),
+        ("spdx license identifier cc by 4 0", ("spdx license identifier cc by 4 0",)),
+    ),
+    "cc-by-nc": (
+        ("licensed under cc by nc 4 0", ("by nc",)),
+        ("licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
+        ("licensed under the creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
+        ("spdx license identifier cc by nc 4 0", ("spdx license identifier cc by nc",)),
+    ),
+    "cc-by-sa": (
+        ("licensed under cc by sa 4 0", ("by sa",)),
+        ("licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
+        ("licensed under the creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
+        ("spdx license identifier cc by sa 4 0", ("spdx license identifier cc by sa",)),
+    ),
+    "gpl": (
+        ("this work is licensed under the gnu general public license version 3", ("gnu general public license",)),
+        ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license",)),
+        ("licensed under the gnu general public license", ("under the gnu general public license",)),
+        ("spdx license identifier gpl", ("spdx license identifier gpl",)),
+    ),
+    "isc": (
+        ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
+        ("licensed under the isc license", ("isc license",)),
+        ("spdx license identifier isc", ("spdx license identifier isc",)),
+    ),
+    "lgpl": (
+        ("licensed under the gnu lesser general public license version 3", ("lesser general public license",)),
+        ("you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license",)),
+        ("spdx license identifier lgpl", ("spdx license identifier lgpl",)),
+    ),
+    "mit": (
+        ("released under the mit license", ("mit license",)),
+        ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("granted free of charge", "in the software without restriction")),
+        ("licensed under the mit license", ("mit license",)),
+        ("spdx license identifier mit", ("spdx license identifier mit",)),
+    ),
+    "mpl-2": (
+        ("this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+        ("licensed under the mozilla public license version 2 0", ("mozilla public license",)),
+        ("spdx license identifier mpl 2 0", ("spdx license identifier mpl 2",)),
+    ),
+    "unlicense": (
+        ("this is free and unencumbered software released into the public domain", ("unencumbered software",)),
+        ("spdx license identifier unlicense", ("spdx license identifier unlicense",)),
+    ),
 }
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,15 +102,16 @@ def words_of(text: Column) -> Column:
 
 
 def licence_words(templates: dict = TEMPLATES) -> list[str]:
-    return sorted({w for text, phrases in templates.values() for part in (text, *phrases) for w in part.split()})
+    return sorted({w for notices in templates.values() for text, phrases in notices for part in (text, *phrases) for w in part.split()})
 
 
 def document_frequencies(words: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
     """Documents, and documents with each licence word; at most one row a licence word reaches the driver."""
     held = F.array_intersect("words", F.array(*map(F.lit, vocabulary)))
-    flags = [F.sum(F.array_contains("held", w).cast("long")).alias(f"w{i}") for i, w in enumerate(vocabulary)]
-    row = words.select(held.alias("held")).agg(F.count("*").alias("n"), *flags).first()
-    return row["n"], {w: row[f"w{i}"] or 0 for i, w in enumerate(vocabulary)}
+    # no word is empty: "" counts the documents
+    seen = words.select(F.explode(F.concat(F.array(F.lit("")), held)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    counts = {r["w"]: r["n"] for r in seen.collect()}
+    return counts.get("", 0), {w: counts.get(w, 0) for w in vocabulary}
 
 
 def _stands(words: Column, phrase: list[str], at: Column) -> Column:
@@ -91,9 +148,11 @@ def scan_licenses(docs: DataFrame, templates: dict = TEMPLATES, least_score: flo
     vocabulary = licence_words(templates)
     n, df = document_frequencies(read, vocabulary)
     idf = {w: math.log((n + 1) / (c + 1)) + 1e-3 for w, c in df.items()}
-    postings = {name: [(w, at) for at, w in enumerate(text.split())] for name, (text, _) in templates.items()}
+    label = {f"{name} {i}": name for name, notices in templates.items() for i in range(len(notices))}
+    listed_by = {f"{name} {i}": notice for name, notices in templates.items() for i, notice in enumerate(notices)}
+    postings = {name: [(w, at) for at, w in enumerate(text.split())] for name, (text, _) in listed_by.items()}
     proposing = {name: anchors(listed, idf, least_score) for name, listed in postings.items()}
-    named = sorted(templates)
+    named = sorted(listed_by)
 
     words, held = F.col("words"), F.col("held")
     places = [_places(words, p).alias(f"p{i}") for i, p in enumerate(BASE_PHRASES)]
@@ -101,7 +160,7 @@ def scan_licenses(docs: DataFrame, templates: dict = TEMPLATES, least_score: flo
 
     def verified(name: str) -> Column:
         found = F.lit(True)
-        for phrase in templates[name][1]:
+        for phrase in listed_by[name][1]:
             found = found & (F.size(_places(words, phrase, held)) > 0)
         return found
 
@@ -125,9 +184,9 @@ def scan_licenses(docs: DataFrame, templates: dict = TEMPLATES, least_score: flo
 
     scores = [F.when(F.array_contains("asked", t), score(t)).otherwise(0.0).alias(f"s_{i}") for i, t in enumerate(named)]
     three = two.select("doc_id", "words", *[f"p{i}" for i in range(len(places))], *scores)
-    accepted = [F.when(F.col(f"s_{i}") >= least_score, F.struct(F.lit(t).alias("label"), F.least(F.col(f"s_{i}"), F.lit(1.0)).alias("score"))) for i, t in enumerate(named)]
+    accepted = [F.when(F.col(f"s_{i}") >= least_score, F.struct(F.lit(label[t]).alias("label"), F.least(F.col(f"s_{i}"), F.lit(1.0)).alias("score"))) for i, t in enumerate(named)]
     by_method = F.filter(F.array(*accepted), lambda x: x.isNotNull()) if accepted else F.array().cast("array<struct<label:string,score:double>>")
-    by_base = F.array_distinct(F.filter(F.array(*(F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(BASE_PHRASES.values()))), lambda x: x.isNotNull()))
+    by_base = F.array_distinct(F.filter(F.array(*(F.when(F.size(f"p{i}") > 0, F.lit(name)) for i, name in enumerate(BASE_PHRASES.values()))), lambda x: x.isNotNull()))
     four = three.select(
         "doc_id", F.size("words").cast("long").alias("n_words"), F.concat(*(f"p{i}" for i in range(len(places)))).alias("places"), by_base.alias("by_base"), by_method.alias("by_method")
     )

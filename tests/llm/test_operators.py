@@ -293,12 +293,20 @@ def test_licenses_in_most_documents_keep_their_labels(spark):
 
 
 def test_every_licence_of_a_text_is_found(spark):
-    notices = {k: text for k, (text, _) in licenses.TEMPLATES.items() if k != "cc-by-nc"}
+    notices = {k: (v[0] if isinstance(v[0], str) else v[0][0]) for k, v in licenses.TEMPLATES.items() if k != "cc-by-nc"}
     rows = [(0, " ... ".join(notices.values())), (1, "fee hereby lesser mozilla redistribution unencumbered. " + notices["isc"])] + [(i, "plain text") for i in range(2, 9)]
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0] == (",".join(sorted(notices)), 1.0) and got[1] == ("isc", 1.0) and got[2] == ("", 0.0)
 
 
+def test_public_notices_of_common_licences(spark):
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including'
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3"
+    rows = [(0, mit), (1, gpl), (2, gpl.replace("General", "Lesser General")), (3, gpl.replace("General", "Affero General")), (4, "// SPDX-License-Identifier: Apache-2.0"), (5, "plain text")]
+    got = [r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["mit", "gpl", "lgpl", "agpl-3", "apache-2", ""]
+
+
 def want_words(i):
     return licenses.scan_texts([TEXTS[i]])[0][0]
 
