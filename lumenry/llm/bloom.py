@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix64
+from .hashing import mix64
 
 #: Four megabytes, whatever the table; with more keys than ROOM it would let too much pass and isn't used.
 BITS, SLICES = 1 << 25, 16

@@ -13,58 +13,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Rows that a Python worker takes at once; long texts are further cut by bytes.
 BATCH_ROWS = 2048
 BATCH_CHARS = 1_500_000
-MIX_A, MIX_B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+BATCH_BYTES = 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """Finaliser of the public MurmurHash3 family over uint64 arrays."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(33)
-    x *= MIX_A
-    x ^= x >> np.uint64(33)
-    x *= MIX_B
-    x ^= x >> np.uint64(33)
-    return x
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(max(n, 1), np.uint64(base), np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 2**64)
-
-
-class Rolling:
-    """Rolling hashes modulo 2**64 of slices of one array of code units; equal slices, equal hashes at any place."""
-
-    def __init__(self, units: np.ndarray):
-        n = len(units)
-        mixed = mix64(units.astype(np.uint64) + np.uint64(1))
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mixed * powers(BASE, n)[:n], out=self.sums[1:])
-        self.back = powers(BASE_INV, n + 1)
-
-    def windows(self, k: int) -> np.ndarray:
-        """of() for all slices of k units."""
-        return mix64((self.sums[k:] - self.sums[:-k]) * self.back[: len(self.sums) - k] + np.uint64(k) * MIX_B)
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64) * MIX_B)
-
-
 def bounded(df: DataFrame) -> DataFrame:
-    """df, after seeing to it that Python workers get few long texts at a time."""
+    """df, after seeing to it that Python workers get few long texts at a time. The session's setting stays lowered, as
+    plans read it when they run."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        held = int(str(conf.get(name)).removesuffix("b"))
+        if held <= 0 or held > most:
+            conf.set(name, str(most))
     return df
 
 
@@ -105,7 +69,11 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else "/tmp/checkpoints/lumenry"
+        if current.isDefined():
+            return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "/tmp/checkpoints/lumenry"
     return found
 
 
@@ -124,3 +92,24 @@ def rows_of(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(counts)
     return np.arange(total) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)
+
+
+#: A key with more than one in SHARE of all rows is dealt over several tasks; there are fewer than SHARE such keys.
+SHARE = 1024
+
+
+def hot_keys(counted: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """Of a table of keys and their numbers of rows, the hot ones and into how many parts each is dealt.
+
+    Fewer than SHARE rows whatever the table, and their parts are 2 * SHARE at most: this bound lets them be broadcast.
+    """
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    return stored(counted.where(F.col(n) * SHARE > total).select(*keys, F.ceil(F.col(n) * SHARE / F.lit(max(total, 1))).cast("int").alias("__parts")), "hot")
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:
+    """left join right on keys, where rows of left with a hot key are dealt by the columns spread and meet copies of right's rows."""
+    few = F.broadcast(hot)
+    dealt = left.join(few, keys, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    copied = right.join(few, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(copied, [*keys, "__salt"], how).drop("__salt")

@@ -15,7 +15,8 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import Rolling, bounded, map_texts, mix64
+from .common import bounded, map_texts
+from .hashing import Rolling, mix64
 
 SYMBOLS = "#*$%&|<>"
 PIECE = 1_000_000

@@ -4,29 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import BASE, BASE_INV, MIX_B, Rolling, mix64, powers, rows_of
+from .common import rows_of
+from .hashing import MIX_B, Spans, mix64
 
-_BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _grown(base: int, n: int) -> np.ndarray:
-    held = _POWERS.get(base)
-    if held is None or len(held) < n:
-        held = _POWERS[base] = powers(base, max(n, 1 << 20))
-    return held
-
-
-class ByteRolling(Rolling):
-    """Rolling hashes of slices of bytes, by one table lookup a byte."""
-
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[data] * _grown(BASE, n)[:n], out=self.sums[1:])
-        self.back = _grown(BASE_INV, n + 1)
 
 
 def word_hashes(parts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +23,7 @@ def word_hashes(parts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
     first = np.concatenate(([0], np.cumsum(sizes + 1)))
     at = np.searchsorted(starts, first)
     at[-1] = len(starts)
-    return ByteRolling(data).of(starts, ends), at
+    return Spans(data).of(starts, ends), at
 
 
 def shingle_hashes(parts: list[bytes], n: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +33,7 @@ def shingle_hashes(parts: list[bytes], n: int, lower: bool = True) -> tuple[np.n
     made = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
     begin = rows_of(at[:-1], made)
     span = np.repeat(np.minimum(counts, n), made)
-    return Rolling(words).of(begin, begin + span), np.concatenate(([0], np.cumsum(made)))
+    return Spans(words).of(begin, begin + span), np.concatenate(([0], np.cumsum(made)))
 
 
 def shingle_sets(parts: list[bytes], n: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

@@ -11,8 +11,12 @@
    window, which are merged across shards by binary search in sorted runs.
 5. Spans come back to their texts, whose remaining bytes are hashed.
 
-Equal texts share a key, the digest of their bytes. Defined results: a null or empty text has no bytes and nothing to
-remove; repeated rows repeat each other's windows; extra columns are ignored; an empty table gives an empty result.
+Equal texts share a key, the digest of their bytes, and one list of spans. Anchors, slices and texts that hold more
+than their share of all rows are dealt over several tasks. Texts of any length are worked through in segments that
+overlap by a window. Defined results: a null or empty text has no bytes and nothing to remove; repeated rows repeat
+each other's windows, so all of a repeated text of `length` bytes goes from every row; there are no ties, as every
+place of a repeated string goes; extra columns are ignored (`substring_dedup`) or kept (`remove_repeats`), whatever
+their names but `__key`, `__salt`, `__parts` and `__spans`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,19 +28,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BATCH_CHARS, batches, bounded, stored
-from .shingles import ByteRolling
-from .suffixes import merged, minima, repeated_windows, slices_of
+from .common import batches, bounded, hot_keys, salted_join, stored
+from .hashing import Rolling, Spans, chained, joined
+from .suffixes import merged, minima, repeated_windows
 
-#: Lower bits of a window's order that hold the position; the upper ones hold the hash.
-PLACE_BITS = np.uint64(30)
+#: Lower bits of a window's order that hold the position within a segment; the upper ones hold the hash.
+PLACE_BITS = np.uint64(24)
+#: Windows of a text that are worked on at once.
+SEGMENT = 1 << 21
 
 
 @dataclass(frozen=True)
 class Repeats:
     length: int = 200
     k: int = 40
-    shard_bytes: int = 2_000_000
+    shard_bytes: int = 750_000
     shard_classes: int = 2048
 
 
@@ -46,31 +52,45 @@ def text_key(text: Column) -> Column:
 
 def anchors(raw: list[bytes], rules: Repeats) -> tuple[np.ndarray, ...]:
     """(text, start, end, anchor, digest) of each slice; start and end are bytes within the text."""
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-    data = np.frombuffer(b"".join(raw), np.uint8)
+    held, size, made = [], 0, []
+    # a slice that a segment's end cuts is two slices of its anchor, which finds the same repeated windows
+    parts = ((i, at, r[at : at + SEGMENT + rules.length - 1]) for i, r in enumerate(raw) for at in range(0, max(len(r) - rules.length + 1, 1), SEGMENT))
+    for part in parts:
+        if held and size + len(part[2]) > SEGMENT + rules.length:
+            made.append(_anchors(held, rules))
+            held, size = [], 0
+        held.append(part)
+        size += len(part[2])
+    if held:
+        made.append(_anchors(held, rules))
+    return tuple(np.concatenate([m[i] for m in made]) if made else np.zeros(0, np.int64) for i in range(5))
+
+
+def _anchors(parts: list[tuple[int, int, bytes]], rules: Repeats) -> tuple[np.ndarray, ...]:
+    sizes = np.fromiter((len(p[2]) for p in parts), np.int64, len(parts))
+    data = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
     first = np.concatenate(([0], np.cumsum(sizes)))
-    n, length, k = len(data), rules.length, rules.k
-    if n < length:
-        none = np.zeros(0, np.int64)
+    length, k = rules.length, rules.k
+    none = np.zeros(0, np.int64)
+    if len(data) < length:
         return none, none, none, none, none
-    roll = ByteRolling(data)
-    at = np.arange(n - k + 1)
-    grams = roll.windows(k)
+    width = 1 << (k.bit_length() - 1)
+    runs = Spans(data).runs(width)
+    grams = runs if width == k else joined(runs[: len(runs) - k + width], runs[k - width :])
     low = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
-    best = (minima((grams & ~low) | at.astype(np.uint64), length - k + 1) & low).astype(np.int64)
-    text = np.repeat(np.arange(len(raw)), sizes)[: len(best)]
-    whole = text == np.repeat(np.arange(len(raw)), sizes)[length - 1 :]
-    begin = np.flatnonzero(whole)
+    best = (minima((grams & ~low) | np.arange(len(grams), dtype=np.uint64), length - k + 1) & low).astype(np.int64)
+    part = np.repeat(np.arange(len(parts)), sizes)
+    begin = np.flatnonzero(part[: len(best)] == part[length - 1 :])
     if not len(begin):
-        none = np.zeros(0, np.int64)
         return none, none, none, none, none
-    best, text = best[begin], text[begin]
-    new = np.concatenate(([True], (best[1:] != best[:-1]) | (text[1:] != text[:-1])))
-    head = np.flatnonzero(new)
+    best, part = best[begin], part[begin]
+    head = np.flatnonzero(np.concatenate(([True], (best[1:] != best[:-1]) | (part[1:] != part[:-1]))))
     last = np.append(head[1:], len(begin)) - 1
-    start, end = begin[head], begin[last] + length
-    owner = text[head]
-    return owner, start - first[owner], end - first[owner], grams[best[head]].view(np.int64), roll.of(start, end).view(np.int64)
+    start, end, owner = begin[head], begin[last] + length, part[head]
+    digest = chained(runs, width, start, end).view(np.int64)
+    text, base = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
+    moved = base[owner] - first[owner]
+    return text[owner], start + moved, end + moved, grams[best[head]].view(np.int64), digest
 
 
 def _bytes_of(texts: list) -> list[bytes]:
@@ -78,7 +98,7 @@ def _bytes_of(texts: list) -> list[bytes]:
 
 
 def _pieces(rows):
-    return batches(rows, lambda t: 2 * len(t))
+    return batches(rows, lambda t: 4 * len(t))
 
 
 def anchor_table(docs: DataFrame, rules: Repeats, whole: bool) -> DataFrame:
@@ -91,94 +111,104 @@ def anchor_table(docs: DataFrame, rules: Repeats, whole: bool) -> DataFrame:
             if not whole:
                 yield pa.RecordBatch.from_arrays([pa.array(anchor)], names=["anchor"])
                 continue
-            keys = np.array([hashlib.md5(r).digest() for r in raw], dtype=object)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[owner], pa.binary()), pa.array(anchor), pa.array(digest), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["key", "anchor", "digest", "start", "end"])
+            keys = pa.array([hashlib.md5(r).digest() for r in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(owner)), pa.array(anchor), pa.array(digest), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["key", "anchor", "digest", "start", "end"])
 
     schema = "key binary, anchor long, digest long, start int, end int" if whole else "anchor long"
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, rules: Repeats = Repeats()) -> DataFrame:
-    """key (of a text), start and end of spans whose union is what is repeated."""
+def repeated_spans(docs: DataFrame, rules: Repeats = Repeats(), hot_texts: DataFrame | None = None) -> DataFrame:
+    """key (of a text), start and end of spans whose union is what is repeated, each once."""
     length, docs = rules.length, bounded(docs)
-    shared = anchor_table(docs, rules, False).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    members = stored(anchor_table(docs, rules, True).join(shared, "anchor"), "members")
+    hot_texts = hot_keys(_copies(docs), ["key"]) if hot_texts is None else hot_texts
+    shared = stored(anchor_table(docs, rules, False).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    found = anchor_table(docs, rules, True)
+    members = stored(salted_join(found, shared.select("anchor"), ["anchor"], hot_keys(shared, ["anchor"]), ["key", "start"]), "members")
     one = F.min(F.struct("key", "start", "end")).alias("rep")
     classes = stored(members.groupBy("anchor", "digest").agg(F.count("*").alias("n"), one), "classes")
-    many = classes.where("n > 1").select("anchor", "digest")
-    alike = members.join(many, ["anchor", "digest"]).select("key", "start", "end")
+    many = classes.where("n > 1").select("anchor", "digest", "n")
+    alike = salted_join(members, many.select("anchor", "digest"), ["anchor", "digest"], hot_keys(many, ["anchor", "digest"]), ["key", "start"]).select("key", "start", "end")
 
     mixed = classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.sum(F.col("rep.end") - F.col("rep.start")).alias("size"), F.min("n").alias("least")).where("classes > 1 and least = 1").drop("least")
     mixed = stored(mixed, "mixed")
     total = mixed.agg(F.sum("size")).first()[0] or 0
     if not total:
-        return alike
+        return alike.distinct()
     shards = max(1, -(-total // rules.shard_bytes))
-    asked = classes.join(mixed, "anchor").select(
+    asked = salted_join(classes, mixed, ["anchor"], hot_keys(mixed, ["anchor"], "classes"), ["digest"]).select(
         F.col("rep.key").alias("key"),
         F.struct("anchor", F.col("rep.start").alias("start"), F.col("rep.end").alias("end"), (F.col("n") > 1).alias("many"), "classes", "digest").alias("s"),
     )
-    slices = _with_bytes(docs, asked)
+    slices = _with_bytes(docs, asked, hot_texts)
     hot = F.col("classes") > rules.shard_classes
     dealt = slices.withColumn("hot", hot).withColumn("shard", F.when(hot, F.xxhash64("anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))))
     dealt = dealt.withColumn("part", F.when(hot, F.pmod(F.xxhash64("digest"), F.ceil(F.col("classes") / rules.shard_classes))).otherwise(F.lit(0).cast("long")))
 
     def in_shard(key, t):
-        keys, base, many = t["key"].to_pylist(), t["start"].to_numpy().astype(np.int64), t["many"].to_numpy(zero_copy_only=False)
+        base, many = t["start"].to_numpy().astype(np.int64), t["many"].to_numpy(zero_copy_only=False)
         raw = t["bytes"].to_pylist()
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum(sizes)))
+        data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw])))
         again = repeated_windows(data, bounds, length)
-        at = np.arange(len(data))
-        owner = np.repeat(np.arange(len(raw)), sizes)
-        own = ~many[owner]
-        first, last = merged(at[again & own], at[again & own] + length)
-        # windows end within their slices, so runs that touch across slices are cut apart
-        out = []
-        for a, b in zip(first, last, strict=True):
-            while a < b:
-                o = owner[a]
-                out.append((keys[o], int(a - bounds[o] + base[o]), int(min(b, bounds[o + 1]) - bounds[o] + base[o]), None, None))
-                a = bounds[o + 1]
+        owner = np.repeat(np.arange(len(base)), np.diff(bounds))
+        at = np.flatnonzero(again & ~many[owner])
+        # spans of each slice by itself: windows end within their slices
+        step = owner[at] * (length + 1)
+        first, last = merged(at + step, at + length + step)
+        own = np.searchsorted(bounds + np.arange(len(bounds)) * (length + 1), first, "right") - 1
+        moved = base[own] - bounds[own] - own * (length + 1)
+        rows, starts, ends = [own], [first + moved], [last + moved]
+        windows: list = [None] * len(own)
         if t["hot"][0].as_py():
-            inside = at[at + length <= np.repeat(bounds[1:], sizes)]
-            digests = ByteRolling(data).of(inside, inside + length)
-            _, lead = np.unique(digests, return_index=True)
-            for i in inside[lead]:
-                o = owner[i]
-                known = bool(again[i] or many[o])
-                out.append((keys[o], int(i - bounds[o] + base[o]), -1 if known else -2, hashlib.blake2b(data[i : i + length].tobytes(), digest_size=16).digest(), int(key[1].as_py())))
-        names = ("key", "start", "end", "window", "part")
-        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
-        return pa.table({n: pa.array([x[j] for x in out], kind) for j, (n, kind) in enumerate(zip(names, kinds, strict=True))})
+            inside = np.flatnonzero(np.arange(len(data)) + length <= np.repeat(bounds[1:], np.diff(bounds)))
+            left = Spans(data).windows(length)[inside]
+            _, lead = np.unique(left, return_index=True)
+            inside, left = inside[lead], left[lead]
+            pair = np.stack((left, Rolling(data).of(inside, inside + length)), 1).astype("<u8").tobytes()
+            windows += [pair[i : i + 16] for i in range(0, len(pair), 16)]
+            known = again[inside] | many[owner[inside]]
+            rows.append(owner[inside])
+            starts.append(inside - bounds[owner[inside]] + base[owner[inside]])
+            ends.append(np.where(known, -1, -2))
+        taken = pa.array(np.concatenate(rows))
+        ints = lambda x: pa.array(np.concatenate(x).astype(np.int32))
+        return pa.table({"key": t["key"].combine_chunks().take(taken), "start": ints(starts), "end": ints(ends), "window": pa.array(windows, pa.binary()), "part": pa.array(np.full(len(windows), key[1].as_py()), pa.int64())})
 
     done = stored(dealt.groupBy("shard", "part").applyInArrow(in_shard, "key binary, start int, end int, window binary, part long"), "shards")
     spans = alike.union(done.where("window is null").select("key", "start", "end"))
-    sent = done.where("window is not null").withColumn("bucket", F.pmod(F.xxhash64("window"), F.lit(max(64, 4 * shards))))
+    # a shard sends a window once, so a group has no more rows of one window than there are shards of its anchor
+    sent = done.where("window is not null").withColumn("bucket", F.pmod(F.xxhash64("window"), F.lit(max(64, 8 * shards))))
 
     def across(key, t):
         """Windows of one shard that stand in another one too."""
-        window, part = np.array(t["window"].to_pylist(), dtype="S16"), t["part"].to_numpy()
-        found = np.zeros(len(window), bool)
+        window = np.array(t["window"].to_pylist(), dtype="S16")
         run = np.sort(window)
-        found = np.searchsorted(run, window, "right") - np.searchsorted(run, window, "left") > 1
-        mine = found & (t["end"].to_numpy() == -2)
+        mine = (np.searchsorted(run, window, "right") - np.searchsorted(run, window, "left") > 1) & (t["end"].to_numpy() == -2)
         got = t.filter(pa.array(mine))
         return pa.table({"key": got["key"], "start": got["start"], "end": pa.array(got["start"].to_numpy() + length, pa.int32())})
 
-    return spans.union(sent.groupBy("bucket").applyInArrow(across, "key binary, start int, end int"))
+    return spans.union(sent.groupBy("bucket").applyInArrow(across, "key binary, start int, end int")).distinct()
 
 
-def _with_bytes(docs: DataFrame, asked: DataFrame) -> DataFrame:
+def _copies(docs: DataFrame) -> DataFrame:
+    """key and n of each text."""
+    return docs.groupBy(text_key(F.col("text").cast("string")).alias("key")).agg(F.count("*").alias("n"))
+
+
+def _with_bytes(docs: DataFrame, asked: DataFrame, hot_texts: DataFrame) -> DataFrame:
     """asked(key, s) with the bytes of s.start to s.end of the text of that key."""
     wanted = asked.groupBy("key").agg(F.collect_list("s").alias("list"))
-    texts = docs.select(F.col("text").cast("string").alias("text")).where(F.length("text") > 0).withColumn("key", text_key(F.col("text")))
+    texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0).withColumn("key", text_key(F.col("text")))
     schema = "key binary, anchor long, start int, bytes binary, many boolean, classes long, digest long"
 
     def run(rows):
         for piece in _pieces(rows):
             out = {n: [] for n in ("key", "anchor", "start", "bytes", "many", "classes", "digest")}
+            seen = set()
             for text, key, listed in zip(piece["text"], piece["key"], piece["list"], strict=True):
+                if key in seen:
+                    continue
+                seen.add(key)
                 raw = text.encode()
                 for s in listed:
                     for n in ("anchor", "start", "many", "classes", "digest"):
@@ -188,8 +218,8 @@ def _with_bytes(docs: DataFrame, asked: DataFrame) -> DataFrame:
             kinds = (pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    # copies of a text give a slice each: one of them stays
-    return texts.join(wanted, "key").select("key", "text", "list").mapInArrow(run, schema).dropDuplicates(["anchor", "digest"])
+    # copies of a text that were read in different tasks give a slice each: one of them stays
+    return salted_join(texts, wanted, ["key"], hot_texts, ["doc_id"]).select("key", "text", "list").mapInArrow(run, schema).dropDuplicates(["anchor", "digest"])
 
 
 def _cut(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[bytes, int, int]:
@@ -212,9 +242,13 @@ def _lists(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _with_spans(docs: DataFrame, rules: Repeats) -> DataFrame:
-    spans = repeated_spans(docs, rules).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    """docs with __spans, the spans of each row's text."""
     docs = bounded(docs)
-    return docs.withColumn("__key", text_key(F.col("text").cast("string"))).join(spans.withColumnRenamed("key", "__key"), "__key", "left").drop("__key").withColumnRenamed("spans", "__spans")
+    hot_texts = hot_keys(_copies(docs), ["key"])
+    spans = repeated_spans(docs, rules, hot_texts).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+    keyed = docs.withColumn("__key", text_key(F.col("text").cast("string")))
+    rows = salted_join(keyed, spans.withColumnRenamed("key", "__key"), ["__key"], hot_texts.withColumnRenamed("key", "__key"), ["doc_id"], "left")
+    return rows.drop("__key")
 
 
 def substring_dedup(docs: DataFrame, rules: Repeats = Repeats()) -> DataFrame:
@@ -252,6 +286,3 @@ def remove_repeats(docs: DataFrame, rules: Repeats = Repeats()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
     return _with_spans(docs, rules).mapInArrow(run, StructType(schema.fields))
-
-
-assert BATCH_CHARS < 1 << int(PLACE_BITS)
