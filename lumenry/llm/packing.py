@@ -1,13 +1,17 @@
 """Packing into optimal length buckets.
 
-One aggregation gives the global histogram of lengths over a grid whose size is bounded whatever the data (every
-length up to FINE, then STEPS grid points for each doubling); dynamic programming over it chooses the bucket
-boundaries of least total padding; inside each bucket, documents are dealt into batches of at most `budget` padded
-tokens. Buckets are dealt in shards of about `shard_rows` rows, so that no task holds a whole bucket.
+One aggregation gives the global histogram of lengths; dynamic programming over it chooses the bucket boundaries of
+least total padding; inside each bucket, documents are dealt into batches of at most `budget` padded tokens. Buckets
+are dealt in shards of about `shard_rows` rows, so that no task holds a whole bucket.
+
+The histogram is exact and reaches the driver: k different lengths need k * k / 2 tokens, so 10**14 bytes of text have
+a few million at most, 16 bytes each. `Packing(grid=True)` takes lengths of over FINE tokens up to the next of STEPS
+points a doubling instead, which bounds it by some thousand points at the price of boundaries on the grid.
 
 Defined results: a null text or one without words has length 0 and goes to the first bucket; a document longer than
-the budget is a batch of its own; repeated rows are packed each on its own; extra columns are ignored; an empty table
-gives an empty result. Ties of boundaries go to the smaller one.
+the budget, however long, is a batch of its own; repeated rows are packed each on its own, any null ids among them;
+extra columns are ignored; an empty table gives an empty result. Ties of boundaries go to the smaller one. Documents of
+one id and length may change places in a batch from run to run, which no figure shows.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .common import rows_of, stored
+
 FINE, STEPS = 1024, 256
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,6 +33,7 @@ class Packing:
     buckets: int = 16
     budget: int = 32768
     shard_rows: int = 2048
+    grid: bool = False
 
 
 def word_count(text: Column) -> Column:
@@ -44,29 +51,33 @@ def boundaries(points: np.ndarray, counts: np.ndarray, buckets: int) -> list[int
     """Upper bounds of at most `buckets` buckets over ascending points, minimising sum(count * bound).
 
     best[b][j] = min over i < j of best[b-1][i] + points[j-1] * counts[i:j]; the best i doesn't fall as j rises, so
-    each row is filled by halving ranges, one level of all ranges at a time.
+    each row is filled by halving ranges of j, all ranges of a level at a time.
     """
     k = len(points)
     if not k:
         return []
-    buckets = min(buckets, k)
     total = np.concatenate(([0.0], np.cumsum(counts.astype(np.float64))))
     bound = points.astype(np.float64)
     row = np.concatenate(([0.0], np.full(k, np.inf)))
     back = []
-    for _ in range(buckets):
+    for b in range(min(buckets, k)):
+        # with b buckets before it, a bucket begins at i = b or later
         new, arg = np.full(k + 1, np.inf), np.zeros(k + 1, np.int64)
-        todo = [(1, k, 0, k - 1)]
-        while todo:
-            lo, hi, a, z = todo.pop()
-            if lo > hi:
-                continue
+        lo, hi, a, z = (np.array([x]) for x in (b + 1, k, b, k - 1))
+        while len(lo):
             j = (lo + hi) // 2
-            i = np.arange(a, min(z, j - 1) + 1)
-            cost = row[i] + bound[j - 1] * (total[j] - total[i])
-            at = int(np.argmin(cost))
-            new[j], arg[j] = cost[at], i[at]
-            todo += [(lo, j - 1, a, int(i[at])), (j + 1, hi, int(i[at]) if np.isfinite(cost[at]) else a, z)]
+            last = np.minimum(z, j - 1)
+            width = last - a + 1
+            i = rows_of(a, width)
+            mid = np.repeat(j, width)
+            cost = row[i] + bound[mid - 1] * (total[mid] - total[i])
+            first = np.cumsum(width) - width
+            new[j] = np.minimum.reduceat(cost, first)
+            hit = np.flatnonzero(cost == np.repeat(new[j], width))
+            arg[j] = i[hit[np.searchsorted(hit, first)]]
+            lo, hi, a, z = np.concatenate((lo, j + 1)), np.concatenate((j - 1, hi)), np.concatenate((a, arg[j])), np.concatenate((arg[j], z))
+            going = lo <= hi
+            lo, hi, a, z = lo[going], hi[going], a[going], z[going]
         back.append(arg)
         row = new
     out, j = [], k
@@ -79,7 +90,9 @@ def boundaries(points: np.ndarray, counts: np.ndarray, buckets: int) -> list[int
 
 def pack(lengths: DataFrame, packing: Packing = Packing()) -> DataFrame:
     """Batches for lengths(doc_id, n_tokens): adds bucket_len, batch_id and slot."""
-    points = lengths.withColumn("point", grid_point(F.col("n_tokens")))
+    # texts are counted once; the number of a row is fixed as it is written, and tells repeated rows apart
+    lengths = stored(lengths.select("doc_id", "n_tokens", F.monotonically_increasing_id().alias("row")), "lengths")
+    points = lengths.withColumn("point", grid_point(F.col("n_tokens")) if packing.grid else F.greatest("n_tokens", F.lit(1).cast("long")))
     hist = sorted((r["point"], r["n"]) for r in points.groupBy("point").agg(F.count("*").alias("n")).toLocalIterator())
     at, counts = np.array([p for p, _ in hist], np.int64), np.array([n for _, n in hist], np.int64)
     bounds = boundaries(at, counts, packing.buckets)
@@ -94,8 +107,8 @@ def pack(lengths: DataFrame, packing: Packing = Packing()) -> DataFrame:
         return out.cast("long")
 
     dealt = points.withColumn("bucket", by_bucket(list(range(len(bounds))))).withColumn("bucket_len", by_bucket(bounds)).withColumn("room", by_bucket(room))
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), by_bucket(shards)))
-    place = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens")) - 1
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("row"), by_bucket(shards)))
+    place = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens", "row")) - 1
     dealt = dealt.withColumn("place", place.cast("long"))
     return dealt.select(
         "doc_id", "n_tokens", "bucket_len", F.concat_ws("-", "bucket", "shard", F.floor(F.col("place") / F.col("room"))).alias("batch_id"), (F.col("place") % F.col("room")).alias("slot")
