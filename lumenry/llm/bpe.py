@@ -3,7 +3,8 @@
 Texts are cut without a regular expression. Each character gets a class from an array over code points and its
 neighbours; the cutting automaton is then a transition function for each class. Functions compose associatively, so
 blocks of characters are composed side by side, the blocks' entry states follow from a scan over the compositions,
-and a second walk marks every boundary. The slices feed cached pair merging; ids are decoded by vocabulary bytes.
+and a second walk marks every boundary. The slices feed cached pair merging. Each token keeps its byte offset in the
+text, and decoding lays every token's bytes at its offset.
 
 The automaton follows this pattern: contractions after an apostrophe; an optional space and a run of letters, of
 numbers, or of other signs; runs of white space, whose last character is left to what follows.
@@ -18,17 +19,17 @@ import base64
 import hashlib
 import heapq
 import sys
-from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import map_texts, rows_of
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 REMEMBERED = 400_000
+DECODED = 65536
 BLOCK = 64
 
 # Classes of characters, by themselves and by what follows.
@@ -151,6 +152,11 @@ class Ranks:
         self.rank = {base64.b64decode(a): int(b) for a, b in lines}
         self.bytes_of = {b: a for a, b in self.rank.items()}
         self.text_of = {i: str(i) for i in self.bytes_of}
+        strings = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of, default=-1) + 1)]
+        #: All vocabulary bytes, and by id where each string begins there and its length.
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+        self.size = np.array([len(x) for x in strings], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
         self.known: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
@@ -203,8 +209,20 @@ class Ranks:
             out.append(list(chain.from_iterable(map(known.__getitem__, cut))))
         return out
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def offsets(self, ids: list[int]) -> np.ndarray:
+        """Where each token begins in its text, in bytes: tokens lie side by side."""
+        size = self.size[np.array(ids, np.int64)]
+        return np.cumsum(size) - size
+
+    def decode(self, ids: list[int], offsets: np.ndarray) -> bytes:
+        """The bytes of tokens, each laid at its offset; what no token covers is zero."""
+        at = np.array(ids, np.int64)
+        size, offsets = self.size[at], np.asarray(offsets, np.int64)
+        out = np.zeros(int((offsets + size).max(initial=0)), np.uint8)
+        for i in range(0, len(at), DECODED):
+            part = slice(i, i + DECODED)
+            out[rows_of(offsets[part], size[part])] = self.flat[rows_of(self.begin[at[part]], size[part])]
+        return out.tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -213,12 +231,32 @@ def ranks(path: str) -> Ranks:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids for each row of docs(doc_id, text). path is one that executors can open. Narrow: no shuffle."""
-    return map_texts(docs, lambda piece: {"doc_id": piece["doc_id"], "ids": ranks(path).encode([t or "" for t in piece["text"]])}, "doc_id bigint, ids array<int>")
+    """doc_id, ids and the byte offset of each id's token for each row of docs(doc_id, text). path is one that executors
+    can open. Narrow: no shuffle."""
+
+    def fn(piece):
+        r = ranks(path)
+        ids = r.encode([t or "" for t in piece["text"]])
+        return {"doc_id": piece["doc_id"], "ids": ids, "offsets": [r.offsets(x) for x in ids]}
+
+    return map_texts(docs, fn, "doc_id bigint, ids array<int>, offsets array<int>")
+
+
+def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
+    """doc_id and the bytes that the rows of encoded(doc_id, ids, offsets) stand for. Narrow: no shuffle."""
+    import pyarrow as pa
+
+    def run(rows):
+        r = ranks(path)
+        for batch in rows:
+            found = [None if x is None else r.decode(x, o) for x, o in zip(batch.column("ids").to_pylist(), batch.column("offsets").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "bytes"])
+
+    return encoded.select("doc_id", "ids", "offsets").mapInArrow(run, "doc_id bigint, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Counts and digests of each text's ids and of the bytes that they decode to. Narrow: no shuffle."""
+    """Counts and digests of each text's ids and of the bytes that they decode to by their offsets. Narrow: no shuffle."""
 
     def fn(piece):
         r = ranks(path)
@@ -226,14 +264,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         return {
             "doc_id": piece["doc_id"], "n_tokens": [len(x) for x in found],
             "ids_sha256": [hashlib.sha256(",".join(map(r.text_of.__getitem__, x)).encode()).hexdigest() for x in found],
-            "decoded_sha256": [hashlib.sha256(r.decode(x)).hexdigest() for x in found],
+            "decoded_sha256": [hashlib.sha256(r.decode(x, r.offsets(x))).hexdigest() for x in found],
         }
 
     return map_texts(docs, fn, SCHEMA)
-
-
-def brute_slices(text: str, pattern: str) -> list[str]:
-    """What a regular expression finds, for tests."""
-    import regex
-
-    return regex.findall(pattern, text)
