@@ -4,14 +4,21 @@ An Aho-Corasick automaton finds every known magic string in one pass over the by
 confirms the structure and gives the length, so that a declared type can be corrected and media embedded in other
 bytes can be carved. `store_as_wave` keeps any bytes losslessly as 8-bit samples in such a container.
 
+Validators walk a medium's own lengths and checksums, so a finding ends where the medium does: a FLAC stream ends with
+the frame that completes the samples it declares, a PDF with the last `startxref` that points into it, before the next
+PDF header. Compressed members are unpacked in pieces of fixed size, whatever they hold.
+
 Defined results: null bytes count as empty, which no format matches; a match whose structure is not whole is no
-finding; repeated rows are treated each on its own; an empty table gives an empty result.
+finding; media of one beginning are listed by format; repeated rows are treated each on its own; very long contents are
+walked whole, in one row's memory; extra columns are kept (`sniff_media`) or ignored (`media_features`); an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import wave
 import zlib
@@ -20,11 +27,11 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import bounded, map_texts
 
 RATE, BLOCK = 8000, 64
-SCHEMA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 FOUND = "array<struct<type:string,start:bigint,end:bigint,sha256:string>>"
+SCHEMA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, " + f"embedded {FOUND}"
 
 # Magic bytes of public formats and where they stand in a file.
 MAGIC: dict[bytes, tuple[str, int]] = {
@@ -105,9 +112,19 @@ def _riff(b: bytes, at: int) -> int:
     return end if end <= len(b) and i in (end, end + 1) and (need in kinds if need else b[at + 8 : at + 12] == b"WEBP") else 0
 
 
+PDF_END = re.compile(rb"startxref\s+(\d+)\s+%%EOF")
+PDF_TABLE = re.compile(rb"xref|\d+\s+\d+\s+obj")
+
+
 def _pdf(b: bytes, at: int) -> int:
-    tail = b.find(b"%%EOF", at)
-    return tail + 5 if tail > 0 and b.find(b"startxref", at, tail) > 0 else 0
+    """The last end, before another header, whose table stands where it is said to."""
+    following = b.find(b"%PDF-", at + 5)
+    end = 0
+    for m in PDF_END.finditer(b, at, following if following > 0 else len(b)):
+        table = at + int(m[1][:12])
+        if at < table < m.start() and PDF_TABLE.match(b, table):
+            end = m.end()
+    return end
 
 
 def _zip(b: bytes, at: int) -> int:
@@ -123,17 +140,85 @@ def _zip(b: bytes, at: int) -> int:
     return i + 22 + struct.unpack_from("<H", b, i + 20)[0] if b[i : i + 4] == b"PK\x05\x06" and i + 22 <= len(b) else 0
 
 
+PIECE = 1 << 16
+
+
 def _gzip(b: bytes, at: int) -> int:
-    z = zlib.decompressobj(31)
+    """Unpacked piece by piece; what comes out is dropped, its checksum and length are compared by the library."""
+    z, i = zlib.decompressobj(31), at
     try:
-        z.decompress(b[at:])
+        while not z.eof:
+            left = z.unconsumed_tail
+            if not left:
+                if i >= len(b):
+                    return 0
+                left, i = b[i : i + PIECE], i + PIECE
+            z.decompress(left, PIECE)
     except zlib.error:
         return 0
-    return len(b) - len(z.unused_data) if z.eof else 0
+    return min(i, len(b)) - len(z.unused_data)
+
+
+def _crc_table(poly: int, bits: int) -> list[int]:
+    top, mask, out = 1 << bits - 1, (1 << bits) - 1, []
+    for i in range(256):
+        c = i << bits - 8
+        for _ in range(8):
+            c = (c << 1 ^ poly if c & top else c << 1) & mask
+        out.append(c)
+    return out
+
+
+CRC8, CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+#: Samples a frame by the four bits of its header that tell; 6 and 7 stand for one or two bytes that follow.
+FLAC_BLOCKS = {1: 192, **{k: 576 << k - 2 for k in range(2, 6)}, **{k: 256 << k - 8 for k in range(8, 16)}}
+
+
+def _flac_frame(b: bytes, at: int) -> tuple[int, int]:
+    """(bytes of the header, samples of the frame) at a place, or zeros."""
+    if at + 6 > len(b) or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8 or b[at + 3] & 1:
+        return 0, 0
+    block, rate = b[at + 2] >> 4, b[at + 2] & 15
+    lead = b[at + 4]
+    number = 1 if lead < 0x80 else next((n for n in range(2, 8) if lead >> 7 - n == (1 << n + 1) - 2), 0)
+    size = 4 + number + {6: 1, 7: 2}.get(block, 0) + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if not number or rate == 15 or at + size >= len(b):
+        return 0, 0
+    crc = 0
+    for x in b[at : at + size]:
+        crc = CRC8[crc ^ x]
+    more = b[at + 4 + number : at + 4 + number + 2]
+    samples = FLAC_BLOCKS.get(block) or {6: more[0] + 1, 7: int.from_bytes(more, "big") + 1}.get(block, 0)
+    return (size + 1, samples) if crc == b[at + size] else (0, 0)
 
 
 def _flac(b: bytes, at: int) -> int:
-    return len(b) if at + 42 <= len(b) and b[at + 4] & 0x7F == 0 and b[at + 5 : at + 8] == b"\0\0\x22" else 0
+    """Metadata blocks by their lengths, then frames: each runs to where its checksum holds and another frame or the end of
+    the declared samples follows."""
+    if at + 42 > len(b) or b[at + 4] & 0x7F or b[at + 5 : at + 8] != b"\0\0\x22":
+        return 0
+    declared = int.from_bytes(b[at + 21 : at + 26], "big") & (1 << 36) - 1
+    i, last = at + 4, False
+    while not last:
+        if i + 4 > len(b):
+            return 0
+        last, i = bool(b[i] & 0x80), i + 4 + int.from_bytes(b[i + 1 : i + 4], "big")
+    held = 0
+    while held < declared or not declared:
+        header, samples = _flac_frame(b, i)
+        if not header:
+            break
+        crc, end = 0, 0
+        for j in range(i, len(b)):
+            crc = (crc << 8 ^ CRC16[crc >> 8 ^ b[j]]) & 0xFFFF
+            # over a frame and its own checksum, the sum is zero
+            if not crc and j > i + header + 1 and (_flac_frame(b, j + 1)[0] or held + samples >= declared):
+                end = j + 1
+                break
+        if not end:
+            return 0
+        held, i = held + samples, end
+    return i if held and held >= declared else 0
 
 
 def _ogg(b: bytes, at: int) -> int:
@@ -203,7 +288,7 @@ def sniff_media(df: DataFrame, content: str = "content", declared: str | None =
                 parts.append([{"type": k, "start": s, "end": e, "sha256": hashlib.sha256(data[s:e]).hexdigest()} for k, s, e in inner])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kinds, pa.string()), pa.array(parts, arrow.field("embedded").type)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def carve(data: bytes) -> list[bytes]:
@@ -237,9 +322,10 @@ def media_features(docs: DataFrame) -> DataFrame:
         values = np.frombuffer(back, np.uint8)
         edges = int(np.count_nonzero((values[1:] >= 128) != (values[:-1] >= 128)))
         feature = f"{kind};frames={len(back)};embedded={len(inner)};sum={int(values.sum(dtype=np.int64))};peak={int(values.max())};crossings={edges}"
-        return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
+        carved = [{"type": k, "start": s, "end": e, "sha256": hashlib.sha256(stored[s:e]).hexdigest()} for k, s, e in inner]
+        return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, carved
 
-    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "embedded")
 
     def fn(piece):
         got = [one(t) for t in piece["text"]]
