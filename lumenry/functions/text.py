@@ -167,27 +167,40 @@ def sub_questions(reply: Column, most: int = 3) -> Column:
     return F.slice(F.filter(lines, lambda x: x != ""), 1, most)
 
 
-# How a model's own reasoning begins, and the longest summary that is one.
-LEAKS = ("okay", "let me", "we need", "i need", "first,", "the user", "alright", "hmm")
+# How a model's own reasoning begins, what it says, and the longest summary that is one.
+LEAKS = ("we need", "need ", "let's ", "the user wants", "thus we need", "tags,", "tags.", "we must", "okay,", "ok,")
+LEAKED = "no reasoning inside"
 LONGEST_SUMMARY = 2500
 
 
 def summary_of(reply: Column) -> Column:
     """What stands between summary tags; null where that is missing, too long or reads like reasoning."""
     inner = strip(F.regexp_extract(reply, r"(?s)<summary>(.*?)</summary>", 1))
-    leaks = reduce(lambda x, p: x | F.startswith(F.lower(inner), F.lit(p)), LEAKS, F.lit(False))
+    low = F.lower(inner)
+    leaks = reduce(lambda x, p: x | F.startswith(low, F.lit(p)), LEAKS, F.contains(low, F.lit(LEAKED)))
     return F.when((inner != "") & (F.length(inner) <= LONGEST_SUMMARY) & ~leaks, inner)
 
 
-def structured_answer(reply: Column) -> Column:
-    """struct(refused, text) of a structured reply: whole claims with their sources; none of them is a refusal."""
+def structured_answer(reply: Column, n_sources: Column | None = None) -> Column:
+    """struct(refused, text, cited, invalid) of a structured reply: whole claims with their sources; none of them is a refusal.
+
+    Numbers that aren't whole are dropped, and claims without text or numbers; cited and invalid are as in parsed_answer,
+    without n_sources all are cited.
+    """
     from ..schemas import STRUCTURED_ANSWER
 
     parsed = F.from_json(reply, STRUCTURED_ANSWER)
-    whole = F.filter(F.coalesce(parsed["claims"], F.array().cast("array<struct<text:string,source_ids:array<int>>>")), lambda c: (F.coalesce(strip(c["text"]), F.lit("")) != "") & (F.size(c["source_ids"]) > 0))
-    lines = F.transform(whole, lambda c: F.concat(strip(c["text"]), F.lit(" ["), F.array_join(F.transform(c["source_ids"], lambda n: n.cast("string")), ", "), F.lit("]")))
+    numbers = lambda c: F.transform(F.filter(F.coalesce(c["source_ids"], _strings()), lambda x: F.rlike(x, F.lit(r"^-?[0-9]{1,9}$"))), lambda x: x.cast("int"))
+    claims = F.transform(F.coalesce(parsed["claims"], F.array().cast("array<struct<text:string,source_ids:array<string>>>")), lambda c: F.struct(F.coalesce(strip(c["text"]), F.lit("")).alias("text"), numbers(c).alias("ids")))
+    whole = F.filter(claims, lambda c: (c["text"] != "") & (F.size(c["ids"]) > 0))
+    lines = F.transform(whole, lambda c: F.concat(c["text"], F.lit(" ["), F.array_join(F.transform(c["ids"], lambda n: n.cast("string")), ", "), F.lit("]")))
     refused = F.coalesce(parsed["refused"], F.lit(False)) | (F.size(whole) == 0)
-    return F.struct(refused.alias("refused"), F.when(refused, F.lit(REFUSAL)).otherwise(F.array_join(lines, "\n\n")).alias("text"))
+    seen = F.array_distinct(F.flatten(F.transform(whole, lambda c: c["ids"])))
+    inside = (lambda x: F.lit(True)) if n_sources is None else (lambda x: (x >= 1) & (x <= n_sources))
+    return F.struct(
+        refused.alias("refused"), F.when(refused, F.lit(REFUSAL)).otherwise(F.array_join(lines, "\n\n")).alias("text"),
+        F.filter(seen, inside).alias("cited"), F.filter(seen, lambda x: ~inside(x)).alias("invalid"),
+    )
 
 
 def client_key(forwarded: Column, peer: Column) -> Column:

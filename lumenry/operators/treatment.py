@@ -7,22 +7,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
-from ..functions.patterns import AIR_CITATION, LEGAL, SCC_CITATION, SEVERITY, PatternSet
+from ..functions.patterns import AIR_CITATION, CITED_CASE, LEGAL, PROFILE_CITATION, SCC_CITATION, SEVERITY, PatternSet
 
-WINDOW, SNIPPET = 200, 40
+WINDOW, SNIPPET = 200, 80
+
+
+PLACED = "array<struct<raw:string,start:int>>"
 
 
 def matches_with_places(text: Column, pattern: str) -> Column:
     """array<struct<raw, start>> of a pattern's matches, start from 0.
 
-    A split on the same pattern gives what lies between matches, so places are running sums of lengths.
+    A split on the same pattern gives what lies between matches; one fold over both carries the place along.
     """
-    def placed(both: Column) -> Column:
-        raw, gaps = both["raw"], both["gaps"]
-        total = lambda values: F.aggregate(values, F.lit(0), lambda s, x: s + F.length(x))
-        return F.transform(raw, lambda r, i: F.struct(r.alias("raw"), (total(F.slice(gaps, 1, i + 1)) + total(F.slice(raw, 1, i))).alias("start")))
+    begin = F.struct(F.array().cast(PLACED).alias("out"), F.lit(0).alias("at"))
+
+    def step(s: Column, x: Column) -> Column:
+        start = s["at"] + F.length(x["gap"])
+        return F.struct(F.array_append(s["out"], F.struct(x["raw"].alias("raw"), start.alias("start"))).alias("out"), (start + F.length(x["raw"])).alias("at"))
 
-    return T.once(F.struct(T.found(text, pattern).alias("raw"), F.split(text, pattern, -1).alias("gaps")), placed)
+    pairs = F.zip_with(T.found(text, pattern), F.split(text, pattern, -1), lambda r, g: F.struct(r.alias("raw"), g.alias("gap")))
+    return F.aggregate(F.filter(pairs, lambda x: x["raw"].isNotNull()), begin, step, lambda s: s["out"])
 
 
 def court_citation_key(raw: Column) -> Column:
@@ -87,3 +92,26 @@ def warnings(chunks: DataFrame, worst: DataFrame, id: str = "id", text: str = "t
     bad = worst.where(F.col("worst").isin("overruled", "distinguished"))
     line = F.concat("citation_key", F.lit(" was "), "worst")
     return named.join(bad, "citation_key").groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(line)), "; ").alias("warning"))
+
+
+def cited_cases(docs: DataFrame, id: str = "id", text: str = "text", pattern: str = CITED_CASE) -> DataFrame:
+    """id, name, citation of every citation that stands in brackets after the names of its case."""
+    both = F.zip_with(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(2)), lambda a, b: F.struct(T.strip(a).alias("name"), T.squeeze(b).alias("citation")))
+    return docs.select(F.col(id).alias("id"), F.explode(both).alias("c")).select("id", "c.name", "c.citation")
+
+
+def citation_profile(docs: DataFrame, id: str = "id", text: str = "text", citation: str = PROFILE_CITATION, named: str = CITED_CASE) -> DataFrame:
+    """One row: texts, those that cite, distinct citations, their occurrences, and those with a case's names.
+
+    Occurrences are counted by citation first, so what is told apart is one row a citation.
+    """
+    found = docs.select(T.found(F.col(text), citation).alias("c"), F.size(T.found(F.col(text), named)).alias("n"))
+    sizes = found.agg(F.count("*").alias("texts"), F.count_if(F.size("c") > 0).alias("citing"), F.coalesce(F.sum(F.size("c")), F.lit(0)).cast("long").alias("occurrences"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("named"))
+    kinds = found.select(F.explode("c").alias("c")).select(T.squeeze(F.col("c")).alias("c")).groupBy("c").agg(F.count("*").alias("k")).agg(F.count("*").alias("distinct_citations"))
+    return sizes.withColumn("one", F.lit(1)).join(kinds.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def most_cited(docs: DataFrame, n: int = 5, text: str = "text", citation: str = PROFILE_CITATION) -> DataFrame:
+    """The citations that stand at most places; ties by the citation."""
+    each = docs.select(F.explode(T.found(F.col(text), citation)).alias("c")).groupBy(T.squeeze(F.col("c")).alias("citation")).agg(F.count("*").alias("n"))
+    return each.orderBy(F.desc("n"), "citation").limit(n)
