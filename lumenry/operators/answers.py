@@ -18,6 +18,7 @@ RULES = (
     "Answer from the numbered sources alone. After each statement, name the sources that carry it in square brackets. "
     f"If the sources don't answer the question, reply {T.REFUSAL} and nothing else."
 )
+STRUCTURED = 'Answer from the numbered sources alone, as JSON: {"refused": false, "claims": [{"text": "...", "source_ids": [1]}]}.'
 REMINDER = "Name sources in square brackets."
 
 

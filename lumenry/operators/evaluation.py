@@ -90,3 +90,47 @@ def authority_profile(df: DataFrame, by: str, cited: str, top: Column) -> DataFr
 
 def most_common(df: DataFrame, value: str, n: int) -> DataFrame:
     return df.groupBy(value).agg(F.count("*").alias("n")).orderBy(F.desc("n"), value).limit(n)
+
+
+def described(df: DataFrame, value: str) -> DataFrame:
+    """Mean, median, the value at place floor(0.9 n) of ascending order, the greatest, and the percentage of zeros."""
+    from .ingest import percentiles
+
+    means = df.where(F.col(value).isNotNull()).agg(F.round(F.avg(value), 6).alias("mean"), F.median(value).cast("double").alias("median"), F.round(100 * F.avg((F.col(value) == 0).cast("double")), 6).alias("zero_percent"))
+    places = percentiles(df, value, (0.9,)).select("p90", "max")
+    return means.withColumn("one", F.lit(1)).join(places.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def agreement(labelled: DataFrame, a: str = "regex", b: str = "model", declined: str = "neither") -> DataFrame:
+    """One row: pairs with both labels, those that agree and their share, and how many that a declined to label b did not.
+
+    Rows where a label is missing are counted as skipped.
+    """
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    out = labelled.agg(
+        F.count_if(both).alias("judged"), F.count_if(both & (F.col(a) == F.col(b))).alias("agreed"), F.count_if(~both).alias("skipped"),
+        F.count_if(both & (F.col(a) == declined)).alias("declined"), F.count_if(both & (F.col(a) == declined) & (F.col(b) != declined)).alias("missed"),
+    )
+    share = lambda x, y: F.round(F.coalesce(F.try_divide(F.col(x).cast("double"), F.col(y).cast("double")), F.lit(0.0)), 6)
+    return out.withColumn("agreement", share("agreed", "judged")).withColumn("missed_rate", share("missed", "declined"))
+
+
+def pool_overlap(pooled: DataFrame) -> DataFrame:
+    """One row of a pool(query_id, id, systems): what systems returned, what is left of it once, and the share they agree on."""
+    out = pooled.agg(F.coalesce(F.sum(F.size("systems")), F.lit(0)).cast("long").alias("returned"), F.count("*").alias("distinct"))
+    return out.withColumn("overlap", F.round(F.coalesce(1 - F.try_divide(F.col("distinct").cast("double"), F.col("returned").cast("double")), F.lit(0.0)), 6))
+
+
+def shuffled(pooled: DataFrame, seed: int = 0) -> DataFrame:
+    """Each query's candidates in an order that tells nothing of their rank: by the digest of seed, query and id."""
+    draw = F.md5(F.concat_ws(":", F.lit(seed), F.col("query_id").cast("string"), F.col("id").cast("string")))
+    return pooled.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(draw, "id")))
+
+
+def head(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n rows in order."""
+    return df.orderBy(order).limit(n)
+
+
+def of_kind(labels: DataFrame, kind: str = "conceptual") -> DataFrame:
+    return labels.where(F.col("kind") == kind)

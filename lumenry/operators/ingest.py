@@ -13,10 +13,19 @@ def exclusion_reason(url: Column, text: Column) -> Column:
     return F.when(F.coalesce(url, F.lit("")) == "", "missing_url").when(F.coalesce(T.strip(text), F.lit("")) == "", "empty_text")
 
 
+def digest(c: Column) -> Column:
+    """256 bits that stand for a long key where rows are shuffled."""
+    return F.unhex(F.sha2(c.cast("string"), 256))
+
+
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key. One small aggregation finds it, so rows themselves move once, by a join."""
-    first = df.groupBy(key).agg(F.min(order).alias(order))
-    return df.join(first, [key, order], "left_semi")
+    """The first row of each key, rows without a key going; order is one a row.
+
+    A small aggregation over the key's digest finds it, so no key moves; rows themselves are joined by order and digest.
+    """
+    keyed = df.where(F.col(key).isNotNull()).withColumn("__key", digest(F.col(key)))
+    first = keyed.groupBy("__key").agg(F.min(order).alias(order))
+    return keyed.join(first, ["__key", order], "left_semi").drop("__key")
 
 
 def labels_by_key(df: DataFrame, key: str, label: str) -> DataFrame:
@@ -47,9 +56,12 @@ def percentiles(df: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.9
     Values are counted first, so what is ordered is one row a distinct value and not one a row.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("long").alias("v")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    total = counts.agg(F.sum("c").alias("n"))
-    rows = counts.withColumn("upto", upto).join(F.broadcast(total))
+    # sums within ranges of values, then of the ranges, one row a range: no task sees all values
+    dealt = counts.repartitionByRange("v").withColumn("p", F.spark_partition_id())
+    ranges = dealt.groupBy("p").agg(F.sum("c").alias("held"))
+    before = ranges.select("p", F.coalesce(F.sum("held").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("held").over(Window.partitionBy(F.lit(1))).alias("n"))
+    within = F.sum("c").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = dealt.withColumn("within", within).join(before, "p").withColumn("upto", F.col("before") + F.col("within"))
     picks = [F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col("v"))) for p in shares]
     return rows.agg(F.coalesce(F.min("v"), F.lit(0)).alias("min"), *[F.coalesce(c, F.lit(0)).alias(f"p{round(p * 100)}") for c, p in zip(picks, shares, strict=True)], F.coalesce(F.max("v"), F.lit(0)).alias("max"))
 
@@ -57,7 +69,7 @@ def percentiles(df: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.9
 def profile(raw: DataFrame, key: str, text: str, fields: tuple[str, ...] = ()) -> DataFrame:
     """Rows, documents, repeats, exclusions by reason and missing fields; emitted + duplicates + excluded = rows."""
     reason = exclusion_reason(F.col(key), F.col(text))
-    flagged = raw.select(F.col(key).alias("k"), reason.alias("reason"), *[(F.coalesce(F.col(f).cast("string"), F.lit("")) == "").alias(f"m_{f}") for f in fields])
+    flagged = raw.select(digest(F.col(key)).alias("k"), reason.alias("reason"), *[(F.coalesce(F.col(f).cast("string"), F.lit("")) == "").alias(f"m_{f}") for f in fields])
     per_key = flagged.groupBy("k").agg(
         F.count("*").alias("n"), F.count_if(F.col("reason").isNull()).alias("good"), F.count_if(F.col("reason") == "missing_url").alias("u"), F.count_if(F.col("reason") == "empty_text").alias("t"), *[F.count_if(f"m_{f}").alias(f"m_{f}") for f in fields]
     )

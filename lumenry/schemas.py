@@ -20,7 +20,7 @@ VECTOR = _struct(chunk_id=_STR, embedding=ArrayType(FloatType()))
 RESULT = _struct(query_id=_STR, rank=_INT, score=_DOUBLE, chunk_id=_STR, doc_id=_STR, text=_STR, metadata=METADATA, score_type=_STR)
 LABEL = _struct(query=_STR, relevant_chunk_ids=ArrayType(_STR), kind=_STR, note=_STR)
 MENTION = _struct(citation_key=_STR, source_doc_id=_STR, treatment=_STR, raw=_STR, snippet=_STR)
-STRUCTURED_ANSWER = "refused boolean, claims array<struct<text:string,source_ids:array<int>>>"
+STRUCTURED_ANSWER = "refused boolean, claims array<struct<text:string,source_ids:array<string>>>"
 REQUEST_LOG = _struct(
     request_id=_STR, ts=_STR, client=_STR, query=_STR, route=_STR, k=_INT, refused=_BOOL, cited=ArrayType(_INT), invalid=ArrayType(_INT), score_gap=_DOUBLE, retriever_ms=_LONG, generation_ms=_LONG, error=_STR
 )

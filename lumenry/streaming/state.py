@@ -31,16 +31,34 @@ def replay_limiter(events: DataFrame, key: str = "user_id", at: str = "ts", id:
     kinds = {c: t for c, t in events.dtypes}
     rows = events.select(F.col(id).alias("id"), F.col(key).alias("key"), (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("t"))
 
-    def replay(t):
-        order = np.lexsort((t["id"].to_numpy(zero_copy_only=False), t["t"].to_numpy()))
-        held: list[float] = []
-        out = np.zeros(len(order), bool)
-        times = t["t"].to_numpy()
-        for i in order:
-            out[i], held = admit(held, float(times[i]), limit, window)
-        return pa.table({"id": t["id"], "key": t["key"], "allowed": pa.array(out)})
+    def replay(held: list[float], row: tuple) -> tuple[bool, list[float]]:
+        return admit(held, row[2], limit, window)
 
-    return rows.groupBy("key").applyInArrow(replay, f"id {kinds[id]}, key {kinds[key]}, allowed boolean")
+    return in_order(rows, "key", ["t", "id"], list, replay, "id", f"id {kinds[id]}, key {kinds[key]}, allowed boolean")
+
+
+def in_order(rows: DataFrame, key: str, order: list[str], fresh: Callable, step: Callable, id: str, schema: str) -> DataFrame:
+    """id, key and a flag of each row: step(state, row) gives the flag and the key's next state, beginning with fresh().
+
+    Rows arrive sorted within their partition and are taken a batch at a time, with one key's state held: a key of any
+    number of rows needs the memory of a batch. Its rows stay in one task, as each hangs on those before it.
+    """
+    names = schema.replace(",", "").split()[::2]
+    sorted_rows = rows.repartition(key).sortWithinPartitions(key, *order)
+
+    def run(batches):
+        now, state = object(), None
+        for batch in batches:
+            flags = []
+            keys = batch.column(key).to_pylist()
+            for k, row in zip(keys, zip(*(c.to_pylist() for c in batch.columns), strict=True), strict=True):
+                if k != now:
+                    now, state = k, fresh()
+                flag, state = step(state, row)
+                flags.append(flag)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ([id, key] if names[0] == id else [key, id])), pa.array(flags, pa.bool_())], names=names)
+
+    return sorted_rows.mapInArrow(run, schema)
 
 
 def stream_limiter(events: DataFrame, limit: int = LIMIT, window: float = WINDOW) -> DataFrame:
@@ -99,21 +117,25 @@ class AnswerCache:
         return self.hits / n if (n := self.hits + self.misses) else 0.0
 
 
-def replay_cache(events: DataFrame, most: int = 200) -> DataFrame:
-    """session, seq, hit of questions(session, seq, query) asked one after another, each session with its own cache."""
-    rows = events.select("session", "seq", T.cache_key(F.col("query")).alias("query"))
+def replay_cache(events: DataFrame, most: int = 200, near: float = 0.97) -> DataFrame:
+    """session, seq, hit of questions(session, seq, query) asked one after another, each session with its own cache.
+
+    With columns kind and embedding, conceptual questions hit on vectors near enough; without, all are equal-text ones.
+    """
+    both = {"kind", "embedding"} <= set(events.columns)
+    more = ["kind", F.col("embedding").cast("array<double>").alias("embedding")] if both else [F.lit("identifier").alias("kind"), F.lit(None).cast("array<double>").alias("embedding")]
+    rows = events.select("session", "seq", T.cache_key(F.col("query")).alias("query"), *more)
     kind = dict(rows.dtypes)
 
-    def replay(t):
-        order = np.argsort(t["seq"].to_numpy(), kind="stable")
-        queries, cache, hit = t["query"].to_pylist(), AnswerCache(most), np.zeros(len(order), bool)
-        for i in order:
-            hit[i] = cache.get(queries[i] or "", "identifier") is not None
-            if not hit[i]:
-                cache.put(queries[i] or "", "identifier", True)
-        return pa.table({"session": t["session"], "seq": t["seq"], "hit": pa.array(hit)})
+    def ask(cache: AnswerCache, row: tuple) -> tuple[bool, AnswerCache]:
+        _, _, query, how, vector = row
+        vector = None if vector is None else np.array(vector)
+        hit = cache.get(query or "", how, vector) is not None
+        if not hit:
+            cache.put(query or "", how, True, vector)
+        return hit, cache
 
-    return rows.groupBy("session").applyInArrow(replay, f"session {kind['session']}, seq {kind['seq']}, hit boolean")
+    return in_order(rows, "session", ["seq"], lambda: AnswerCache(most, near), ask, "seq", f"session {kind['session']}, seq {kind['seq']}, hit boolean")
 
 
 def pending(chunks: DataFrame, done: DataFrame, id: str = "id") -> DataFrame:
