@@ -49,10 +49,9 @@ class Engine:
 
     def reranked(self, queries: DataFrame, k: int) -> DataFrame:
         """More candidates than asked for, ordered anew by a scorer that sees question and text."""
-        depth = max(RERANK_DEPTH, k)
-        found = self.hybrid(queries, depth, depth).join(self.chunks.select("id", "text"), "id").join(queries.select("query_id", "query"), "query_id")
-        scored = fusion.rerank(found.drop("score"), providers.lexical_relevance(F.col("query"), F.col("text")), k)
-        return scored.select("query_id", "rank", "id", "score")
+        found = self.hybrid(queries, depth := max(RERANK_DEPTH, k), depth).drop("score")
+        scored = providers.scored_candidates(found, queries, self.chunks.select("id", "text"))
+        return fusion.rerank(scored, F.col("relevance"), k).select("query_id", "rank", "id", "score")
 
     def routed(self, queries: DataFrame, k: int, semantic: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
         """Exact hits of identifiers first; the rest is filled by another search, weighted by authority."""
@@ -72,15 +71,36 @@ class Engine:
         """Routed over reranked over hybrid, with neighbours."""
         return self.expanded(self.routed(queries, k))
 
-    def answer(self, queries: DataFrame, make: Callable[[], providers.Model], k: int = 6, search: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
-        """query_id, query, reply, refused, cited, invalid, gap: retrieve, pack, ask, read."""
+    def hydrate(self, results: DataFrame) -> DataFrame:
+        """Results with what is stored of their chunks; an id without a chunk is an error."""
+        known = results.join(self.chunks.drop("score"), "id", "left")
+        there = F.col("doc_id").isNotNull() | F.col("text").isNotNull()
+        return known.withColumn("text", F.when(there, F.col("text")).otherwise(F.raise_error(F.concat(F.lit("no chunk "), F.col("id").cast("string")))))
+
+    def asked(self, queries: DataFrame, k: int, search: Callable[[DataFrame, int], DataFrame] | None, remind: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Results with texts, packed sources and prompts of queries."""
         found = (search or self.live)(queries, k)
         if "text" not in found.columns:
             found = found.join(self.chunks.select("id", "text"), "id")
         packed = answers.pack_sources(found.join(queries.select("query_id", "query"), "query_id"), patterns=self.patterns)
-        asked = providers.complete(answers.prompts(queries, packed), make, system=answers.RULES)
-        read = asked.withColumn("a", T.parsed_answer(F.coalesce("reply", F.lit(T.REFUSAL)), F.col("n_sources")))
-        return read.join(queries.select("query_id", "query"), "query_id").join(fusion.score_gap(found), "query_id", "left").select("query_id", "query", "reply", "a.refused", "a.cited", "a.invalid", "n_sources", F.coalesce("gap", F.lit(0.0)).alias("gap"))
+        return found, packed, answers.prompts(queries, packed, remind)
+
+    def sources(self, queries: DataFrame, k: int = 6, search: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+        """query_id, n, id, text of the sources that answers to queries are written from."""
+        return self.asked(queries, k, search, True)[1].select("query_id", "n", "id", "text")
+
+    def answer(self, queries: DataFrame, make: Callable[[], providers.Model], k: int = 6, search: Callable[[DataFrame, int], DataFrame] | None = None, structured: bool = False) -> DataFrame:
+        """query_id, query, reply, text, refused, cited, invalid, n_sources, truncated, gap: retrieve, pack, ask, read.
+
+        A structured reply is JSON of claims with their sources' numbers; its text is built from them.
+        """
+        found, _, prompts = self.asked(queries, k, search, not structured)
+        told = providers.complete(prompts, make, system=answers.STRUCTURED if structured else answers.RULES)
+        read = T.structured_answer if structured else T.parsed_answer
+        told = told.withColumn("a", read(F.coalesce("reply", F.lit("" if structured else T.REFUSAL)), F.col("n_sources")))
+        rows = told.join(queries.select("query_id", "query"), "query_id").join(fusion.score_gap(found), "query_id", "left")
+        text = F.col("a.text") if structured else F.col("reply")
+        return rows.select("query_id", "query", "reply", text.alias("text"), "a.refused", "a.cited", "a.invalid", "n_sources", "truncated", F.coalesce("gap", F.lit(0.0)).alias("gap"))
 
     def corrected(self, answered: DataFrame, make: Callable[[], providers.Model], k: int = 6) -> DataFrame:
         """New answers to refused questions, from what their sub-questions find."""
@@ -102,17 +122,36 @@ class Agent:
     turns: int = 5
     longest_note: int = 500
 
+    @classmethod
+    def over(cls, engine: Engine, edges: DataFrame | None = None, k: int = 5) -> Agent:
+        """An agent that searches an engine's chunks and, with edges(source_id, target_id, score), walks from a chunk to its neighbours."""
+        spark = engine.chunks.sparkSession
+
+        def search(query: str) -> list[str]:
+            asked = spark.createDataFrame([(0, query)], "query_id long, query string")
+            return [r["text"] for r in engine.hydrate(engine.reranked(asked, k)).orderBy("rank").select("text").take(k)]
+
+        def explore(id: str) -> list[str]:
+            near = dense.neighbours(edges, engine.chunks.select("id", "text"), spark.createDataFrame([(int(id),)], "source_id long"), k)
+            return [r["text"] for r in near.orderBy("rank").select("text").take(k)]
+
+        return cls({"search": search} | ({"explore": explore} if edges is not None else {}))
+
     def run(self, question: str, model: providers.Model) -> tuple[str, list[str]]:
-        """The final answer and all sources, numbered over the whole talk. Replies are `tool: argument` or `answer: text`."""
+        """The final answer and all sources, numbered over the whole talk. Replies are `tool: argument` or `answer: text`.
+
+        In the turn before the last, answering is all that is left; long notes are cut before each turn.
+        """
         notes, sources = [f"Question: {question}"], []
         for turn in range(self.turns):
             last = turn >= self.turns - 1
             reply = model.complete("Answer now." if last else "Use a tool or answer.", "\n".join(notes))
             name, _, rest = reply.partition(":")
-            if name.strip() == "answer" or last or name.strip() not in self.tools:
-                return (rest if name.strip() == "answer" else reply).strip(), sources
+            name = name.strip()
+            if name == "answer" or last or name not in self.tools:
+                return (rest if name == "answer" else reply).strip(), sources
             notes = [n[: self.longest_note] for n in notes]
-            for text in self.tools[name.strip()](rest.strip()):
+            for text in self.tools[name](rest.strip()):
                 sources.append(text)
                 notes.append(f"[{len(sources)}] {text}")
         return T.REFUSAL, sources

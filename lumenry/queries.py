@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import text as T, vectors as V
-from .functions.patterns import PLAIN
+from .functions.patterns import PLAIN, STANCES
 from .operators import answers, chunk, dense, evaluation, exact, fusion, ingest, lexical, treatment
-from .plans import providers
+from .plans import audit, providers
 from .plans.search import Engine
 from .sources import corpus
 from .streaming import state
@@ -43,8 +43,19 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def asked_docs(spark: SparkSession, d: str) -> DataFrame:
-    """The beginning of every hundredth document as a query."""
-    return docs(spark, d).where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 200).alias("query"))
+    """Every hundredth document, whole, as a query."""
+    return docs(spark, d).where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def asked_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    """The identifiers of each document that has some, as a query; documents of the same ones are one query, named by the
+    least of them, below zero."""
+    held = docs(spark, d).select("doc_id", F.array_join(T.identifiers(F.col("text"), PLAIN), " ").alias("query")).where("query <> ''")
+    return held.groupBy("query").agg((-1 - F.min("doc_id")).alias("query_id")).select("query_id", "query")
+
+
+def asked_both(spark: SparkSession, d: str) -> DataFrame:
+    return asked_identifiers(spark, d).union(asked_docs(spark, d))
 
 
 def asked_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -59,6 +70,8 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 TOKENS = "list_concat(list_transform(regexp_extract_all({0}, '[0-9]{{3}}-[0-9]{{4}}'), lambda x: replace(x, ' ', '_')), regexp_extract_all(lower({0}), '[a-z0-9]+'))"
 IDS = "list_sort(list_distinct(list_concat(regexp_extract_all({0}, '[0-9]{{3}}-[0-9]{{4}}'), regexp_extract_all({0}, '[0-9]{{1,3}}[.][0-9]{{1,3}}[.][0-9]{{1,3}}[.][0-9]{{1,3}}'), regexp_extract_all({0}, '[0-9]{{16}}'))))"
 STANCE = "case when regexp_matches({0}, '(?i)(?:thand|thest|oner)') and regexp_matches({0}, '(?i)(?:tiona|edent|erly)') then 'both' when regexp_matches({0}, '(?i)(?:thand|thest|oner)') then 'argument' when regexp_matches({0}, '(?i)(?:tiona|edent|erly)') then 'holding' else 'neither' end"
+NOTE = " ".join(f"when '{k}' then '{note}'" for k, (_, note) in STANCES.items())
+NOTE = f"case {{0}} {NOTE} end"
 
 
 def bm25_sql(queries: str, k: int) -> str:
@@ -75,7 +88,9 @@ bm25 as (select query_id, cast(row_number() over (partition by query_id order by
 
 
 BENCH_Q = "select item_id as query_id, text as query from benchmark"
-DOCS_Q = "select doc_id as query_id, substr(text, 1, 200) as query from documents where doc_id % 100 = 0"
+DOCS_Q = "select doc_id as query_id, text as query from documents where doc_id % 100 = 0"
+IDS_Q = f"select -1 - min(doc_id) as query_id, query from (select doc_id, array_to_string({IDS.format('text')}, ' ') as query from documents) where query <> '' group by query"
+BOTH_Q = f"{IDS_Q} union all {DOCS_Q}"
 COS = "list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[]))"
 
 
@@ -174,14 +189,14 @@ def query_classify(spark, d):
 
 
 EXACT_SQL = f"""
-eq as ({DOCS_Q}), ex as (select doc_id as id, unnest({IDS.format('text')}) as identifier from documents),
+eq as ({BOTH_Q}), ex as (select doc_id as id, unnest({IDS.format('text')}) as identifier from documents),
 et as (select query_id, len({IDS.format('query')}) as n, unnest({IDS.format('query')}) as identifier from eq),
 exact as (select query_id, id from ex join et using (identifier) group by query_id, n, id having count(*) = n)"""
 
 
 @query(f"with {EXACT_SQL} select query_id, id from exact")
 def exact_lookup_intersect(spark, d):
-    return exact.lookup(exact.identifier_postings(docs(spark, d), patterns=PLAIN), asked_docs(spark, d), PLAIN)
+    return exact.lookup(exact.identifier_postings(docs(spark, d), patterns=PLAIN), asked_both(spark, d), PLAIN)
 
 
 @query(f"select identifier as query, array_to_string(list_sort(list(distinct id)), ',') as relevant from (select unnest({IDS.format('text')}) as identifier, doc_id as id from documents) group by identifier having count(distinct id) between 2 and 12")
@@ -225,8 +240,7 @@ def cosine_pairs(spark, d):
 
 
 def _hybrid(spark, d, weights, k=10):
-    q = docs(spark, d).where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 200).alias("query"))
-    lists = [dense.nearest(asked_vectors(spark, d), vectors(spark, d), 20), lexical.bm25(docs(spark, d), q, 20, patterns=PLAIN)]
+    lists = [dense.nearest(asked_vectors(spark, d), vectors(spark, d), 20), lexical.bm25(docs(spark, d), asked_docs(spark, d), 20, patterns=PLAIN)]
     return fusion.rrf(lists, k, weights).withColumn("score", F.round("score", 6))
 
 
@@ -256,24 +270,24 @@ def authority_boost(spark, d):
     return docs(spark, d).select("doc_id", F.round(T.authority(F.col("source"), F.col("n_chars") % 10, SOURCE_WEIGHTS), 6).alias("weight"))
 
 
-@query(f"""with {EXACT_SQL}, {bm25_sql(DOCS_Q, 20)},
+@query(f"""with {EXACT_SQL}, {bm25_sql(BOTH_Q, 20)},
 b as (select doc_id as id, {AUTHORITY_SQL} as weight from documents),
 r as (select query_id, id, 0 as c, cast(1.0 as double) as score, 'exact' as score_type from exact union all
   select query_id, id, 1, score * weight, 'boosted' from bm25 join b using (id) where (query_id, id) not in (select (query_id, id) from exact))
 select query_id, cast(row_number() over (partition by query_id order by c, round(score, 9) desc, id) as int) as rank, id, round(score, 6) as score, score_type from r qualify rank <= 10""")
 def routed_search(spark, d):
-    rows, q = docs(spark, d), asked_docs(spark, d)
+    rows, q = docs(spark, d), asked_both(spark, d)
     hits = exact.lookup(exact.identifier_postings(rows, patterns=PLAIN), q, PLAIN)
     boost = rows.select("id", T.authority(F.col("source"), F.col("n_chars") % 10, SOURCE_WEIGHTS).alias("weight"))
     return fusion.routed(hits, lexical.bm25(rows, q, 20, patterns=PLAIN), boost, 10).withColumn("score", F.round("score", 6))
 
 
 @query("""
-with h as (select conv_id, turn from conversations where conv_id % 100 = 0)
+with h as (select conv_id, turn from conversations)
 select h.conv_id as doc_id, h.turn as idx, md5(string_agg(c.text, chr(10) || chr(10) order by c.turn, c.text)) as digest, count(*) as n_pieces from h join conversations c on c.conv_id = h.conv_id and c.turn between h.turn - 1 and h.turn + 1 group by 1, 2""")
 def parent_expand(spark, d):
     c = read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), "text")
-    hits = c.where("doc_id % 100 = 0").select(F.lit(0).alias("query_id"), F.lit(1).alias("rank"), "doc_id", "idx")
+    hits = c.select(F.lit(0).alias("query_id"), F.lit(1).alias("rank"), "doc_id", "idx")
     return fusion.expand(hits, c).select("doc_id", "idx", F.md5("expanded").alias("digest"), "n_pieces")
 
 
@@ -290,8 +304,8 @@ s as (select query_id, former, id, coalesce(len(list_intersect(qw, dw)) / nullif
 select query_id, cast(row_number() over (partition by query_id order by round(score, 9) desc, former, id) as int) as rank, id, round(score, 6) as score from s qualify rank <= 10""")
 def reranked(spark, d):
     rows, q = docs(spark, d), asked(spark, d)
-    found = lexical.bm25(rows, q, 50, patterns=PLAIN).join(rows.select("id", "text"), "id").join(q, "query_id")
-    return fusion.rerank(found.drop("score"), providers.lexical_relevance(F.col("query"), F.col("text")), 10).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+    found = providers.scored_candidates(lexical.bm25(rows, q, 50, patterns=PLAIN).drop("score"), q, rows)
+    return fusion.rerank(found, F.col("relevance"), 10).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 # Stance and treatment.
@@ -317,7 +331,7 @@ MENTIONS_SQL = """
 m0 as (select doc_id, text, regexp_extract_all(text, '[0-9]{3}-[0-9]{4}') as ms, string_split_regex(text, '[0-9]{3}-[0-9]{4}') as ps from documents),
 m1 as (select doc_id, text, ms, ps, unnest(range(1, len(ms) + 1)) as i from m0),
 m2 as (select doc_id, text, ms[i] as raw, cast(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) as int) as start from m1),
-m3 as (select *, substr(text, cast(greatest(start - 200, 0) + 1 as bigint), cast(start + length(raw) + 200 - greatest(start - 200, 0) as bigint)) as win, substr(text, cast(greatest(start - 40, 0) + 1 as bigint), cast(start + length(raw) + 40 - greatest(start - 40, 0) as bigint)) as snip from m2),
+m3 as (select *, substr(text, cast(greatest(start - 200, 0) + 1 as bigint), cast(start + length(raw) + 200 - greatest(start - 200, 0) as bigint)) as win, substr(text, cast(greatest(start - 80, 0) + 1 as bigint), cast(start + length(raw) + 80 - greatest(start - 80, 0) as bigint)) as snip from m2),
 mentions as (select raw as citation_key, doc_id as source_doc_id, case when regexp_matches(win, '(?i)(?:scum|idiot)') then 'overruled' when regexp_matches(win, '(?i)(?:stan|tial)') then 'distinguished' when regexp_matches(win, '(?i)(?:ing|ly)') then 'followed' else 'referred' end as treatment, raw, trim(snip) as snippet, start from m3)"""
 
 
@@ -346,7 +360,7 @@ def treatment_warnings(spark, d):
 @query(f"""with {MENTIONS_SQL}, w as (select citation_key, max(case treatment when 'overruled' then 3 when 'distinguished' then 2 when 'followed' then 1 else 0 end) as s from mentions group by 1),
 c as (select source_doc_id as id, string_agg(line, '; ' order by line) as warning from (select distinct source_doc_id, citation_key || ' was ' || case s when 3 then 'overruled' else 'distinguished' end as line from mentions join w using (citation_key) where s >= 2) group by 1),
 r as (select lang as query_id, doc_id as id, source, text, row_number() over (partition by lang order by doc_id) as n from documents)
-select id, md5('[' || n || '] (' || case {STANCE.format('text')} when 'both' then 'contains both a party''s submission and the court''s own reasoning' when 'holding' then 'the court''s own reasoning' when 'neither' then 'narrative or procedural, no stated position' else 'records a party''s submission, not the court''s finding' end || ') ' || source || ': ' || text || coalesce(chr(10) || 'CAUTION: ' || warning, '')) as digest from r left join c using (id)""")
+select id, md5('[' || n || '] (' || {NOTE.format(STANCE.format('text'))} || ') ' || source || ': ' || text || coalesce(chr(10) || 'CAUTION: ' || warning, '')) as digest from r left join c using (id)""")
 def source_lines(spark, d):
     rows = docs(spark, d)
     found = treatment.warnings(rows, treatment.worst_treatment(treatment.mentions(rows, patterns=PLAIN)), patterns=PLAIN)
@@ -420,12 +434,91 @@ def most_common_sources(spark, d):
     return evaluation.most_common(docs(spark, d), "source", 5)
 
 
+CONFIGS = {"hybrid": (1, 1), "weighted": (1, 3)}
+
+
+def sweep_sql() -> str:
+    fused = "".join(
+        f""",
+f_{name} as (select query_id, id, sum(w / (60 + rank)) as score, min(no * 1000 + rank) as first from (select query_id, id, rank, 0 as no, cast({a} as double) as w from dense union all select query_id, id, rank, 1, cast({b} as double) from bm25) group by 1, 2),
+r_{name} as (select query_id, row_number() over (partition by query_id order by round(score, 9) desc, first, id) as rank, id from f_{name} qualify rank <= 10)"""
+        for name, (a, b) in CONFIGS.items()
+    )
+    lists = " union all ".join(f"select '{name}' as config, query_id, rank, id from {table} where rank <= 10" for name, table in (("dense", "dense"), ("bm25", "bm25"), *((n, f"r_{n}") for n in CONFIGS)))
+    return f"""with {dense_sql(20)}, {bm25_sql(DOCS_Q, 20)}{fused},
+lists as ({lists}),
+rel as (select a.vec_id as query_id, case when a.label % 2 = 0 then 'exact' else 'conceptual' end as kind, b.vec_id as id, count(*) over (partition by a.vec_id) as n_rel from embeddings a join embeddings b on a.label = b.label where a.vec_id % 100 = 0),
+hit as (select config, query_id, rank, (query_id, id) in (select (query_id, id) from rel) as ok from lists),
+res as (select c.config, r.query_id, any_value(r.kind) as kind, coalesce(sum(ok::int), 0)::double / any_value(r.n_rel) as recall, coalesce(avg(ok::int), 0) as precision, coalesce(1.0 / min(rank) filter (where ok), 0) as reciprocal_rank
+  from (select distinct query_id, kind, n_rel from rel) r cross join (select distinct config from lists) c left join hit h on h.query_id = r.query_id and h.config = c.config group by 1, 2)
+select config, coalesce(kind, 'all') as kind, count(*) as n, round(avg(recall), 6) as recall, round(avg(precision), 6) as precision, round(avg(reciprocal_rank), 6) as reciprocal_rank from res group by grouping sets ((config, kind), (config))"""
+
+
+@query(sweep_sql())
+def config_sweep(spark, d):
+    near, words = dense.nearest(asked_vectors(spark, d), vectors(spark, d), 20), lexical.bm25(docs(spark, d), asked_docs(spark, d), 20, patterns=PLAIN)
+    fused = {name: fusion.rrf([near, words], 10, [float(w) for w in weights]) for name, weights in CONFIGS.items()}
+    return evaluation.sweep({"dense": near, "bm25": words} | fused, _labels(spark, d), 10)
+
+
+@query(f"with {dense_sql(20)}, {bm25_sql(DOCS_Q, 20)}, u as (select query_id, id from dense union all select query_id, id from bm25) select count(*) as returned, count(distinct (query_id, id)) as distinct, round(1 - count(distinct (query_id, id))::double / count(*), 6) as overlap from u")
+def pool_agreement(spark, d):
+    found = {"dense": dense.nearest(asked_vectors(spark, d), vectors(spark, d), 20), "bm25": lexical.bm25(docs(spark, d), asked_docs(spark, d), 20, patterns=PLAIN)}
+    return evaluation.pool_overlap(fusion.pool(found))
+
+
+@query(f"with {dense_sql(20)} select query_id, id, cast(row_number() over (partition by query_id order by md5('5:' || query_id || ':' || id), id) as int) as place from dense")
+def pool_shuffled(spark, d):
+    return evaluation.shuffled(dense.nearest(asked_vectors(spark, d), vectors(spark, d), 20).select("query_id", "id"), 5)
+
+
+MODEL_SQL = "case quality when 0 then 'both' when 1 then 'holding' else null end"
+
+
+@query(f"""with s as (select {STANCE.format('text')} as a, {MODEL_SQL} as b from documents join labels using (doc_id)), c as (select count(*) filter (where b is not null) as judged, count(*) filter (where a = b) as agreed, count(*) filter (where b is null) as skipped,
+  count(*) filter (where b is not null and a = 'neither') as declined, count(*) filter (where a = 'neither' and b <> 'neither') as missed from s)
+select *, round(coalesce(agreed::double / nullif(judged, 0), 0), 6) as agreement, round(coalesce(missed::double / nullif(declined, 0), 0), 6) as missed_rate from c""")
+def stance_agreement(spark, d):
+    rows = docs(spark, d).join(read(spark, d, "labels"), "doc_id")
+    model = F.when(F.col("quality") == 0, "both").when(F.col("quality") == 1, "holding")
+    return evaluation.agreement(rows.select(T.stance(F.col("text"), PLAIN).alias("regex"), model.alias("model")))
+
+
+@query("with o as (select n_chars v, row_number() over (order by n_chars) - 1 as i, count(*) over () as n from documents) select round(avg(v), 6) as mean, median(v) as median, round(100 * avg((v = 0)::int), 6) as zero_percent, max(v) filter (where i = least(floor(n * 0.9), n - 1)) as p90, max(v) as max from o")
+def length_described(spark, d):
+    return evaluation.described(docs(spark, d), "n_chars")
+
+
+NAMED = "([A-Za-z]+)[ ,.|]+[+]1 [(][0-9]{3}[)] ([0-9]{3}-[0-9]{4})"
+
+
+@query(f"""with c as (select regexp_extract_all(text, '[0-9]{{3}}-[0-9]{{4}}') as c, len(regexp_extract_all(text, '{NAMED}')) as n from documents), k as (select count(distinct c) as k from (select unnest(c) as c from c))
+select count(*) as texts, count(*) filter (where len(c) > 0) as citing, cast(sum(len(c)) as bigint) as occurrences, cast(sum(n) as bigint) as named, any_value(k) as distinct_citations from c, k""")
+def citation_profile(spark, d):
+    return treatment.citation_profile(docs(spark, d), citation=PLAIN.citation, named=NAMED)
+
+
+@query("select citation, count(*) as n from (select unnest(regexp_extract_all(text, '[0-9]{3}-[0-9]{4}')) as citation from documents) group by 1 order by n desc, citation limit 5")
+def most_cited(spark, d):
+    return treatment.most_cited(docs(spark, d), 5, citation=PLAIN.citation)
+
+
+@query(rf"select doc_id as id, regexp_extract(m, '{NAMED}', 1) as name, regexp_extract(m, '{NAMED}', 2) as citation from (select doc_id, unnest(regexp_extract_all(text, '{NAMED}')) as m from documents)")
+def cited_cases(spark, d):
+    return treatment.cited_cases(docs(spark, d), pattern=NAMED)
+
+
+@query(r"select count(*) as n, count(*) filter (where len(regexp_extract_all(text, '\S+')) > 300) as truncated from documents")
+def embedder_cuts(spark, d):
+    return providers.truncated(docs(spark, d), "text", 300)
+
+
 # Prompts, answers, claims.
 
 
 @query(f"""
 with r as (select conv_id as query_id, 'q' as query, turn as rank, text, row_number() over (partition by conv_id order by turn, text) as n from conversations),
-b as (select *, '[' || n || '] (' || case {STANCE.format('text')} when 'both' then 'contains both a party''s submission and the court''s own reasoning' when 'holding' then 'the court''s own reasoning' when 'neither' then 'narrative or procedural, no stated position' else 'records a party''s submission, not the court''s finding' end || ') ' || text as block from r),
+b as (select *, '[' || n || '] (' || {NOTE.format(STANCE.format('text'))} || ') ' || text as block from r),
 s as (select *, length(query) + sum(length(block)) over (partition by query_id order by n) as spent from b),
 o as (select *, max(case when n > 1 and spent > 1500 then 1 else 0 end) over (partition by query_id order by n) as over from s)
 select query_id, cast(n as int) as n, md5(block) as digest, cast(spent as bigint) as spent from o where over = 0""")
@@ -466,6 +559,63 @@ def attribution_summary(spark, d):
     return out.select(*[F.round(x, 6).alias(x) if t == "double" else F.col(x) for x, t in out.dtypes])
 
 
+@query("""
+with c as (select conv_id, turn, 'claim ' || turn as t, [turn % 5, turn + 1, turn % 3] as ids from conversations)
+select conv_id, turn, turn % 7 = 0 as refused, case when turn % 7 = 0 then 'INSUFFICIENT_CONTEXT' else t || ' [' || array_to_string(ids, ', ') || ']' || chr(10) || chr(10) || 'second [9]' end as text,
+ array_to_string(list_filter(list_filter(list_concat(ids, [9]), lambda x, i: list_position(list_concat(ids, [9]), x) = i), lambda x: x between 1 and 4), ',') as cited,
+ array_to_string(list_filter(list_filter(list_concat(ids, [9]), lambda x, i: list_position(list_concat(ids, [9]), x) = i), lambda x: not x between 1 and 4), ',') as invalid from c""")
+def structured_answers(spark, d):
+    """Replies of whole and of broken claims: one without text, one without sources, one whose number isn't whole."""
+    turn = F.col("turn")
+    number = lambda c: c.cast("string")
+    ids = F.concat_ws(", ", number(turn % 5), number(turn + 1), F.lit("2.5"), number(turn % 3))
+    reply = F.concat(
+        F.lit('{"refused": '), F.when(turn % 7 == 0, "true").otherwise("false"), F.lit(', "claims": [{"text": " claim '), number(turn), F.lit(' ", "source_ids": ['), ids,
+        F.lit(']}, {"text": " ", "source_ids": [1]}, {"text": "bare", "source_ids": []}, {"text": "second", "source_ids": [9]}]}'),
+    )
+    rows = read(spark, d, "conversations").select("conv_id", "turn", T.structured_answer(reply, F.lit(4)).alias("a"))
+    join = lambda x: F.array_join(F.transform(x, number), ",")
+    return rows.select("conv_id", "turn", "a.refused", "a.text", join("a.cited").alias("cited"), join("a.invalid").alias("invalid"))
+
+
+class Opening:
+    """A summariser's stand-in: a text's first 90 characters, without tags where the 90th is a vowel."""
+
+    last_finish_reason = None
+
+    def complete(self, system: str, prompt: str) -> str:
+        head = prompt.removeprefix("Judgment Text:\n")[:90]
+        return head if head[-1:] in tuple("aeiou") else f"<summary>{head}</summary>"
+
+
+LEAK_SQL = " or ".join(["contains(lower(s), '{}')".format(T.LEAKED), *("starts_with(lower(s), '{}')".format(p.replace("'", "''")) for p in T.LEAKS)])
+
+
+@query(f"""with h as (select doc_id, substr(text, 1, 90) as h from documents where doc_id % 3 <> 0), t as (select doc_id, trim(h, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as s from h where length(h) < 90 and right(h, 1) not in ('a', 'e', 'i', 'o', 'u') or length(h) = 90 and right(h, 1) not in ('a', 'e', 'i', 'o', 'u'))
+select doc_id, s as summary from t where s <> '' and not ({LEAK_SQL})""")
+def document_summaries(spark, d):
+    """Of documents that no summary is stored for (here: those whose id three doesn't divide)."""
+    rows = docs(spark, d).select("id", "text")
+    stored = rows.where("id % 3 = 0").select(F.col("id").alias("doc_id"))
+    return audit.summaries(rows, stored, Opening)
+
+
+@query()
+def audited_answers(spark, d):
+    """Answers of an engine, and their claims judged against their sources by a stand-in, as one row of figures."""
+    engine, q = _engine(spark, d), asked(spark, d)
+    told = engine.answer(q, providers.Extractive, 5)
+    return audit.audit(told, engine.sources(q, 5), audit.WordJudge)
+
+
+@query()
+def conceptual_cache_replay(spark, d):
+    """Questions of sessions, by turns identifiers and vectors, against caches of a few answers."""
+    v = vectors(spark, d).select(F.col("id").alias("event_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    e = read(spark, d, "events").join(v, "event_id").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.col("event_type").alias("query"), F.when(F.col("event_id") % 4 == 0, "identifier").otherwise("conceptual").alias("kind"), "embedding")
+    return state.replay_cache(e.withColumn("session", F.col("session") % 7), 8, 0.4)
+
+
 # Leaks and overlaps.
 
 
@@ -492,12 +642,12 @@ def leak_ngrams(spark, d):
 
 
 @query("""
-with s as (select item_id, list_distinct(list_filter(regexp_extract_all(lower(substr(text, 1, 40)), '[a-z]+'), lambda x: length(x) > 2 and not list_contains(['the', 'of', 'and', 'state', 'others', 'anr', 'ors', 'vs', 'v', 'union', 'india', 'in', 're', 'smt', 'shri', '&'], x))) as want from benchmark),
+with s as (select item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 2 and not list_contains(['the', 'of', 'and', 'state', 'others', 'anr', 'ors', 'vs', 'v', 'union', 'india', 'in', 're', 'smt', 'shri', '&'], x))) as want from benchmark),
 t as (select item_id, len(want) as n, unnest(want) as w from s where len(want) >= 2),
 d as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) as w from documents)
 select item_id, doc_id from t join d using (w) group by item_id, doc_id, n having count(*) = n""")
 def name_containment(spark, d):
-    want = read(spark, d, "benchmark").select("item_id", T.significant(F.substring("text", 1, 40)).alias("want")).where(F.size("want") >= 2)
+    want = read(spark, d, "benchmark").select("item_id", T.significant(F.col("text")).alias("want")).where(F.size("want") >= 2)
     terms = want.select("item_id", F.size("want").alias("n"), F.explode("want").alias("w"))
     have = docs(spark, d).select("doc_id", F.explode(F.array_distinct(T.found(F.lower("text"), "[a-z]+"))).alias("w"))
     return have.join(terms, "w").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("held")).where("held = n").select("item_id", "doc_id")
@@ -508,7 +658,7 @@ def name_containment(spark, d):
 
 @query()
 def rate_limit_replay(spark, d):
-    return state.replay_limiter(read(spark, d, "events"), limit=3, window=3600.0)
+    return state.replay_limiter(read(spark, d, "events"), limit=3, window=7 * 86400.0)
 
 
 @query()
@@ -542,10 +692,28 @@ def split_claims(spark, d):
     return answers.claims_table(c)
 
 
+SIZES = ((450, 100), (700, 200), (1000, 300))
+
+
 @query()
-def engine_answers(spark, d):
-    """Routed, reranked, fused, expanded, packed and answered by a stand-in for a model."""
+def chunk_sweep(spark, d):
+    """Chunks, their mean and greatest length and documents with some, for each of three sizes."""
+    rows = docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), "text", F.struct(F.lit(None).cast("string").alias("title"), F.col("source").alias("court")).alias("metadata"))
+    out = None
+    for size, overlap in SIZES:
+        chunks = chunk.chunk_documents(rows, chunk.Chunking(size=size, overlap=overlap))
+        one = chunks.agg(F.count("*").alias("chunks"), F.round(F.avg(F.length("text")), 6).alias("mean"), F.max(F.length("text")).alias("longest"), F.count_distinct("doc_id").alias("documents")).withColumn("size", F.lit(size))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _engine(spark, d) -> Engine:
     rows = docs(spark, d).select("id", F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("idx"), "text", F.col("source").alias("court"), F.col("n_chars").alias("cited_by"))
     embedder = providers.HashedWords()
-    engine = Engine(rows, providers.embed(rows, embedder), embedder, PLAIN)
-    return engine.answer(asked(spark, d), providers.Extractive, 5)
+    return Engine(rows, providers.embed(rows, embedder), embedder, PLAIN)
+
+
+@query()
+def engine_answers(spark, d):
+    """Routed, reranked, fused, expanded, packed and answered by a stand-in for a model."""
+    return _engine(spark, d).answer(asked(spark, d), providers.Extractive, 5)

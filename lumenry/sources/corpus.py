@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..schemas import LABEL, RAW
+from ..schemas import LABEL, RAW, REQUEST_LOG, expect
 
 
 def read_raw(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
@@ -38,13 +38,29 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return good.select(F.md5("query").alias("query_id"), "query")
 
 
-def write_index(vectors: DataFrame, path: str, model: str, dim: int, rows_a_file: int = 50_000) -> None:
-    """Vectors in files of a bounded number of rows; model and size stand in a table beside them."""
+def write_index(vectors: DataFrame, path: str, model: str, dim: int, rows_a_file: int = 50_000, payloads: DataFrame | None = None) -> None:
+    """Vectors in files of a bounded number of rows; model and size stand in a table beside them, and so do the chunks' payloads."""
     vectors.write.mode("overwrite").option("maxRecordsPerFile", rows_a_file).parquet(f"{path}/vectors")
+    if payloads is not None:
+        payloads.write.mode("overwrite").parquet(f"{path}/payloads")
     meta = vectors.agg(F.count("*").alias("count")).select(F.lit(model).alias("model"), F.lit(dim).alias("dim"), "count", F.lit(True).alias("normalized"))
     meta.write.mode("overwrite").parquet(f"{path}/meta")
 
 
+def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/payloads")
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph of neighbours anew: its nodes, and its edges near each other by source, so that a lookup reads few files."""
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.repartitionByRange("source_id").sortWithinPartitions("source_id").write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
 def index_is_complete(spark: SparkSession, path: str) -> bool:
     """Whether both tables of an index were written to their end."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -77,6 +93,24 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_new(df: DataFrame, path: str, key: str) -> None:
+    """Appends the rows whose key isn't there yet, one a key: an insert that ignores what it finds."""
+    spark, new = df.sparkSession, df.dropDuplicates([key])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    there = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop.Path(path))
+    append(new.join(spark.read.parquet(path).select(key), key, "left_anti") if there else new, path)
+
+
+def request_log(answered: DataFrame, client: Column, route: str, k: int, at: Column | None = None) -> DataFrame:
+    """Rows of REQUEST_LOG for answers(query_id, query, refused, cited, invalid, gap); times of stages are unknown in a batch."""
+    none = F.lit(None)
+    rows = answered.select(
+        F.md5(F.concat_ws(":", F.col("query_id").cast("string"), "query")).alias("request_id"), (F.current_timestamp() if at is None else at).cast("string").alias("ts"), client.cast("string").alias("client"), "query", F.lit(route).alias("route"), F.lit(k).alias("k"),
+        "refused", "cited", "invalid", F.col("gap").cast("double").alias("score_gap"), none.cast("long").alias("retriever_ms"), none.cast("long").alias("generation_ms"), none.cast("string").alias("error"),
+    )
+    return expect(rows, REQUEST_LOG)
+
+
 def latest(df: DataFrame, key: str, at: str) -> DataFrame:
     """The last version of each key of an append-only table: what an upsert would have left."""
     rest = [c for c in df.columns if c != key]
@@ -88,6 +122,11 @@ def preferences(feedback: DataFrame) -> DataFrame:
     return feedback.select(F.col("query").alias("prompt"), F.col("corrected").alias("chosen"), F.col("original").alias("rejected"))
 
 
+def write_preferences(feedback: DataFrame, path: str) -> None:
+    """Preferences as JSON lines."""
+    preferences(feedback).write.mode("overwrite").json(path)
+
+
 def missing_summaries(docs: DataFrame, summaries: DataFrame, id: str = "id") -> DataFrame:
     """Documents that no summary is stored for yet."""
     return docs.join(summaries.select(F.col("doc_id").alias(id)), id, "left_anti")
