@@ -2,17 +2,17 @@
 
 Pairs are only ever merged into vocabulary strings. So no merge crosses a place between two characters that stand side
 by side in no vocabulary string, and a text can be cut at all such places without changing its tokens; such places
-are found from the vocabulary alone, once, as is every vocabulary string that comes out as one token when it is
-encoded alone. Slices that are such strings count one each; the others are merged by the library, each once.
+are found from the vocabulary alone, as is every vocabulary string that comes out as one token when it is encoded
+alone: that is proved once, before any text is read, and sent to the tasks with the plan (a vocabulary's strings at
+most). Slices that are such strings count one each; the others are merged by the library, each once.
 
 Defined results: a null or empty text has no tokens; repeated rows are counted each on its own; extra columns are
-ignored; an empty table gives an empty result; very long slices are given whole to the library.
+ignored; an empty table gives an empty result; very long slices are given whole to the library; there are no ties.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -26,7 +26,7 @@ SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 
 
 class PieceCounter:
-    def __init__(self, model: str):
+    def __init__(self, model: str, whole: list[str] | None = None):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -37,7 +37,8 @@ class PieceCounter:
         #: A character in no longer string is a slice of its own. Other slices are cut before each run of spaces.
         self.alone = "".join(c for c in [*map(chr, range(32)), "\x7f"] if c not in inner)
         self.cut = re.compile(rf"[{re.escape(self.alone)}]|{SPACE}*[^{re.escape(self.alone)}{SPACE}]+|{SPACE}+")
-        self.whole = {p: 1 for p in plain if self._counts([p]) == [1]}
+        #: Vocabulary strings that encode alone as one token, by proof if they aren't given.
+        self.whole = dict.fromkeys([p for p, n in zip(plain, self._counts(plain), strict=True) if n == 1] if whole is None else whole, 1)
         self.known: dict[str, int] = dict(self.whole)
 
     def _counts(self, slices: list[str]) -> list[int]:
@@ -58,23 +59,22 @@ class PieceCounter:
 
 
 @lru_cache(maxsize=2)
-def counter(model: str) -> PieceCounter:
-    return PieceCounter(model)
+def prove(model: str) -> list[str]:
+    """The vocabulary strings that encode alone as one token."""
+    return list(PieceCounter(model).whole)
+
+
+_COUNTERS: dict[str, PieceCounter] = {}
 
 
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """n_bytes, n_tokens and over_limit for each row of docs(doc_id, text). model is a path that executors can open. Narrow."""
+    proved = docs.sparkSession.sparkContext.broadcast(prove(model))  # a vocabulary's strings at most
 
     def fn(piece):
-        n = counter(model).count(piece["text"])
+        if model not in _COUNTERS:
+            _COUNTERS[model] = PieceCounter(model, proved.value)
+        n = _COUNTERS[model].count(piece["text"])
         return {"doc_id": piece["doc_id"], "n_bytes": [len((t or "").encode()) for t in piece["text"]], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
     return map_texts(docs, fn, SCHEMA)
-
-
-def most_common_slices(texts: list[str], model: str, n: int = 20) -> list[tuple[str, int]]:
-    """The slices that make most work, for a look at a sample."""
-    c: Counter = Counter()
-    for t in texts:
-        c.update(counter(model).cut.findall(SPACE + t.replace(" ", SPACE)))
-    return c.most_common(n)
