@@ -8,16 +8,19 @@
 4. Where members of a shingle are still in different components, the remaining pairs are filtered and verified in
    blocks; no link is lost, and no list of all pairs is made. A second pass over components ends it.
 
-The suffix filter counts each set's shingles by equal parts of the hash range: the sum of the lesser counts bounds
-the overlap. Shingles are 64-bit hashes; equal sets share a 64-bit key, so all copies of a text count as one set.
+The suffix filter compares maps of eight bits or more a shingle, in which each shingle sets the bit of its hash: bits that
+only one map has are shingles that only one set has, which bounds the overlap. Shingles are 64-bit hashes; equal sets
+share a 64-bit key, so all copies of a text count as one set.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; repeated rows are copies of each
-other; a null doc_id is linked like any other, and is never a component's name unless all its members are null; extra
-columns are ignored; an empty table gives an empty result.
+other; a null doc_id is linked like any other, and is never a component's name unless all its members are null; texts
+of any length count whole; of ties, the least doc_id names a component; extra columns are ignored (`ngram_join`) or kept
+(`keep_one`), whatever their names but `__id`, `__of` and `__digest`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -27,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bloom
-from .common import batches, bounded, stored
+from .common import batches, bounded, hot_keys, rows_of, salted_join, stored
 from .graph import connected_components
-from .shingles import part_counts, set_keys, shingle_hashes, shingle_sets
+from .shingles import bit_maps, most_common, set_keys, shingle_hashes, shingle_sets
 
 SKETCH_SLICES = 64
 
@@ -40,7 +43,6 @@ class Join:
 
     n: int = 4
     percent: int = 85
-    parts: int = 256
     sketch_bits: int = 24
     block: int = 256
 
@@ -102,9 +104,9 @@ def text_digest() -> Column:
 
 
 def described(docs: DataFrame, counts: np.ndarray, join: Join, digests: bool = False) -> DataFrame:
-    """doc_id, sid (the set's key), size, sig (counts by parts of the hash range) and the prefix's tokens, rarest first.
+    """doc_id, sid (the set's key), size, sig (its map of bits) and the prefix's tokens, rarest first.
 
-    Of copies in one batch, only the first has tokens. With digests, also the text's.
+    Of copies in one batch, only the first has a map and tokens. With digests, also the text's.
     """
     shift = np.uint64(64 - join.sketch_bits)
     held = docs.sparkSession.sparkContext.broadcast(counts)  # 1 << sketch_bits bytes, whatever the corpus
@@ -124,15 +126,16 @@ def described(docs: DataFrame, counts: np.ndarray, join: Join, digests: bool = F
             taken = np.where(mine & (sizes > 0), prefix_length(sizes, join.percent), 0)
             place = np.arange(len(h)) - np.repeat(at[:-1], sizes)
             tokens = h[order[place < taken[owner]]].view(np.int64)
-            sig = part_counts(h, at, join.parts).astype(np.int32)
+            own = mine[owner]
+            sig, words = bit_maps(h[own], np.concatenate(([0], np.cumsum(np.where(mine, sizes, 0)))))
             more = [pa.array(piece["digest"], pa.int64())] if digests else []
             yield pa.RecordBatch.from_arrays(
-                [pa.array(piece["doc_id"], pa.int64()), pa.array(keys.view(np.int64)), pa.array(sizes.astype(np.int32)), lists(sig.reshape(-1), np.full(len(sizes), join.parts), pa.int32()), lists(tokens, taken, pa.int64()), *more],
+                [pa.array(piece["doc_id"], pa.int64()), pa.array(keys.view(np.int64)), pa.array(sizes.astype(np.int32)), lists(sig.view(np.int64), words, pa.int64()), lists(tokens, taken, pa.int64()), *more],
                 names=["doc_id", "sid", "size", "sig", "tokens", *["digest"] * digests],
             )
 
     asked = [F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), *[text_digest().alias("digest")] * digests]
-    return docs.select(*asked).mapInArrow(run, "doc_id long, sid long, size int, sig array<int>, tokens array<long>" + ", digest long" * digests)
+    return docs.select(*asked).mapInArrow(run, "doc_id long, sid long, size int, sig array<long>, tokens array<long>" + ", digest long" * digests)
 
 
 def _fits(percent: int):
@@ -149,7 +152,7 @@ def link(index: DataFrame, fetch: Callable[[DataFrame], DataFrame], signatures:
     """Links (a, b) that span the components of all pairs that share a token and whose Jaccard similarity is enough.
 
     index: token, sid, size, place. fetch: ids (sid) to their sets (sid, items, sorted). signatures: ids (sid) to
-    counts by parts (sid, sig).
+    their maps of bits (sid, sig).
     """
     ends = index.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token")
     members = stored(index.join(ends, "token").select("token", "sid", "size", "place"), "members")
@@ -166,9 +169,16 @@ def link(index: DataFrame, fetch: Callable[[DataFrame], DataFrame], signatures:
 
 
 def _suffix(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, size_a, size_b) whose sets could overlap enough, judged by counts in parts of the hash range."""
+    """Pairs (a, b, size_a, size_b) whose sets could overlap enough, judged by their maps of bits."""
     joined = pairs.join(sigs.select(F.col("sid").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("sid").alias("b"), F.col("sig").alias("sig_b")), "b")
-    most = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
+    # sizes fit, so one map has at most so many times as many words as the other
+    for _ in range(math.ceil(math.log2(100 / percent))):
+        for mine, other in (("sig_a", "sig_b"), ("sig_b", "sig_a")):
+            half = (F.size(mine) / 2).cast("int")
+            folded = F.zip_with(F.slice(mine, 1, half), F.slice(mine, half + 1, half), lambda x, y: x.bitwiseOR(y))
+            joined = joined.withColumn(mine, F.when(F.size(mine) > F.size(other), folded).otherwise(F.col(mine)))
+    lacking = lambda mine, other: F.aggregate(F.zip_with(mine, other, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
+    most = F.least(F.col("size_a") - lacking("sig_a", "sig_b"), F.col("size_b") - lacking("sig_b", "sig_a"))
     return joined.where(most * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))).select("a", "b")
 
 
@@ -182,6 +192,8 @@ def verify(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: i
     return both.select("a", "b", common.alias("n"), (F.size("items_a") + F.size("items_b")).alias("m")).where((100 + percent) * F.col("n") >= percent * F.col("m")).select("a", "b")
 
 
+#: Words of maps that are compared at a time.
+WORDS = 1 << 20
 WORK = "token long, other boolean, x int, y int, sid long, size int, component long, inner boolean, block int"
 
 
@@ -189,6 +201,26 @@ def _enough(common: np.ndarray, a, b, percent: int) -> np.ndarray:
     return common * (100 + percent) >= percent * (a + b)
 
 
+def _changes(t: pa.Table) -> np.ndarray:
+    """True where a piece of work begins."""
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for c in ("token", "other", "x", "y"):
+        value = t[c].to_numpy() if c != "other" else t[c].to_numpy(zero_copy_only=False)
+        new[1:] |= value[1:] != value[:-1]
+    return new
+
+
+def _slices(counts: np.ndarray, most: int):
+    """Ranges of places whose counts add up to `most` at most, or of one place."""
+    upto = np.cumsum(counts)
+    a = 0
+    while a < len(counts):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
 def _sides(key, t) -> tuple:
     """Columns of one piece of work, and the rows that meet each other."""
     sid, size, comp, where = (t[c].to_numpy() for c in ("sid", "size", "component", "block"))
@@ -227,20 +259,43 @@ def _remaining(members: DataFrame, pivots: DataFrame, links: DataFrame, sigs: Da
     names = ["token", "other", "x", "y", "sid", "size", "component", "inner", "block"]
     dealt = dealt.select("token", "w.other", "w.x", "w.y", *names[4:], "sig")
 
-    def possible(key, t):
-        """Members with a partner in another component that passes the filters."""
-        sid, size, comp, left, right = _sides(key, t)
-        sig = np.stack(t["sig"].to_numpy(zero_copy_only=False)).astype(np.int16 if size.max(initial=0) < 32768 else np.int32)
-        alive = np.zeros(len(sid), bool)
-        for i in left:
-            js = right[comp[right] != comp[i]]
-            js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
-            for at in range(0, len(js), 4096):
-                part = js[at : at + 4096]
-                part = part[_enough(np.minimum(sig[part], sig[i]).sum(1, dtype=np.int64), size[part], size[i], percent)]
-                alive[part] = True
-                alive[i] |= len(part) > 0
-        return t.filter(pa.array(alive)).select(names)
+    def possible(t: pa.Table) -> np.ndarray:
+        """Which members have a partner in another component that passes the filters; t holds whole pieces of work."""
+        size, comp = t["size"].to_numpy().astype(np.int64), t["component"].to_numpy()
+        sig = t["sig"].combine_chunks()
+        begin, flat = sig.offsets.to_numpy().astype(np.int64), sig.values.to_numpy().view(np.uint64)
+        begin, words = begin[:-1], np.diff(begin)
+        other, inner = (t[c].to_numpy(zero_copy_only=False) for c in ("other", "inner"))
+        where, x, y = (t[c].to_numpy() for c in ("block", "x", "y"))
+        unit = np.cumsum(_changes(t)) - 1
+        left, right = np.flatnonzero(np.where(other, where == x, ~inner)), np.flatnonzero(np.where(other, where == y, inner))
+        first = np.searchsorted(unit[right], np.arange(unit[-1] + 2))
+        many = np.diff(first)[unit[left]]
+        alive = np.zeros(len(size), bool)
+        # partners of each left member one after another, a bounded number of pairs at a time
+        for a, b in _slices(many * words[left], WORDS):
+            i = np.repeat(left[a:b], many[a:b])
+            j = right[rows_of(first[unit[left[a:b]]], many[a:b])]
+            fine = (comp[i] != comp[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])) & ~(alive[i] & alive[j])
+            i, j = i[fine], j[fine]
+            fine = _enough(most_common(flat, begin, words, size, i, j), size[i], size[j], percent)
+            alive[i[fine]] = True
+            alive[j[fine]] = True
+        return alive
+
+    def living(batches):
+        """Rows come sorted by piece of work; a piece that a batch's end cuts waits for its rest."""
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            last = int(np.flatnonzero(_changes(t))[-1])
+            held = t.slice(last)
+            if last:
+                done = t.slice(0, last)
+                yield from done.filter(pa.array(possible(done))).select(names).combine_chunks().to_batches()
+        if held is not None:
+            yield from held.filter(pa.array(possible(held))).select(names).combine_chunks().to_batches()
 
     def verified(key, t):
         """Links that join components, by exact overlaps: products of membership in tokens that two or more sets share."""
@@ -269,9 +324,15 @@ def _remaining(members: DataFrame, pivots: DataFrame, links: DataFrame, sigs: Da
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     keys = ["token", "other", "x", "y"]
-    alive = stored(dealt.groupBy(*keys).applyInArrow(possible, WORK), "alive")
+    alive = stored(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(living, WORK), "alive")
     if alive.isEmpty():
         return links.limit(0)
+    # pieces of work with the same members on the same sides are one: the least stands for all
+    left = F.when(F.col("other"), F.col("block") == F.col("x")).otherwise(~F.col("inner"))
+    right = F.when(F.col("other"), F.col("block") == F.col("y")).otherwise(F.col("inner"))
+    mark = lambda seed: F.sum(F.xxhash64("sid", left, right, F.lit(seed)).cast("decimal(38,0)"))
+    alike = alive.groupBy(*keys).agg(F.count("*").alias("m"), mark(1).alias("h1"), mark(2).alias("h2")).groupBy("m", "h1", "h2").agg(F.min(F.struct(*keys)).alias("k"))
+    alive = stored(alive.join(alike.select("k.*"), keys, "left_semi"), "work")
     sets = fetch(stored(alive.select("sid").distinct(), "needed"))
     full = alive.join(sets, "sid").select(*names, "items")
     return stored(full.groupBy(*keys).applyInArrow(verified, "a long, b long").distinct(), "more")
@@ -331,15 +392,17 @@ def named_rows(docs: DataFrame, join: Join, digests: bool = False) -> DataFrame:
 
     links = link(index, fetch, signatures, join.percent, join.block)
     components = connected_components(links)
-    named = sets.join(components, sets["sid"] == components["id"], "left").select("doc_id", "size", "sid", F.coalesce("component", "sid").alias("component"), *["digest"] * digests)
+    copies = hot_keys(sets.groupBy("sid").agg(F.count("*").alias("n")), ["sid"])
+    named = salted_join(sets, components.withColumnRenamed("id", "sid"), ["sid"], copies, ["doc_id"], "left").select("doc_id", "size", "sid", F.coalesce("component", "sid").alias("component"), *["digest"] * digests)
     return stored(named, "named")
 
 
 def ngram_join(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of docs(doc_id, text)."""
     named = named_rows(docs, join)
-    least = named.where("size > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "component", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = stored(named.where("size > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "least")
+    full = salted_join(named, least.drop("n"), ["component"], hot_keys(least, ["component"]), ["doc_id"], "left")
+    return full.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
@@ -351,8 +414,8 @@ def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
     # rows of one doc_id and text in one component count as one
     keys = named_rows(docs, join, True).where("size > 0").groupBy("component", "doc_id", "digest").agg(F.count("*").alias("n"))
     keys = stored(keys.withColumn("rank", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")), "keys")
-    first = keys.groupBy("component").agg(F.min("rank").alias("first"))
-    ruled = keys.join(first, "component").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"), "n", (F.col("rank") == F.col("first")).alias("lead"))
+    first = stored(keys.groupBy("component").agg(F.min("rank").alias("first"), F.count("*").alias("m")), "first")
+    ruled = salted_join(keys, first.drop("m"), ["component"], hot_keys(first, ["component"], "m"), ["doc_id", "digest"]).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"), "n", (F.col("rank") == F.col("first")).alias("lead"))
     ruled = stored(ruled.where("not lead or n > 1"), "gone")
     again = stored(ruled.where("lead").drop("n", "lead"), "again")
     marked = docs.withColumn("__digest", text_digest())

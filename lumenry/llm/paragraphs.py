@@ -1,16 +1,19 @@
 """Substring dedup by paragraphs: MinHash banding, exact verification, removal by components.
 
 Every line with words is a paragraph. Lines of under `min_words` words that follow each other, up to a blank line, are
-one more, and so are the pieces that such a run is cut into by content: before each word whose hash is the least among
-`reach` words to both sides, so that a passage is cut alike wherever it stands and however it is wrapped. Paragraphs
-may thus overlap; what any removed one holds goes. They are sets of five-word shingles of lower-cased words (of fewer
-words: all as one); bands are tuned so that a pair at the threshold is found with the demanded recall; pairs that
-collide in a band are verified by exact Jaccard similarity; of each component of equal or similar paragraphs the first
-one by (doc_id, place) stays and the others are removed.
-
-Equal paragraphs share a 64-bit key and count as one set. Defined results: a null or empty text has no paragraphs;
-rows of one doc_id are parts of one document in the result, and repeat each other; extra columns are ignored; an
-empty table gives an empty result; ties are broken by (doc_id, place), nulls first.
+also cut into pieces by content: before each word whose hash is the least among `reach` words to both sides, so that a
+passage is cut alike wherever it stands and however it is wrapped. Paragraphs are sets of five-word shingles of
+lower-cased words (of fewer words: all as one); bands are tuned so that a pair at the threshold is found with the
+demanded recall; pairs that collide in a band are verified by exact Jaccard similarity, and components follow.
+
+A line and the pieces that overlap it are one place. Of each component the first place by (doc_id, first word) stays;
+what stands at its other places is removed. A component of one place has no copies.
+
+Equal paragraphs share a 64-bit key and count as one set. Defined results: a null or empty text has no paragraphs; rows
+of one doc_id (or of none) are one document, in which what stands at the same words of both is at one place; very long
+texts and lines are split and compared whole; extra columns are ignored (`paragraph_dedup`) or kept
+(`drop_paragraphs`), whatever their names but `__id` and `__gone`; an empty table gives an empty result; ties are broken
+by (doc_id, first word), nulls first.
 """
 
 from __future__ import annotations
@@ -20,12 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
-from .common import Rolling, batches, bounded, mix64, rows_of, stored
+from .common import batches, bounded, hot_keys, rows_of, salted_join, stored
 from .graph import connected_components
+from .hashing import Spans, mix64
 from .ngram_join import fetched, link
-from .shingles import part_counts, set_keys, word_hashes
+from .shingles import bit_maps, set_keys, word_hashes
 
 
 @dataclass(frozen=True)
@@ -35,10 +40,11 @@ class Paragraphs:
     min_words: int = 16
     reach: int = 8
     recall: float = 0.999
-    hashes: int = 16
-    parts: int = 32
+    hashes: int = 64
     seed: int = 11
     block: int = 256
+    #: Repeated words side by side that are a repeated passage.
+    passage: int = 30
 
 
 def tune(threshold: float, recall: float, hashes: int) -> tuple[int, int]:
@@ -88,9 +94,8 @@ def split(texts: list[str | None], rules: Paragraphs) -> dict[str, np.ndarray]:
     piece_end = np.append(piece_start[1:], len(words))
     piece_end = np.minimum(piece_end, at[tail][run[piece_start]])
     has = size > 0
-    start = np.concatenate((at[:-1][has], at[lead], piece_start))
-    end = np.concatenate((at[1:][has], at[tail], piece_end))
-    # by place, the longest first; a piece or run that is a line or a run counts once
+    start, end = np.concatenate((at[:-1][has], piece_start)), np.concatenate((at[1:][has], piece_end))
+    # by place, the longest first; a piece that is a line counts once
     bounds = np.unique(np.stack((start, -end), 1), axis=0) if len(start) else np.zeros((0, 2), np.int64)
     start, end = bounds[:, 0], -bounds[:, 1]
     base = at[np.concatenate(([0], np.cumsum(counts)))]
@@ -105,7 +110,7 @@ def shingled(p: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
     counts = end - start
     made = np.maximum(counts - n + 1, 1)
     begin = rows_of(start, made)
-    h = Rolling(p["words"]).of(begin, begin + np.repeat(np.minimum(counts, n), made))
+    h = Spans(p["words"]).of(begin, begin + np.repeat(np.minimum(counts, n), made))
     owner = np.repeat(np.arange(len(start)), made)
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
@@ -124,9 +129,10 @@ def band_keys(h: np.ndarray, at: np.ndarray, bands: int, rows: int, seed: int) -
         key = np.full(len(at) - 1, np.uint64(b + 1))
         for r in range(rows):
             a, c = factors[b * rows + r]
-            # multiplying by an odd number and folding: one of a family of hash functions
-            value = (h ^ c) * (a | np.uint64(1))
-            key = mix64(key ^ np.minimum.reduceat(value ^ (value >> np.uint64(29)), at[:-1]))
+            # multiplying mixed bits by an odd number: one of a family of hash functions
+            value = h ^ c
+            value *= a | np.uint64(1)
+            key = mix64(key ^ np.minimum.reduceat(value, at[:-1]))
         out[:, b] = key
     return out
 
@@ -145,22 +151,23 @@ def paragraph_table(docs: DataFrame, rules: Paragraphs = Paragraphs()) -> DataFr
             first = np.zeros(len(pid), bool)
             first[lead] = True  # of copies in one batch, the first has bands
             keys = band_keys(h, at, bands, rows_a_band, rules.seed)[first].view(np.int64)
-            sig = part_counts(h, at, rules.parts)[first].astype(np.int32)
-            spread = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(first * x.shape[1]))).astype(np.int32)), pa.array(x.reshape(-1), kind))
+            own = np.repeat(first, size)
+            sig, words = bit_maps(h[own], np.concatenate(([0], np.cumsum(np.where(first, size, 0)))))
+            lists = lambda x, sizes: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(x.reshape(-1).view(np.int64)))
             ids = np.array(piece["doc_id"], dtype=object)[p["text"]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(p["no"].astype(np.int32)), pa.array(p["first_word"].astype(np.int32)), pa.array(p["last_word"].astype(np.int32)), pa.array(pid), pa.array(size), spread(sig, pa.int32()), spread(keys, pa.int64())],
+                [pa.array(ids, pa.int64()), pa.array(p["no"].astype(np.int32)), pa.array(p["first_word"].astype(np.int32)), pa.array(p["last_word"].astype(np.int32)), pa.array(pid), pa.array(size), lists(sig, words), lists(keys, first * bands)],
                 names=["doc_id", "no", "first_word", "last_word", "pid", "size", "sig", "bands"],
             )
 
-    schema = "doc_id long, no int, first_word int, last_word int, pid long, size int, sig array<int>, bands array<long>"
+    schema = "doc_id long, no int, first_word int, last_word int, pid long, size int, sig array<long>, bands array<long>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def grouped_paragraphs(docs: DataFrame, rules: Paragraphs = Paragraphs()) -> DataFrame:
-    """doc_id, no, first_word, last_word, pid, group_doc (the document that keeps the group's text; null: no copies), removed."""
+def repeated_paragraphs(docs: DataFrame, rules: Paragraphs = Paragraphs(), table: DataFrame | None = None) -> DataFrame:
+    """doc_id, no, first_word, last_word, group_doc (the document that keeps the group's text), removed of all paragraphs with copies."""
     docs = bounded(docs)
-    table = stored(paragraph_table(docs, rules), "paragraphs")
+    table = stored(paragraph_table(docs, rules), "paragraphs") if table is None else table
     held = table.where(F.size("bands") > 0)
     index = held.select(F.explode("bands").alias("token"), F.col("pid").alias("sid"), "size", F.lit(0).alias("place"))
     reps = held.groupBy(F.col("pid").alias("sid")).agg(F.min("doc_id").alias("doc_id"))
@@ -177,31 +184,55 @@ def grouped_paragraphs(docs: DataFrame, rules: Paragraphs = Paragraphs()) -> Dat
 
     components = connected_components(link(index, fetch, signatures, rules.percent, rules.block))
     # a paragraph's set is named by its component; sets without links name themselves
-    keys = table.select("doc_id", "no", "pid")
-    sets = keys.groupBy("pid").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "no")).alias("lead"))
-    named = sets.join(components, sets["pid"] == components["id"], "left").select("pid", "n", "lead", F.coalesce("component", "pid").alias("component"))
-    named = stored(named, "named")
-    groups = named.groupBy("component").agg(F.sum("n").alias("n"), F.min("lead").alias("lead")).where("n > 1").select("component", "lead")
-    lit = named.join(groups.withColumnRenamed("lead", "kept"), "component").select("pid", "kept")
-    copy = table.select("doc_id", "no", "first_word", "last_word", "pid").join(lit, "pid", "left")
-    removed = F.col("kept").isNotNull() & ~F.struct("doc_id", "no").eqNullSafe(F.col("kept"))
-    return copy.select("doc_id", "no", "first_word", "last_word", "pid", F.col("kept.doc_id").alias("group_doc"), F.col("kept").isNotNull().alias("repeated"), removed.alias("removed"))
+    sets = table.groupBy("pid").agg(F.count("*").alias("n"))
+    named = stored(sets.join(components, sets["pid"] == components["id"], "left").select("pid", "n", F.coalesce("component", "pid").alias("component")), "named")
+    several = named.groupBy("component").agg(F.sum("n").alias("all")).where(F.col("all") > 1)
+    lit = stored(named.join(several.select("component"), "component", "left_semi"), "several")
+    found = table.select("doc_id", "no", "first_word", "last_word", "pid")
+    rows = salted_join(found, lit.select("pid", "component"), ["pid"], hot_keys(lit, ["pid"]), ["doc_id", "no"])
+    # overlapping paragraphs of one document and component are one place
+    order = Window.partitionBy("component", "doc_id").orderBy("first_word", "no")
+    reach = F.max("last_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.col("first_word") < reach, 0).otherwise(1)
+    placed = rows.withColumn("opens", opens).withColumn("place", F.sum("opens").over(order)).select("component", "doc_id", "no", "first_word", "last_word", "place", "opens")
+    placed = stored(placed, "placed")
+    groups = placed.groupBy("component").agg(F.count("*").alias("n"), F.sum("opens").alias("places"), F.min(F.struct("doc_id", "place")).alias("kept")).where("places > 1")
+    copies = salted_join(placed, groups.select("component", "kept"), ["component"], hot_keys(groups, ["component"]), ["doc_id", "no"])
+    return copies.select("doc_id", "no", "first_word", "last_word", F.col("kept.doc_id").alias("group_doc"), (~F.struct("doc_id", "place").eqNullSafe(F.col("kept"))).alias("removed"))
+
+
+def passages(ranges: Column, least: int) -> Column:
+    """Maximal runs of `least` words or more that ranges, sorted by their begin, cover without a gap."""
+    begin = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("from"), F.lit(-1).alias("to"))
+    closed = lambda s: s["n"] + F.when(s["to"] - s["from"] >= least, 1).otherwise(0)
+
+    def step(s: Column, x: Column) -> Column:
+        apart = x["first_word"] > s["to"]
+        return F.struct(F.when(apart, closed(s)).otherwise(s["n"]).alias("n"), F.when(apart, x["first_word"]).otherwise(s["from"]).alias("from"), F.greatest(s["to"], x["last_word"]).alias("to"))
+
+    return F.aggregate(ranges, begin, step, closed)
 
 
 def paragraph_dedup(docs: DataFrame, rules: Paragraphs = Paragraphs()) -> DataFrame:
-    """One row a doc_id: paragraphs, those with copies anywhere, those removed, their places, and the groups' documents."""
-    rows = grouped_paragraphs(docs, rules)
+    """One row a doc_id: repeated passages of `rules.passage` words or more, paragraphs with copies anywhere, those removed,
+    their places, the groups' documents, and paragraphs."""
+    table = stored(paragraph_table(bounded(docs), rules), "paragraphs")
+    rows = repeated_paragraphs(docs, rules, table)
     per_doc = rows.groupBy("doc_id").agg(
-        F.count("*").alias("n_paragraphs"),
-        F.sum(F.col("repeated").cast("long")).alias("n_repeated"),
-        F.sum(F.col("removed").cast("long")).alias("n_removed"),
+        passages(F.array_sort(F.collect_list(F.struct("first_word", "last_word"))), rules.passage).alias("n_passages"),
+        F.count("*").alias("n_repeated"),
+        F.count_if("removed").alias("n_removed"),
         F.array_sort(F.collect_list(F.when(F.col("removed"), F.col("no")))).alias("removed"),
         F.array_sort(F.collect_set("group_doc")).alias("group_docs"),
     )
+    totals = table.groupBy(F.col("doc_id").alias("of")).agg(F.count("*").alias("n_paragraphs"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    joined = ids.join(per_doc.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    return joined.select("doc_id", zero("n_paragraphs"), zero("n_repeated"), zero("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.coalesce("group_docs", F.array().cast("array<long>")).alias("group_docs"))
+    joined = ids.join(totals, F.col("doc_id").eqNullSafe(F.col("of")), "left").join(per_doc.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    return joined.select(
+        "doc_id", zero("n_passages"), zero("n_repeated"), zero("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
+        F.coalesce("group_docs", F.array().cast("array<long>")).alias("group_docs"), zero("n_paragraphs"),
+    )
 
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -225,7 +256,7 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 def drop_paragraphs(docs: DataFrame, rules: Paragraphs = Paragraphs()) -> DataFrame:
     """docs with its columns, without the words of removed paragraphs; a document may be left empty."""
-    gone = grouped_paragraphs(docs, rules).where("removed").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("first_word", "last_word")).alias("__gone"))
+    gone = repeated_paragraphs(docs, rules).where("removed").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("first_word", "last_word")).alias("__gone"))
     names = docs.columns
 
     def run(rows):
@@ -237,4 +268,4 @@ def drop_paragraphs(docs: DataFrame, rules: Paragraphs = Paragraphs()) -> DataFr
             columns["text"] = pa.array(clean, columns["text"].type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id").mapInArrow(run, docs.schema)
+    return bounded(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id").mapInArrow(run, docs.schema)

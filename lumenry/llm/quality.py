@@ -5,7 +5,8 @@ windows, or when the characters inside duplicated lines or duplicated word n-gra
 all word characters. Everything is computed over whole texts, many documents at a time in one array.
 
 Defined results: a null or empty text has no words and fails the base rule; a text of white space alone likewise;
-repeated rows are judged each on its own; extra columns are ignored; an empty table gives an empty result.
+very long texts are measured whole; a share at its limit is kept; repeated rows are judged each on its own; extra columns
+are ignored (`quality_rules`) or kept (`keep_good`); an empty table gives an empty result.
 """
 
 from __future__ import annotations

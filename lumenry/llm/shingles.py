@@ -57,8 +57,34 @@ def set_keys(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(sizes == 0, np.uint64(0), key)
 
 
-def part_counts(hashes: np.ndarray, at: np.ndarray, parts: int) -> np.ndarray:
-    """How many of each set's shingles fall into each of `parts` equal parts of the hashes' range."""
-    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    where = (hashes >> np.uint64(64 - (parts - 1).bit_length())).astype(np.int64)
-    return np.bincount(owner * parts + where, minlength=(len(at) - 1) * parts).reshape(-1, parts)
+#: Bits of a set's map for each of its shingles, at least.
+ROOM = 8
+
+
+def bit_maps(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A map of bits for each set, in words of 64, and how many words: a shingle's bit is its hash modulo the map's size.
+
+    Sizes are powers of two, so that a map folded in half is the map of half the size.
+    """
+    sizes = np.diff(at)
+    words = np.where(sizes > 0, 1 << np.ceil(np.log2(np.maximum(ROOM * sizes / 64, 1))).astype(np.int64), 0)
+    first = np.cumsum(words) - words
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    bit = (hashes & (words[owner] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    flags = np.zeros(int(words.sum()) * 64, bool)
+    flags[first[owner] * 64 + bit] = True
+    return np.packbits(flags, bitorder="little").view("<u8"), words
+
+
+def most_common(flat: np.ndarray, first: np.ndarray, words: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A bound on the overlap of sets i and j: a set has a shingle of its own for each bit that the other's map lacks."""
+    out = np.zeros(len(i), np.int64)
+    kind = words[i] * (1 << 32) + words[j]
+    for k in np.unique(kind):
+        at = np.flatnonzero(kind == k)
+        a, b = (flat[first[x[at]][:, None] + np.arange(int(words[x[at[0]]]))] for x in (i, j))
+        while a.shape[1] != b.shape[1]:
+            half = max(a.shape[1], b.shape[1]) // 2
+            a, b = (x[:, :half] | x[:, half:] if x.shape[1] > half else x for x in (a, b))
+        out[at] = np.minimum(size[i[at]] - np.bitwise_count(a & ~b).sum(1), size[j[at]] - np.bitwise_count(b & ~a).sum(1))
+    return out
