@@ -8,7 +8,7 @@
 3. Each shard builds its suffix array by Larsson-Sadakane refinement and common prefixes by Kasai; windows with a
    common prefix of `length` or more with a neighbour are repeated.
 4. An anchor with very many classes is dealt over several shards. Those send digests of their windows, one a distinct
-   window, which are merged across shards by binary search in sorted runs.
+   window, as sorted runs, one for each of as many buckets, in which they are merged across shards by binary search.
 5. Spans come back to their texts, whose remaining bytes are hashed.
 
 Equal texts share a key, the digest of their bytes, and one list of spans. Anchors, slices and texts that hold more
@@ -38,6 +38,10 @@ PLACE_BITS = np.uint64(24)
 SEGMENT = 1 << 21
 
 
+#: A window of a shard: 128 bits of its bytes, its text among the run's, its place there, and whether it is known to be repeated.
+RUN = np.dtype([("left", "<u8"), ("right", "<u8"), ("slice", "<i4"), ("at", "<i4"), ("known", "?")])
+
+
 @dataclass(frozen=True)
 class Repeats:
     length: int = 200
@@ -157,37 +161,52 @@ def repeated_spans(docs: DataFrame, rules: Repeats = Repeats(), hot_texts: DataF
         first, last = merged(at + step, at + length + step)
         own = np.searchsorted(bounds + np.arange(len(bounds)) * (length + 1), first, "right") - 1
         moved = base[own] - bounds[own] - own * (length + 1)
-        rows, starts, ends = [own], [first + moved], [last + moved]
-        windows: list = [None] * len(own)
-        if t["hot"][0].as_py():
-            inside = np.flatnonzero(np.arange(len(data)) + length <= np.repeat(bounds[1:], np.diff(bounds)))
-            left = Spans(data).windows(length)[inside]
-            _, lead = np.unique(left, return_index=True)
-            inside, left = inside[lead], left[lead]
-            pair = np.stack((left, Rolling(data).of(inside, inside + length)), 1).astype("<u8").tobytes()
-            windows += [pair[i : i + 16] for i in range(0, len(pair), 16)]
-            known = again[inside] | many[owner[inside]]
-            rows.append(owner[inside])
-            starts.append(inside - bounds[owner[inside]] + base[owner[inside]])
-            ends.append(np.where(known, -1, -2))
-        taken = pa.array(np.concatenate(rows))
-        ints = lambda x: pa.array(np.concatenate(x).astype(np.int32))
-        return pa.table({"key": t["key"].combine_chunks().take(taken), "start": ints(starts), "end": ints(ends), "window": pa.array(windows, pa.binary()), "part": pa.array(np.full(len(windows), key[1].as_py()), pa.int64())})
-
-    done = stored(dealt.groupBy("shard", "part").applyInArrow(in_shard, "key binary, start int, end int, window binary, part long"), "shards")
-    spans = alike.union(done.where("window is null").select("key", "start", "end"))
-    # a shard sends a window once, so a group has no more rows of one window than there are shards of its anchor
-    sent = done.where("window is not null").withColumn("bucket", F.pmod(F.xxhash64("window"), F.lit(max(64, 8 * shards))))
+        ints = lambda x: pa.array(x.astype(np.int32), pa.int32())
+        keys, none = t["key"].combine_chunks(), pa.nulls(len(own))
+        spans = pa.table({"key": keys.take(pa.array(own)), "start": ints(first + moved), "end": ints(last + moved), "anchor": none.cast(pa.int64()), "bucket": none.cast(pa.int64()), "run": none.cast(pa.binary())})
+        if not t["hot"][0].as_py():
+            return spans
+        inside = np.flatnonzero(np.arange(len(data)) + length <= np.repeat(bounds[1:], np.diff(bounds)))
+        left = Spans(data).windows(length)[inside]
+        _, lead = np.unique(left, return_index=True)
+        inside, left = inside[lead], left[lead]
+        runs = np.zeros(len(inside), RUN)
+        runs["left"], runs["right"] = left, Rolling(data).of(inside, inside + length)
+        runs["slice"], runs["at"], runs["known"] = owner[inside], inside - bounds[owner[inside]] + base[owner[inside]], again[inside] | many[owner[inside]]
+        # windows of one hash meet in one bucket of their anchor; each goes there in one sorted run a shard
+        buckets = -(-t["classes"][0].as_py() // rules.shard_classes)
+        bucket = (left % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((left, bucket))
+        runs, bucket = runs[order], bucket[order]
+        cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+        sent, listed = [], []
+        for i, j in zip(cut, [*cut[1:], len(runs)], strict=False):
+            part = runs[i:j].copy()
+            held, part["slice"] = np.unique(part["slice"], return_inverse=True)
+            sent.append(part.tobytes())
+            listed.append(b"".join(keys.take(pa.array(held)).to_pylist()))
+        n = len(sent)
+        return pa.concat_tables([spans, pa.table({"key": pa.array(listed, pa.binary()), "start": pa.nulls(n, pa.int32()), "end": pa.nulls(n, pa.int32()), "anchor": pa.array([t["anchor"][0].as_py()] * n, pa.int64()), "bucket": pa.array(bucket[cut], pa.int64()), "run": pa.array(sent, pa.binary())})])
+
+    done = stored(dealt.groupBy("shard", "part").applyInArrow(in_shard, "key binary, start int, end int, anchor long, bucket long, run binary"), "shards")
+    spans = alike.union(done.where("run is null").select("key", "start", "end"))
 
     def across(key, t):
-        """Windows of one shard that stand in another one too."""
-        window = np.array(t["window"].to_pylist(), dtype="S16")
-        run = np.sort(window)
-        mine = (np.searchsorted(run, window, "right") - np.searchsorted(run, window, "left") > 1) & (t["end"].to_numpy() == -2)
-        got = t.filter(pa.array(mine))
-        return pa.table({"key": got["key"], "start": got["start"], "end": pa.array(got["start"].to_numpy() + length, pa.int32())})
-
-    return spans.union(sent.groupBy("bucket").applyInArrow(across, "key binary, start int, end int")).distinct()
+        """Windows of one shard that stand in another one too; a bucket holds as many windows as a shard."""
+        runs = [np.frombuffer(x, RUN) for x in t["run"].to_pylist()]
+        every = np.concatenate(runs)
+        whole = np.sort(every[["left", "right"]])
+        own = np.repeat(np.arange(len(runs)), [len(x) for x in runs])
+        todo = np.flatnonzero(~every["known"])
+        asked = every[todo][["left", "right"]]
+        todo = todo[np.searchsorted(whole, asked, "right") - np.searchsorted(whole, asked, "left") > 1]
+        keys = t["key"].to_pylist()
+        found = [keys[o][16 * i : 16 * i + 16] for o, i in zip(own[todo].tolist(), every["slice"][todo].tolist(), strict=True)]
+        start = every["at"][todo].astype(np.int32)
+        return pa.table({"key": pa.array(found, pa.binary()), "start": pa.array(start), "end": pa.array(start + np.int32(length))})
+
+    sent = done.where("run is not null").select("anchor", "bucket", "key", "run")
+    return spans.union(sent.groupBy("anchor", "bucket").applyInArrow(across, "key binary, start int, end int")).distinct()
 
 
 def _copies(docs: DataFrame) -> DataFrame:
