@@ -8,13 +8,13 @@ template are scored by the IDF of the template words that stand where they shoul
 every mandatory key phrase. Texts without a template's phrases aren't scored for it.
 
 Defined results: a null or empty text has no words, no places, null first_word and last_word, empty labels and score
-0; repeated rows are scanned each on its own; extra columns are ignored; an empty table gives an empty result.
+0; very long texts are scanned whole; ties need no rule, as every place and label counts; repeated rows are scanned each
+on its own; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -200,19 +200,3 @@ def scan_licenses(docs: DataFrame, templates: dict = TEMPLATES, least_score: flo
         F.array_join(F.array_sort(F.array_distinct(F.concat("by_base", F.col("by_method.label")))), ",").alias("labels"),
         F.when(F.size("by_base") > 0, 1.0).otherwise(F.round(F.coalesce(F.array_max("by_method.score"), F.lit(0.0)), 6)).alias("score"),
     )
-
-
-def scan_texts(texts: list[str | None]) -> list[tuple]:
-    """Base figures of texts, in plain Python, for tests."""
-    out = []
-    for t in texts:
-        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
-        w = re.findall(WORD, lowered)
-        places, labels = [], set()
-        for phrase, label in BASE_PHRASES.items():
-            p = phrase.split()
-            found = [i for i in range(len(w)) if w[i : i + len(p)] == p]
-            places += found
-            labels |= {label} if found else set()
-        out.append((len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))))
-    return out
