@@ -1,4 +1,10 @@
-"""A corpus pipeline of five stages over the table documents. Every stage works on all that the one before it kept."""
+"""A corpus pipeline of five stages over the table documents. Every stage works on all that the one before it kept.
+
+Defined results: null texts and those without words are rejected by the first stage, however many; null ids are kept as
+rows of their own unless their text repeats; repeated rows and near copies leave one row; texts of any length are worked
+on whole; stages but the last keep the columns of documents, n_chars following the text; an empty table gives an empty
+result.
+"""
 
 from __future__ import annotations
 
