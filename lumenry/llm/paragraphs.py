@@ -40,7 +40,7 @@ class Paragraphs:
     min_words: int = 16
     reach: int = 8
     recall: float = 0.999
-    hashes: int = 64
+    hashes: int = 32
     seed: int = 11
     block: int = 256
     #: Repeated words side by side that are a repeated passage.
