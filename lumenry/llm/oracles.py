@@ -39,3 +39,51 @@ f as (select b.*, coalesce(dups.n, 0) as n_dup_lines, coalesce(s{rules.repeat_wi
   [{", ".join(share(n) for n in rules.ngram_share)}] as ngram_shares, n_symbols <= {rules.symbols_per_word} * n_words and coalesce(dups.chars, 0)::double / greatest(word_chars, 1) <= {rules.dup_line_share}{limits} as fine from b left join dups using (doc_id){joins})
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, fine and not base_failed as kept, dup_line_share, ngram_shares
 from (select *, n_words < {rules.min_words} or 100 * n_repeat_words > {rules.repeat_percent} * n_words as base_failed from f)"""
+
+FILL_IN_MIDDLE = """
+with d as (select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+l as (select *, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+') as lines, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2, ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from d),
+c as (select *, len(lines) as n, least(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) as a, greatest(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) as z from l),
+p as (select doc_id, text, n, case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form,
+  array_to_string(lines[1:a], '') as prefix, array_to_string(lines[a + 1:z], '') as middle, array_to_string(lines[z + 1:], '') as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(prefix || middle || suffix) as restored_sha256 from p"""
+
+
+
+def _climb(nodes: str, name: str, index: str, levels: int) -> tuple[str, str, list[str], list[str]]:
+    """Runs and nodes of each level over nodes(key, i, n, h), as common table expressions; the joins of a row's runs, its
+    siblings on each level, and what each level makes of {0}, a digest on the row's way up."""
+    tables, joins, siblings, steps = [f"{name}0 as ({nodes})"], [], [], []
+    for k in range(levels):
+        n, hs, run, at = f"{name}n{k}", f"{name}hs{k}", f"{name}r{k}", f"({index} // {8**k} % 8)"
+        left, right = f"array_to_string({hs}[1:{at}], '')", f"array_to_string({hs}[{at} + 2:], '')"
+        tables.append(f"{run} as (select key as {run}key, i // 8 as {run}at, any_value(n) as {n}, list(h order by i) as {hs} from {name}{k} group by 1, 2)")
+        tables.append(f"{name}{k + 1} as (select {run}key as key, {run}at as i, ({n} + 7) // 8 as n, case when {n} = 1 then {hs}[1] else sha256(array_to_string({hs}, '')) end as h from {run})")
+        joins.append(f"join {run} on {run}key = {name}key and {run}at = {index} // {8 ** (k + 1)}")
+        siblings.append(f"case when {n} = 1 then '' else {left} || {right} end")
+        steps.append(f"case when {n} = 1 then {{0}} else sha256({left} || {{0}} || {right}) end")
+    return ",\n".join(tables), " ".join(joins), siblings, steps
+
+
+def merkle(levels: int = 6, over: int = 2) -> str:
+    """Whole for up to 8 ** levels rows a group and 8 ** over groups."""
+    value = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}, '-')"
+    leaf = lambda text: f"sha256({' || '.join(value(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+    byte = "list_reduce(list_prepend(xor(a, c), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda c: unicode(c)::bigint)), lambda a, c: {byte}), 4294967295)"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    below, joins, siblings, steps = _climb("select akey as key, ai as i, n, h from leaves", "a", "ai", levels)
+    above, over_joins, over_siblings, over_steps = _climb("select '' as key, row_number() over (order by key) - 1 as i, count(*) over () as n, h, key as of from t", "b", "bi", over)
+    every = [*steps, *over_steps]
+    folds = ",\n".join(f"f{k + 1} as (select * exclude (fold), {step.format('fold')} as fold from f{k})" for k, step in enumerate(every))
+    return f"""
+with leaves as (select doc_id, coalesce('=' || lang, '') as akey, row_number() over (partition by lang order by doc_id nulls first) - 1 as ai, count(*) over (partition by lang) as n, {leaf("text")} as h, case when {crc} % 3 = 0 then {leaf(lower)} end as other from documents),
+{below},
+t as (select key, h from a{levels}),
+{above},
+tops as (select of, h as subroot, i as bi, key as bkey from b0),
+f0 as (select doc_id, leaves.h as leaf, subroot, b{over}.h as root, * exclude (doc_id, h, subroot, key, i, n), sha256({" || ".join([*siblings, *over_siblings])}) as proof_sha256, coalesce(other, leaves.h) as fold
+  from leaves join tops on of = akey {joins} {over_joins} cross join b{over}),
+{folds}
+select doc_id, leaf, subroot, root, proof_sha256, fold as folded_root, fold = root as verified from f{len(every)}"""

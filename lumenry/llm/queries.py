@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, licenses, media, ngram_join, oracles, packing, paragraphs, quality, secrets, substrings, tokens
+from . import best_fit, bpe, fim, licenses, media, merkle, ngram_join, oracles, packing, paragraphs, quality, secrets, substrings, tokens, word_ids
 from .common import documents
 
 
@@ -57,6 +57,19 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = word_ids.pieces(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), 2048)
+    return best_fit.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), 2048)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(documents(spark, sf_dir))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_paragraph_dedup": op1_paragraph_dedup,
     "op2_packing": op2_packing,
@@ -68,5 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scans": op10_license_scans,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLES: dict[str, str] = {"op4_ngram_join": oracles.NGRAM_JOIN, "op9_quality_rules": oracles.quality(quality.Rules())}
+ORACLES: dict[str, str] = {"op4_ngram_join": oracles.NGRAM_JOIN, "op9_quality_rules": oracles.quality(quality.Rules()), "op12_fill_in_middle": oracles.FILL_IN_MIDDLE, "op13_merkle_manifest": oracles.merkle()}
