@@ -1,9 +1,10 @@
 """Token ids of a word vocabulary whose tokens never cross white space.
 
-The library merges within pre-tokens, and white space only ends those: so a text's ids are its words' ids one after
-another, and each different word is encoded once. A word of ASCII and Latin-1 letters is cut further, into the
-pre-tokens that the library would make of it; any other word, and one that may hold a special token, goes to the library
-whole. Very long texts are taken in slices that end at white space.
+The library merges within pre-tokens, and white space only ends those. Texts of ASCII and Latin-1 letters alone are cut into
+the pre-tokens that the library would make of them, all texts of a batch at once in Arrow: pre-tokens are numbered by a
+dictionary, each that a worker doesn't remember is merged once, and taking the dictionary's ids by number leaves every
+text's ids side by side. In other texts, words of such letters are cut likewise, and any other word, as one that may hold a
+special token, goes to the library whole. Very long texts are taken in slices that end at white space.
 """
 
 from __future__ import annotations
@@ -14,18 +15,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import batches, bounded
 
-#: Words, and as many parts of words, whose ids a worker remembers; beyond it, it forgets all and begins anew.
+#: Pre-tokens and words whose ids a worker remembers, and once more as many of those that it met before these.
 REMEMBERED = 300_000
-#: Bytes of a text that are split at once, and of a word that is remembered.
-SLICE, LONGEST = 1 << 20, 64
+#: Bytes of a text that are split at once.
+SLICE = 1 << 20
+SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 #: ASCII without controls, and Latin-1 letters: lower case is by character and composition changes nothing.
-PLAIN = re.compile(r"[!-~\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xff]+")
-#: The vocabulary's own pattern over lower-cased words of those characters (fixed value).
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+PLAIN = r"!-~\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xff"
+WHITE = r" \t\n\r\x0b\x0c"
+PLAIN_TEXT, PLAIN_WORD, WORD = re.compile(f"[{PLAIN}{WHITE}]*"), re.compile(f"[{PLAIN}]+"), re.compile(f"[^{WHITE}]+")
+LETTERS, DIGITS = r"a-z\x{aa}\x{b5}\x{ba}\x{df}-\x{f6}\x{f8}-\x{ff}", r"0-9\x{b2}\x{b3}\x{b9}\x{bc}-\x{be}"
+#: What the vocabulary's own pattern takes of lower-cased plain text beside runs of letters, for Arrow's expressions.
+BETWEEN = rf"'(?:s|t|re|ve|m|ll|d)|[{DIGITS}]|[^{LETTERS}{DIGITS} \t\n\r\x{{0b}}\x{{0c}}]+"
+
+
+class Remembered:
+    """A dictionary that forgets what wasn't met for long: beyond REMEMBERED entries, it keeps them apart until it has as many again."""
+
+    def __init__(self):
+        self.now: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self.now) > REMEMBERED:
+            self.now, self.former = {}, self.now
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those of keys that it doesn't know; what it knows from before is at hand again."""
+        known = {k for k in keys if k in self.former}
+        self.now.update(zip(known, map(self.former.__getitem__, known), strict=True))
+        return list(keys - known)
 SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
 
@@ -37,68 +61,95 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        #: Its merges alone, for pre-tokens that are cut already, written in the characters that stand for bytes.
+        self.merges = Tokenizer(self.library.model)
+        stands = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+        stands |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in stands)}
+        self.bytewise = {c: "".join(stands[b] for b in chr(c).encode()) for c in range(128, 256)}
         vocabulary = self.library.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known = Remembered()
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_parts(self, parts: list[str]) -> None:
+    def _merged(self, parts: list[str]) -> Iterator[bytes]:
         """Each part is one pre-token, which ends with the only one of its tokens that ends a word."""
         for at in range(0, len(parts), 1000):
-            some = parts[at : at + 1000]
-            ids = self._encoded(["\n".join(some)])[0]
+            some = [p if p.isascii() else p.translate(self.bytewise) for p in parts[at : at + 1000]]
+            ids = np.array(self.merges.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(some):
                 raise ValueError("the vocabulary doesn't mark the end of each word")
             raw, begin = ids.tobytes(), 0
-            for part, end in zip(some, (ends * 4).tolist(), strict=True):
-                self.parts[part] = raw[begin:end]
+            for end in (ends * 4).tolist():
+                yield raw[begin:end]
                 begin = end
 
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that aren't remembered; those not too long are from now on."""
-        cut, whole = {}, []
-        for w in words:
-            text = w.decode(errors="replace")
-            if PLAIN.fullmatch(text) and "<|" not in text:
-                cut[w] = PARTS.findall(text.lower())
-            else:
-                whole.append((w, text))
-        if len(self.parts) > REMEMBERED:
-            self.parts = {}
-        self._learn_parts(list({p for parts in cut.values() for p in parts if p not in self.parts}))
-        found = {w: b"".join(map(self.parts.__getitem__, parts)) for w, parts in cut.items()}
-        for at in range(0, len(whole), 1000):
-            some = whole[at : at + 1000]
-            found.update((w, ids.tobytes()) for (w, _), ids in zip(some, self._encoded([t for _, t in some]), strict=True))
+    def _whole(self, words: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(words), 1000):
+            yield from (ids.tobytes() for ids in self._encoded(words[at : at + 1000]))
+
+    def _ids(self, units: list[str]) -> list[bytes]:
+        """Ids of pre-tokens and of words that aren't plain, each learnt if it isn't remembered."""
+        self.known.turn()
+        now = self.known.now
+        found = list(map(now.get, units))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        parts, words = [], []
+        for p in self.known.missing({units[i] for i in gaps}):
+            (parts if PLAIN_WORD.fullmatch(p) and "<|" not in p else words).append(p)
+        now.update(zip(parts, self._merged(parts), strict=True))
+        now.update(zip(words, self._whole(words), strict=True))
+        for i in gaps:
+            found[i] = now[units[i]]
         return found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned numbers of 32 bits."""
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        split = [t.split() for t in texts]
-        new = self.learn(set().union(*split).difference(self.words))
-        self.words.update((w, ids) for w, ids in new.items() if len(w) <= LONGEST)
-        known = self.words | {w: ids for w, ids in new.items() if len(w) > LONGEST} if any(len(w) > LONGEST for w in new) else self.words
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        plain, odd = [], {}
+        for i, raw in enumerate(texts):
+            text = raw.decode(errors="replace")
+            if not PLAIN_TEXT.fullmatch(text) or "<|" in text:
+                words = WORD.findall(text)
+                odd[i] = {j: w for j, w in enumerate(words) if not PLAIN_WORD.fullmatch(w) or "<|" in w}
+                # stands for a word that isn't plain; no plain one holds it
+                text = "\n".join("\x00" if j in odd[i] else w for j, w in enumerate(words))
+            plain.append(text.lower())
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pa.array(plain, pa.string()), pattern=BETWEEN, replacement=r" \0 "))
+        numbered = cut.flatten().dictionary_encode()
+        units = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = {"": b"", "\x00": b""}
+        named = [u for u in units if u not in known]
+        known |= zip(named, self._ids(named), strict=True)
+        taken = pa.array([known[u] for u in units], pa.binary()).take(numbered.indices)
+        ends = np.frombuffer(taken.buffers()[1], np.int32)[: len(taken) + 1]
+        data = memoryview(taken.buffers()[2] or b"")
+        at = cut.offsets.to_numpy()
+        out = [bytes(data[ends[a] : ends[b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        for i, words in odd.items():
+            places = [j for j, u in enumerate(cut[i].as_py()) if u == "\x00"]
+            ids, begin, parts = self._ids(list(words.values())), ends[at[i]], []
+            for place, more in zip(places, ids, strict=True):
+                here = ends[at[i] + place]
+                parts += [bytes(data[begin:here]), more]
+                begin = here
+            out[i] = b"".join([*parts, bytes(data[begin : ends[at[i + 1]]])])
+        return out
 
     def encode_long(self, text: bytes) -> bytes:
         return b"".join(self.encode([s])[0] for s in slices(text))
 
 
-WHITE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
 def slices(text: bytes) -> Iterator[bytes]:
     """The text in parts of SLICE bytes and up to the next white space."""
     begin = 0
     while begin < len(text):
-        found = WHITE.search(text, begin + SLICE)
+        found = SPACE.search(text, begin + SLICE)
         end = found.start() if found else len(text)
         yield text[begin:end]
         begin = end
