@@ -11,22 +11,22 @@ from pyspark.sql import DataFrame, functions as F
 from .lexical import top_k
 
 
-def _blocks(df: DataFrame, id: str, most: int, tasks: int) -> int:
-    n = df.count()
+def _blocks(n: int, most: int, tasks: int) -> int:
     return max(1, math.ceil(n / most), min(tasks, n // 256))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "query_id", id: str = "id", vector: str = "embedding", skip_self: bool = False, block_rows: int = 4096) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "query_id", id: str = "id", vector: str = "embedding", skip_self: bool = False, block_rows: int = 4096, n_queries: int | None = None, n_corpus: int | None = None) -> DataFrame:
     """query_id, rank, id, score: the k vectors of greatest dot product. Vectors are taken as normalised.
 
     Queries and corpus are dealt into blocks by hash, and each pair of blocks is one matrix product; only the k best of
     each query leave it. Nothing is broadcast, and a task holds two blocks whatever the number of vectors. A search is
-    exact, so work grows with queries times corpus, spread over all pairs of blocks.
+    exact, so work grows with queries times corpus, spread over all pairs of blocks. Sides whose numbers of rows are known,
+    which only set the numbers of blocks, needn't be counted.
     """
     if k <= 0:
         return queries.where(F.lit(False)).select(F.col(qid).alias("query_id"), F.lit(1).alias("rank"), F.lit(None).cast("long").alias("id"), F.lit(0.0).alias("score"))
     tasks = max(1, int(queries.sparkSession.sparkContext.defaultParallelism ** 0.5))
-    qn, cn = _blocks(queries, qid, block_rows, tasks), _blocks(corpus, id, block_rows, tasks)
+    qn, cn = (_blocks(df.count() if n is None else n, block_rows, tasks) for df, n in ((queries, n_queries), (corpus, n_corpus)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     q = queries.select(F.col(qid).cast("long").alias("query_id"), F.col(vector).alias("v"), dealt(qid, qn).alias("qb")).withColumn("cb", every(cn))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import metrics as M
+from ..storage import stored
+from .places import numbered
 
 
 def query_results(ranked: DataFrame, labels: DataFrame, k: int) -> DataFrame:
@@ -42,15 +44,18 @@ def overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
 
 
 def systematic_sample(df: DataFrame, order: str, limit: int) -> DataFrame:
-    """Every step-th row in order, limit rows at most; step is rows / limit, 1 at least."""
-    step = max(1, df.count() // limit)
-    # ranks within ranges of the order, then the ranges' sums: no task sees all rows
-    dealt = df.repartitionByRange(F.col(order)).withColumn("p", F.spark_partition_id())
-    place = F.row_number().over(Window.partitionBy("p").orderBy(order))
-    counts = dealt.groupBy("p").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = dealt.withColumn("r", place).join(counts.select("p", before.alias("before")), "p").withColumn("at", F.col("before") + F.col("r") - 1)
-    return rows.where((F.col("at") % step == 0) & (F.col("at") < step * limit)).drop("p", "r", "before", "at")
+    """Every step-th row in order, limit rows at most; step is rows / limit, 1 at least. Equal values come by digest of their rows.
+
+    The order and digests alone are numbered; whole rows only meet the `limit` chosen ones.
+    """
+    digest = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    places, n = numbered(df.select(F.col(order).alias("__order"), digest.alias("__digest")), "__order", "__digest", place="__place")
+    step = max(1, n // limit)
+    at = F.col("__place")
+    wanted = stored(places.where((at % step == 0) & (at < step * limit)).groupBy("__order", "__digest").agg(F.count("*").alias("__wanted")), "sample")
+    rows = df.withColumn("__row", digest).join(wanted, F.col(order).eqNullSafe(F.col("__order")) & (F.col("__row") == F.col("__digest")))
+    again = F.row_number().over(Window.partitionBy("__order", "__digest").orderBy(F.lit(0)))
+    return rows.withColumn("__again", again).where("__again <= __wanted").select(*df.columns)
 
 
 def stratified_sample(df: DataFrame, by: str, id: str, n: int, seed: int = 0) -> DataFrame:

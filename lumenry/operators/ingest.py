@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..storage import stored
 
 
 def exclusion_reason(url: Column, text: Column) -> Column:
@@ -57,7 +58,7 @@ def percentiles(df: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.9
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("long").alias("v")).agg(F.count("*").alias("c"))
     # sums within ranges of values, then of the ranges, one row a range: no task sees all values
-    dealt = counts.repartitionByRange("v").withColumn("p", F.spark_partition_id())
+    dealt = stored(counts.repartitionByRange("v").withColumn("p", F.spark_partition_id()), "value_counts")
     ranges = dealt.groupBy("p").agg(F.sum("c").alias("held"))
     before = ranges.select("p", F.coalesce(F.sum("held").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("held").over(Window.partitionBy(F.lit(1))).alias("n"))
     within = F.sum("c").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from .functions import text as T, vectors as V
 from .functions.patterns import PLAIN, STANCES
-from .operators import answers, chunk, dense, evaluation, exact, fusion, ingest, lexical, treatment
+from .operators import answers, chunk, dense, descent, evaluation, exact, fusion, ingest, ivf, lexical, treatment
+from .operators import postings as lexicon
 from .plans import audit, providers
 from .plans.search import Engine
 from .sources import corpus
@@ -175,6 +177,20 @@ def bm25_multiquery(spark, d):
     return lexical.bm25(docs(spark, d), asked(spark, d), 10, patterns=PLAIN).withColumn("score", F.round("score", 6))
 
 
+@query(f"with {bm25_sql(BENCH_Q, 10)} select query_id, rank, id, round(score, 6) as score from bm25")
+def bm25_stored(spark, d):
+    """From a stored index, of which only the buckets of the queries' terms and the blocks that can matter are read."""
+    found = lexicon.search(lexicon.build(docs(spark, d), patterns=PLAIN), asked(spark, d), 10)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(f"with {bm25_sql(DOCS_Q, 10)} select query_id, rank, id, round(score, 6) as score from bm25")
+def bm25_stored_documents(spark, d):
+    """Every hundredth document, whole, asked of a stored index."""
+    found = lexicon.search(lexicon.build(docs(spark, d), patterns=PLAIN), asked_docs(spark, d), 10)
+    return found.withColumn("score", F.round("score", 6))
+
+
 # Exact.
 
 
@@ -213,6 +229,28 @@ def dense_topk(spark, d):
     return dense.nearest(asked_vectors(spark, d), vectors(spark, d), 10).withColumn("score", F.round("score", 6))
 
 
+@query(f"with {dense_sql(10)} select query_id, rank, id, round(score, 6) as score from dense")
+def ivf_topk(spark, d):
+    """From stored cells, exact: those that can still hold one of the nearest are read beside the probed ones."""
+    found = ivf.search(ivf.build(vectors(spark, d)), asked_vectors(spark, d), 10)
+    return found.withColumn("score", F.round("score", 6))
+
+
+def _recall(found: DataFrame, exact: DataFrame, query: str, k: int) -> DataFrame:
+    """One row: queries, results that exact search has, and whether nine in ten of them, by score, were found as well."""
+    least = exact.groupBy(query).agg(F.round(F.min("score"), 9).alias("least"), F.count("*").alias("n"))
+    good = least.join(found, query, "left").groupBy(query).agg(F.max("n").alias("n"), F.count_if(F.round("score", 9) >= F.col("least")).alias("held"))
+    share = F.sum(F.least("held", "n")).cast("double") / F.sum("n")
+    return good.agg(F.count("*").alias("queries"), F.sum("n").alias("results"), (share >= 0.9).alias("recalled"))
+
+
+@query("select count(*) filter (where vec_id % 100 = 0) as queries, cast(count(*) filter (where vec_id % 100 = 0) * least(10, count(*)) as bigint) as results, true as recalled from embeddings")
+def ivf_recall(spark, d):
+    """Ten nearest of the probed cells alone, held against exact search."""
+    asked = asked_vectors(spark, d)
+    return _recall(ivf.search(ivf.build(vectors(spark, d)), asked, 10, exact=False), dense.nearest(asked, vectors(spark, d), 10), "query_id", 10)
+
+
 KNN_SQL = f"""
 sims as (select a.vec_id as source_id, b.vec_id as target_id, {COS} as score from embeddings a, embeddings b where a.vec_id <> b.vec_id),
 knn as (select source_id, target_id, score from sims qualify row_number() over (partition by source_id order by round(score, 9) desc, target_id) <= 5)"""
@@ -223,6 +261,22 @@ def knn_graph(spark, d):
     return dense.knn_graph(vectors(spark, d)).withColumn("score", F.round("score", 6))
 
 
+@query("select count(*) filter (where vec_id % 100 = 0) as queries, cast(count(*) filter (where vec_id % 100 = 0) * least(5, count(*) - 1) as bigint) as results, true as recalled from embeddings")
+def descent_recall(spark, d):
+    """The graph of all vectors by neighbours of neighbours; every hundredth vector's edges held against exact search."""
+    v = vectors(spark, d)
+    graph = descent.knn_graph(v).withColumnRenamed("source_id", "query_id").where("query_id % 100 = 0")
+    exact = dense.nearest(asked_vectors(spark, d), v, 6).where("query_id <> id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return _recall(graph, exact.withColumn("n", rank).where("n <= 5").drop("n"), "query_id", 5)
+
+
+@query()
+def descent_graph(spark, d):
+    """Every vector's five neighbours, by neighbours of neighbours."""
+    return descent.knn_graph(vectors(spark, d)).withColumn("score", F.round("score", 6))
+
+
 @query(f"with {KNN_SQL} select source_id as query_id, cast(row_number() over (partition by source_id order by round(score, 9) desc, target_id) as int) as rank, target_id as id, e.label, round(score, 6) as score from knn join embeddings e on e.vec_id = target_id where source_id % 100 = 0 qualify rank <= 3")
 def graph_neighbors(spark, d):
     v = vectors(spark, d)
@@ -409,7 +463,13 @@ def topk_overlap(spark, d):
 
 @query("with o as (select doc_id, row_number() over (order by doc_id) - 1 as place, greatest(1, count(*) over () // 37) as step from documents) select doc_id from o where place % step = 0 and place < step * 37")
 def systematic_sample(spark, d):
-    return evaluation.systematic_sample(docs(spark, d).select("doc_id"), "doc_id", 37)
+    return evaluation.systematic_sample(docs(spark, d), "doc_id", 37).select("doc_id")
+
+
+@query("with o as (select *, row_number() over (order by n_chars, doc_id) - 1 as place, greatest(1, count(*) over () // 101) as step from documents) select n_chars, count(*) as n from o where place % step = 0 and place < step * 101 group by 1")
+def sampled_lengths(spark, d):
+    """Lengths of a systematic sample in order of length, which repeats."""
+    return evaluation.systematic_sample(docs(spark, d), "n_chars", 101).groupBy("n_chars").agg(F.count("*").alias("n"))
 
 
 @query("select lang, doc_id, cast(row_number() over (partition by lang order by md5('7:' || doc_id), doc_id) as int) as draw from documents qualify draw <= 5")
@@ -603,9 +663,8 @@ def document_summaries(spark, d):
 @query()
 def audited_answers(spark, d):
     """Answers of an engine, and their claims judged against their sources by a stand-in, as one row of figures."""
-    engine, q = _engine(spark, d), asked(spark, d)
-    told = engine.answer(q, providers.Extractive, 5)
-    return audit.audit(told, engine.sources(q, 5), audit.WordJudge)
+    told, sources = _engine(spark, d).answer_with_sources(asked(spark, d), providers.Extractive, 5)
+    return audit.audit(told, sources, audit.WordJudge)
 
 
 @query()
@@ -635,8 +694,6 @@ with c as (select conv_id, turn, text, lead(text) over (partition by conv_id ord
 w as (select conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') as a, regexp_extract_all(lower(after), '[a-z0-9]+') as b from c where after is not null)
 select conv_id, turn, list_has_any(list_transform(range(1, len(a) - 4), lambda i: array_to_string(a[i:i + 5], ' ')), list_transform(range(1, len(b) - 4), lambda i: array_to_string(b[i:i + 5], ' '))) as leaks from w""")
 def leak_ngrams(spark, d):
-    from pyspark.sql.window import Window
-
     c = read(spark, d, "conversations").withColumn("after", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("after is not null")
     return c.select("conv_id", "turn", T.shares_run(F.col("text"), F.col("after")).alias("leaks"))
 
@@ -710,7 +767,7 @@ def chunk_sweep(spark, d):
 def _engine(spark, d) -> Engine:
     rows = docs(spark, d).select("id", F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("idx"), "text", F.col("source").alias("court"), F.col("n_chars").alias("cited_by"))
     embedder = providers.HashedWords()
-    return Engine(rows, providers.embed(rows, embedder), embedder, PLAIN)
+    return Engine.build(rows, embedder, PLAIN)
 
 
 @query()

@@ -188,24 +188,6 @@ def test_providers():
     assert agent.run("x?", providers.Scripted([("found", "answer: it is x [1]")], "search: x")) == ("it is x [1]", ["found x"])
 
 
-def test_engine(spark):
-    rows = spark.createDataFrame([(i, f"d{i // 3}", i % 3, t, "Supreme Court", 5) for i, t in enumerate(["Section 9 bars the suit.", "the appeal fails on limitation", "costs follow the event", "notice was served in time", "Section 9 again with AIR 1974", "zebra crossing case"])], "id long, doc_id string, idx int, text string, court string, cited_by long")
-    e = providers.HashedWords(32)
-    engine = Engine(rows, providers.embed(rows, e), e)
-    q = spark.createDataFrame([(1, "Section 9"), (2, "zebra crossing")], "query_id long, query string")
-    routed = engine.routed(q, 3).orderBy("query_id", "rank").collect()
-    assert [r["id"] for r in routed if r["query_id"] == 1][:2] == [0, 4] and routed[3]["id"] == 5
-    out = {r["query_id"]: r for r in engine.answer(q, providers.Extractive, 2).collect()}
-    assert out[1]["cited"] == [1] and not out[1]["refused"]
-    refused = engine.answer(q, lambda: providers.Scripted([]), 2)
-    assert refused.where("refused").count() == 2
-    again = engine.corrected(refused, lambda: providers.Scripted([("Split", "1. zebra\n2. crossing"), ("Sources", "It is so [1].")]), 2)
-    assert again.where("not refused").count() == 2
-    assert engine.hyde(q, lambda: providers.Scripted([], "zebra crossing case"), 1).where("query_id = 2").first()["id"] == 5
-    with pytest.raises(ValueError):
-        engine.dense(spark.createDataFrame([(1, " ")], "query_id long, query string"), 1)
-
-
 def models():
     """Models made here, so that workers get their code and need no import of this file."""
 
