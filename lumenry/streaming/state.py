@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
+from ..sources.versions import Store
 
 LIMIT, WINDOW = 20, 300.0
 
@@ -152,6 +153,20 @@ def stream_index(chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], pat
     return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_build(chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], store: Store, checkpoint: str):
+    """Embeds a stream of chunks into a store's tables payloads and vectors, each batch in one version.
+
+    Vectors are made of the payloads as they were written. A build that breaks off between the two, or before the version
+    is there, leaves nothing that a reader sees; started again, it writes the same batch in the same place, and a batch whose
+    version is there already isn't written again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        store.commit({"payloads": batch, "vectors": lambda written: embed(written["payloads"])}, tag=f"batch-{number}")
+
+    return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_counts(events: DataFrame, at: str = "ts", kind: str = "event_type", width: str = "1 hour", late: str | None = None) -> DataFrame:
     """Events by window and kind; with `late`, of a stream whose late rows are waited for so long."""
     rows = events.withColumn("at", F.col(at).cast("timestamp"))
