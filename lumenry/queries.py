@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .functions import text as T, vectors as V
+from .functions import markup, text as T, vectors as V
 from .functions.patterns import PLAIN, STANCES
-from .operators import answers, chunk, dense, descent, evaluation, exact, fusion, ingest, ivf, lexical, treatment
+from .operators import answers, chunk, containment, dense, descent, evaluation, exact, fusion, ingest, ivf, lexical, treatment
 from .operators import postings as lexicon
 from .plans import audit, providers
 from .plans.search import Engine
@@ -148,6 +148,23 @@ def page_text(spark, d):
     return read(spark, d, "pages").select("page_id", F.md5(corpus.page_text(F.col("html"))).alias("digest"))
 
 
+LINK = '<a href="([^"]*)">([^<]*)</a>'
+
+
+@query(rf"""
+with l as (select page_id, unnest(range(len(ls))) as n, unnest(ls) as l from (select page_id, regexp_extract_all(html, '{LINK}') as ls from pages))
+select page_id, cast(n as int) as n, regexp_extract(l, '{LINK}', 1) as value, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(l, '{LINK}', 2), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) as text from l""")
+def page_links(spark, d):
+    """Addresses and texts of all links, from the tags of pages."""
+    return markup.elements(read(spark, d, "pages"), "a")
+
+
+@query(r"""select page_id, 0 as n, trim(regexp_replace(replace(regexp_extract(html, '<div class="ad">([^<]*)</div>', 1), '&amp;', '&'), '\s+', ' ', 'g')) as text from pages where regexp_matches(html, '<div class="ad">[^<]*</div>')""")
+def page_ads(spark, d):
+    """Texts of the elements of one class."""
+    return markup.elements(read(spark, d, "pages"), "div", "ad").select("page_id", "n", "text")
+
+
 # Lexical.
 
 
@@ -704,10 +721,8 @@ t as (select item_id, len(want) as n, unnest(want) as w from s where len(want) >
 d as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) as w from documents)
 select item_id, doc_id from t join d using (w) group by item_id, doc_id, n having count(*) = n""")
 def name_containment(spark, d):
-    want = read(spark, d, "benchmark").select("item_id", T.significant(F.col("text")).alias("want")).where(F.size("want") >= 2)
-    terms = want.select("item_id", F.size("want").alias("n"), F.explode("want").alias("w"))
-    have = docs(spark, d).select("doc_id", F.explode(F.array_distinct(T.found(F.lower("text"), "[a-z]+"))).alias("w"))
-    return have.join(terms, "w").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("held")).where("held = n").select("item_id", "doc_id")
+    names = read(spark, d, "benchmark").select("item_id", T.significant(F.col("text")).alias("words")).where(F.size("words") >= 2)
+    return containment.contained(names, docs(spark, d).select("doc_id", T.found(F.lower("text"), "[a-z]+").alias("words")), "item_id", "doc_id")
 
 
 # State.
