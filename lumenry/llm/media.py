@@ -6,12 +6,15 @@ bytes can be carved. `store_as_wave` keeps any bytes losslessly as 8-bit samples
 
 Validators walk a medium's own lengths and checksums, so a finding ends where the medium does: a FLAC stream ends with
 the frame that completes the samples it declares, a PDF with the last `startxref` that points into it, before the next
-PDF header. Compressed members are unpacked in pieces of fixed size, whatever they hold.
-
-Defined results: null bytes count as empty, which no format matches; a match whose structure is not whole is no
-finding; media of one beginning are listed by format; repeated rows are treated each on its own; very long contents are
-walked whole, in one row's memory; extra columns are kept (`sniff_media`) or ignored (`media_features`); an empty table
-gives an empty result.
+PDF header, an Ogg stream with the last page of all its streams. A ZIP archive is told by its end record: that says where
+the archive begins, and only if its directory and all members lie as it says, from there on, is it one. Magic bytes that
+are an archive's or a stream's own, of members and pages, begin nothing; what members hold is searched. Compressed
+members are unpacked in pieces of fixed size, whatever they hold.
+
+Defined results: null bytes count as empty, which no format matches; a match whose structure is not whole, or an image
+without an image in it, is no finding; media of one beginning are listed by format; repeated rows are treated each on its
+own; very long contents are walked whole, in one row's memory; extra columns are kept (`sniff_media`; of the names
+sniffed_type and embedded, the new ones) or ignored (`media_features`); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,31 +52,38 @@ MAGIC: dict[bytes, tuple[str, int]] = {
 
 
 def _png(b: bytes, at: int) -> int:
-    i = at + 8
+    i, image = at + 8, False
     while i + 12 <= len(b):
         (n,), kind = struct.unpack_from(">I", b, i), b[i + 4 : i + 8]
         end = i + 12 + n
         if end > len(b) or zlib.crc32(b[i + 4 : i + 8 + n]) != struct.unpack_from(">I", b, i + 8 + n)[0] or i == at + 8 and kind != b"IHDR":
             return 0
         if kind == b"IEND":
-            return end
+            return end if image else 0
+        image |= kind == b"IDAT"
         i = end
     return 0
 
 
+#: Markers of frames, without tables that share their range.
+FRAMES = {*range(0xC0, 0xD0)} - {0xC4, 0xC8, 0xCC}
+
+
 def _jpeg(b: bytes, at: int) -> int:
-    i = at + 2
+    i, frame, scan = at + 2, False, False
     while i + 4 <= len(b) and b[i] == 0xFF:
         kind = b[i + 1]
         if kind == 0xD9:
-            return i + 2
+            break
+        frame |= kind in FRAMES
+        scan |= frame and kind == 0xDA
         i += 2 + struct.unpack_from(">H", b, i + 2)[0]
         if kind == 0xDA:  # entropy-coded data: FF is followed by 00 or a restart mark until the next segment
             while (i := b.find(b"\xff", i)) >= 0 and i + 1 < len(b) and (b[i + 1] == 0 or 0xD0 <= b[i + 1] <= 0xD7):
                 i += 2
             if i < 0:
                 return 0
-    return i + 2 if b[i : i + 2] == b"\xff\xd9" else 0
+    return i + 2 if scan and b[i : i + 2] == b"\xff\xd9" else 0
 
 
 def _gif(b: bytes, at: int) -> int:
@@ -87,9 +97,11 @@ def _gif(b: bytes, at: int) -> int:
             i += 1 + b[i]
         return i + 1
 
+    image = False
     while i < len(b):
         if b[i] == 0x3B:
-            return i + 1
+            return i + 1 if image else 0
+        image |= b[i] == 0x2C
         if b[i] == 0x21:
             i = blocks(i + 2)
         elif b[i] == 0x2C and i + 10 < len(b):
@@ -108,8 +120,8 @@ def _riff(b: bytes, at: int) -> int:
     while i + 8 <= min(end, len(b)):
         kinds.append(b[i : i + 4])
         i += 8 + (n := struct.unpack_from("<I", b, i + 4)[0]) + (n & 1)
-    need = {b"WAVE": b"fmt ", b"AVI ": b"LIST"}.get(b[at + 8 : at + 12])
-    return end if end <= len(b) and i in (end, end + 1) and (need in kinds if need else b[at + 8 : at + 12] == b"WEBP") else 0
+    need = {b"WAVE": (b"fmt ",), b"AVI ": (b"LIST",), b"WEBP": (b"VP8 ", b"VP8L", b"VP8X")}.get(b[at + 8 : at + 12], ())
+    return end if end <= len(b) and i in (end, end + 1) and any(k in kinds for k in need) else 0
 
 
 PDF_END = re.compile(rb"startxref\s+(\d+)\s+%%EOF")
@@ -127,17 +139,43 @@ def _pdf(b: bytes, at: int) -> int:
     return end
 
 
-def _zip(b: bytes, at: int) -> int:
-    i = at
-    while b[i : i + 4] == b"PK\x03\x04" and i + 30 <= len(b):
-        flags, _, _, _, _, size, _, name, extra = struct.unpack_from("<HHHHIIIHH", b, i + 6)
-        if flags & 8:
-            return 0
-        i += 30 + name + extra + size
-    while b[i : i + 4] == b"PK\x01\x02" and i + 46 <= len(b):
-        name, extra, note = struct.unpack_from("<HHH", b, i + 28)
+def _zip_at(b: bytes, end: int) -> tuple[int, list[int]] | None:
+    """Where the archive of an end record begins, and the places of its members, which follow one another up to the directory."""
+    _, _, here, entries, size, offset, _ = struct.unpack_from("<HHHHIIH", b, end + 4)
+    directory, begin = end - size, end - size - offset
+    if begin < 0 or here != entries or not entries:
+        return None
+    i, members = directory, []
+    for _ in range(entries):
+        if b[i : i + 4] != b"PK\x01\x02" or i + 46 > end:
+            return None
+        flags, packed, name, extra, note, place = (struct.unpack_from(f, b, i + at)[0] for f, at in (("<H", 8), ("<I", 20), ("<H", 28), ("<H", 30), ("<H", 32), ("<I", 42)))
+        members.append((begin + place, flags, packed, b[i + 46 : i + 46 + name]))
         i += 46 + name + extra + note
-    return i + 22 + struct.unpack_from("<H", b, i + 20)[0] if b[i : i + 4] == b"PK\x05\x06" and i + 22 <= len(b) else 0
+    members.sort()
+    if i != end or members[0][0] != begin:
+        return None
+    for (at, flags, packed, name), following in zip(members, [*(m[0] for m in members[1:]), directory], strict=True):
+        if b[at : at + 4] != b"PK\x03\x04" or at + 30 > directory:
+            return None
+        named, extra = struct.unpack_from("<HH", b, at + 26)
+        over = following - (at + 30 + named + extra + packed)
+        # sizes that were not known at first stand behind the member, in 12 or 16 bytes
+        if b[at + 30 : at + 30 + named] != name or over not in ((12, 16) if flags & 8 else (0,)):
+            return None
+    return begin, [m[0] for m in members]
+
+
+def _zips(b: bytes) -> dict[int, tuple[int, list[int]]]:
+    """End and members of each whole archive, by its beginning."""
+    out = {}
+    end = b.find(b"PK\x05\x06")
+    while 0 <= end and end + 22 <= len(b):
+        note = struct.unpack_from("<H", b, end + 20)[0]
+        if end + 22 + note <= len(b) and (found := _zip_at(b, end)):
+            out.setdefault(found[0], (end + 22 + note, found[1]))
+        end = b.find(b"PK\x05\x06", end + 4)
+    return out
 
 
 PIECE = 1 << 16
@@ -221,18 +259,40 @@ def _flac(b: bytes, at: int) -> int:
     return i if held and held >= declared else 0
 
 
-def _ogg(b: bytes, at: int) -> int:
-    i = at
+#: Each byte with its bits in reverse.
+REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
+
+def _ogg_sum(page: bytes) -> int:
+    """The checksum of a page: the common one's polynomial from the other end, from zero, so bits go in and out reversed."""
+    crc = zlib.crc32(page.translate(REVERSED), 0xFFFFFFFF) ^ 0xFFFFFFFF
+    return int(f"{crc:032b}"[::-1], 2)
+
+
+def _ogg(b: bytes, at: int) -> tuple[int, list[int]]:
+    """End and pages of streams that begin at a place: the first page begins one, each page's checksum holds, those of a stream
+    are numbered on, and it ends when all that began have ended."""
+    i, pages, opened, ended = at, [], {}, set()
     while b[i : i + 4] == b"OggS" and i + 27 <= len(b) and i + 27 + b[i + 26] <= len(b):
+        flags = b[i + 5]
+        serial, number, crc = struct.unpack_from("<III", b, i + 14)
         n = b[i + 26]
-        last = b[i + 5] & 4
-        i += 27 + n + sum(b[i + 27 : i + 27 + n])
-        if last:
-            return i if i <= len(b) else 0
-    return 0
+        end = i + 27 + n + sum(b[i + 27 : i + 27 + n])
+        if b[i + 4] or end > len(b) or _ogg_sum(b[i : i + 22] + b"\0\0\0\0" + b[i + 26 : end]) != crc:
+            break
+        if bool(flags & 2) == (serial in opened) or serial in ended or number != opened.get(serial, number - 1) + 1:
+            break
+        opened[serial] = number
+        pages.append(i)
+        if flags & 4:
+            ended.add(serial)
+        i = end
+        if len(ended) == len(opened):
+            return i, pages
+    return 0, []
 
 
-VALIDATE = {"image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "riff": _riff, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip, "audio/flac": _flac, "audio/ogg": _ogg}
+VALIDATE = {"image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "riff": _riff, "application/pdf": _pdf, "application/gzip": _gzip, "audio/flac": _flac}
 RIFF_TYPES = {b"WAVE": "audio/wav", b"AVI ": "video/x-msvideo", b"WEBP": "image/webp"}
 
 
@@ -250,11 +310,19 @@ def _automaton():
 def sniff(data: bytes) -> list[tuple[str, int, int]]:
     """(type, start, end) of every whole medium in data, outermost and nested ones alike, by start."""
     out = []
-    for last, magic in _automaton().iter(data.decode("latin-1")):
-        kind, offset = MAGIC[magic]
-        at = last + 1 - len(magic) - offset
+    places = sorted((last + 1 - len(magic) - MAGIC[magic][1], MAGIC[magic][0]) for last, magic in _automaton().iter(data.decode("latin-1")))
+    archives = _zips(data) if any(kind == "application/zip" for _, kind in places) else {}
+    own: set[int] = set()  # places of pages of a stream that was found
+    for at, kind in places:
+        end = 0
         try:
-            end = VALIDATE[kind](data, at) if at >= 0 else 0
+            if kind == "application/zip":
+                end = archives.get(at, (0,))[0]
+            elif kind == "audio/ogg":
+                end, pages = (0, []) if at in own else _ogg(data, at)
+                own.update(pages)
+            elif at >= 0:
+                end = VALIDATE[kind](data, at)
         except (struct.error, IndexError):
             end = 0
         if end:
@@ -275,6 +343,7 @@ def sniff_media(df: DataFrame, content: str = "content", declared: str | None =
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    df = df.drop(*({"sniffed_type", "embedded"} - {content, declared}))
     schema = StructType(df.schema.fields + StructType.fromDDL(f"sniffed_type string, embedded {FOUND}").fields)
     arrow = to_arrow_schema(schema)
 

@@ -368,6 +368,100 @@ def test_media_end_where_their_structure_ends():
     assert media.sniff(b"zz" + g + b"rest") == [("application/gzip", 2, 2 + len(g))] and media.sniff(g[:-3]) == []
 
 
+def ogg(serial, contents, first=2, last=4, number=0):
+    """Pages of a stream, by the public format, with the checksum bit by bit."""
+    out = b""
+    for i, c in enumerate(contents):
+        flags = (first if i == 0 else 0) | (last if i == len(contents) - 1 else 0)
+        head = b"OggS\0" + bytes([flags]) + b"\0" * 8 + serial.to_bytes(4, "little") + (number + i).to_bytes(4, "little")
+        page = head + b"\0\0\0\0" + bytes([1, len(c)]) + c
+        crc = 0
+        for x in page:
+            crc ^= x << 24
+            for _ in range(8):
+                crc = (crc << 1 ^ (0x04C11DB7 if crc >> 31 else 0)) & 0xFFFFFFFF
+        out += head + crc.to_bytes(4, "little") + page[26:]
+    return out
+
+
+def archive(members, streamed=False, method=0):
+    import io
+    import zipfile
+
+    class Stream(io.RawIOBase):
+        """One that can't be sought, so that sizes stand behind the members."""
+
+        def __init__(self):
+            self.held = bytearray()
+
+        def writable(self):
+            return True
+
+        def write(self, data):
+            self.held += data
+            return len(data)
+
+    out = Stream() if streamed else io.BytesIO()
+    with zipfile.ZipFile(out, "w", method) as f:
+        for i, m in enumerate(members):
+            f.writestr(f"m{i}", m)
+    return bytes(out.held) if streamed else out.getvalue()
+
+
+GIF = b"GIF89a\x01\0\x01\0\x80\0\0\0\0\0\xff\xff\xff,\0\0\0\0\x01\0\x01\0\0\x02\x02D\x01\0;"
+
+
+def test_archives_and_streams_are_one_finding():
+    import time
+
+    for streamed in (False, True):
+        z = archive([b"one", b"two" * 50, b"", b"four"], streamed)
+        assert media.sniff(z) == [("application/zip", 0, len(z))] and media.sniff(b"ab" + z + b"cd") == [("application/zip", 2, 2 + len(z))]
+        assert media.sniff(z[:-1]) == [] and media.sniff(z[10:]) == []
+        both = z + b"-" + z
+        assert media.sniff(both) == [("application/zip", 0, len(z)), ("application/zip", len(z) + 1, len(both))]
+    assert media.sniff(archive([b"x" * 100], method=8))[0][0] == "application/zip"
+    inner = archive([b"deep", b"deeper"])
+    outer = archive([b"first", inner, GIF])
+    assert media.sniff(outer) == [("application/zip", 0, len(outer)), ("application/zip", outer.index(inner), outer.index(inner) + len(inner)), ("image/gif", outer.index(GIF), outer.index(GIF) + len(GIF))]
+    took = []
+    for n in (4000, 16000):
+        z = archive([b"%d" % i for i in range(n)])
+        began = time.process_time()
+        assert media.sniff(z) == [("application/zip", 0, len(z))] and media.sniff(z[: len(z) - 30]) == []
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
+    o = ogg(7, [b"one", b"two", b"three"])
+    assert media.sniff(b"xx" + o + b"yy") == [("audio/ogg", 2, 2 + len(o))]
+    assert media.sniff(o.replace(b"two", b"twO")) == [] and media.sniff(ogg(7, [b"a", b"b"], first=0)) == [] and media.sniff(ogg(7, [b"a", b"b"], last=0)) == []
+    mixed = ogg(1, [b"a"], last=0) + ogg(2, [b"b"], last=0) + ogg(1, [b"c"], first=0, number=1) + ogg(2, [b"d"], first=0, number=1)
+    assert media.sniff(mixed) == [("audio/ogg", 0, len(mixed))]
+    assert media.sniff(b"\xff\xd8\xff\xe0\0\x02\xff\xd9") == [] and media.sniff(b"GIF89a\x01\0\x01\0\0\0\0;") == [] and media.sniff(b"RIFF\x04\0\0\0WEBP") == []
+
+
+def test_embedded_media_by_construction(spark):
+    """Media put between other bytes, their places known: the rows' findings are these and no more."""
+    import gzip
+
+    rng = np.random.default_rng(11)
+    media_of = {"application/zip": [archive([b"a", b"bb"]), archive([b"stream"], True)], "image/gif": [GIF], "audio/ogg": [ogg(3, [b"x", b"yz"])], "application/gzip": [gzip.compress(b"packed" * 9)], "audio/wav": [media.store_as_wave(b"abcd" * 8)], "audio/flac": [flac(3)]}
+    noise = [b"plain words ", b"PK\x03\x04", b"GIF89a", b"OggS", b"fLaC", b"RIFF", b"\x1f\x8b\x08", b"PK\x05\x06", b"%PDF-1.4 "]
+    rows, want = [], {}
+    for i in range(60):
+        data, found = b"", []
+        for _ in range(int(rng.integers(0, 6))):
+            data += noise[int(rng.integers(len(noise)))] + b"\0" * 40
+            kind = list(media_of)[int(rng.integers(len(media_of)))]
+            part = media_of[kind][int(rng.integers(len(media_of[kind])))]
+            found.append((kind, len(data), len(data) + len(part), hashlib.sha256(part).hexdigest()))
+            data += part
+        rows.append((i, bytearray(data + b" end"), "clash"))
+        want[i] = found
+    got = media.sniff_media(spark.createDataFrame(rows, "id int, content binary, embedded string"), "content")
+    assert got.columns == ["id", "content", "sniffed_type", "embedded"]
+    assert {r["id"]: [(e["type"], e["start"], e["end"], e["sha256"]) for e in r["embedded"]] for r in got.collect()} == want
+
+
 def test_token_counts(spark, docs, empty):
     import sentencepiece
 
