@@ -15,7 +15,7 @@ from . import providers
 
 Make = Callable[[], providers.Model]
 
-# How much of a text a judge and a summariser see.
+# How many characters of a text a judge and summarisers see unless told; with None, all of it.
 EXCERPT, SUMMARY_CHARS, CONTEXT_CHARS = 2500, 12_000, 6000
 JUDGE = "Say whether the passage carries the claim: supported, unsupported or unclear. One word, from the passage alone."
 SUMMARISE = "Sum up the judgment in two or three sentences between <summary> and </summary>."
@@ -38,20 +38,24 @@ class WordJudge:
         return "unclear" if not want else "supported" if len(want & words(passage)) >= self.least * len(want) else "unsupported"
 
 
-def judge(claims: DataFrame, sources: DataFrame, make: Make, tries: int = 3) -> DataFrame:
+def opening(text: str, most: int | None):
+    return F.coalesce(F.col(text) if most is None else F.substring(text, 1, most), F.lit(""))
+
+
+def judge(claims: DataFrame, sources: DataFrame, make: Make, tries: int = 3, excerpt: int = EXCERPT) -> DataFrame:
     """id, claim_no, source, verdict of each claim and source it names. claims: id, claim_no, claim, cited. sources: id, n, text.
 
     A source that isn't there is missing; a reply that is no verdict, or none after the last try, is unclear. Claims
     that name no source have no row.
     """
-    pairs = answers.to_judge(claims, sources, EXCERPT)
+    pairs = answers.to_judge(claims, sources, excerpt)
     prompt = F.concat(F.lit("Passage:\n"), "passage", F.lit("\n\nClaim:\n"), "claim", F.lit("\n\nVerdict:"))
     told = providers.complete(pairs.where("verdict is null").select("id", "claim_no", "source", prompt.alias("prompt")), make, system=JUDGE, tries=tries)
     judged = told.select("id", "claim_no", "source", F.coalesce(T.verdict(F.col("reply")), F.lit("unclear")).alias("verdict"))
     return judged.unionByName(pairs.where("verdict is not null").select("id", "claim_no", "source", "verdict"))
 
 
-def audit(answered: DataFrame, sources: DataFrame, make: Make) -> DataFrame:
+def audit(answered: DataFrame, sources: DataFrame, make: Make, excerpt: int = EXCERPT) -> DataFrame:
     """One row of figures of answers(query_id, text, refused, truncated, cited) against sources(query_id, n, text).
 
     Refusals and answers that were cut off are counted and not judged: the latter lack citations they would have made.
@@ -62,28 +66,28 @@ def audit(answered: DataFrame, sources: DataFrame, make: Make) -> DataFrame:
     )
     whole = answered.where("not refused and not truncated").select(F.col("query_id").alias("id"), "text")
     claims = answers.claims_table(whole)
-    checks = judge(claims, sources.select(F.col("query_id").alias("id"), "n", "text"), make)
+    checks = judge(claims, sources.select(F.col("query_id").alias("id"), "n", "text"), make, excerpt=excerpt)
     # two tables of one row each
     return flags.withColumn("one", F.lit(1)).join(answers.attribution(claims, checks).withColumn("one", F.lit(1)), "one").drop("one")
 
 
-def summaries(docs: DataFrame, stored: DataFrame, make: Make) -> DataFrame:
+def summaries(docs: DataFrame, stored: DataFrame, make: Make, most: int | None = SUMMARY_CHARS) -> DataFrame:
     """doc_id and summary of documents(id, text) that none is stored for: those whose reply holds a usable one.
 
     A reply that was cut off is asked for once more, with twice the room.
     """
-    todo = corpus.missing_summaries(docs, stored).select(F.col("id").alias("doc_id"), F.concat(F.lit("Judgment Text:\n"), F.substring("text", 1, SUMMARY_CHARS)).alias("prompt"))
+    todo = corpus.missing_summaries(docs, stored).select(F.col("id").alias("doc_id"), F.concat(F.lit("Judgment Text:\n"), opening("text", most)).alias("prompt"))
     told = providers.complete(todo, make, system=SUMMARISE, again=lambda reply: "</summary>" not in reply)
     return told.select("doc_id", T.summary_of(F.col("reply")).alias("summary")).where("summary is not null")
 
 
-def context_summaries(docs: DataFrame, stored: DataFrame, make: Make) -> DataFrame:
+def context_summaries(docs: DataFrame, stored: DataFrame, make: Make, most: int | None = CONTEXT_CHARS) -> DataFrame:
     """doc_id, summary and fresh of all documents(id, text): what is stored, else a model's reply, else an empty string.
 
     Only fresh rows are to be stored, so that what failed is tried again.
     """
     rows = docs.join(stored.select(F.col("doc_id").alias("id"), F.col("summary").alias("held")), "id", "left")
-    todo = rows.where("held is null").select(F.col("id").alias("doc_id"), F.substring("text", 1, CONTEXT_CHARS).alias("prompt"))
+    todo = rows.where("held is null").select(F.col("id").alias("doc_id"), opening("text", most).alias("prompt"))
     told = providers.complete(todo, make, system=SUMMARISE, tries=2)
     new = told.select("doc_id", F.coalesce(T.strip(F.col("reply")), F.lit("")).alias("summary"), F.col("reply").isNotNull().alias("fresh"))
     return rows.where("held is not null").select(F.col("id").alias("doc_id"), F.col("held").alias("summary"), F.lit(False).alias("fresh")).unionByName(new)

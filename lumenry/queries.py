@@ -655,26 +655,29 @@ def structured_answers(spark, d):
     return rows.select("conv_id", "turn", "a.refused", "a.text", join("a.cited").alias("cited"), join("a.invalid").alias("invalid"))
 
 
-class Opening:
-    """A summariser's stand-in: a text's first 90 characters, without tags where the 90th is a vowel."""
+class Closing:
+    """A summariser's stand-in: the end of a text and a digest of all of it, without tags where it ends with a vowel."""
 
     last_finish_reason = None
 
     def complete(self, system: str, prompt: str) -> str:
-        head = prompt.removeprefix("Judgment Text:\n")[:90]
-        return head if head[-1:] in tuple("aeiou") else f"<summary>{head}</summary>"
+        import hashlib
+
+        text = prompt.removeprefix("Judgment Text:\n")
+        told = f"{text[-90:]} {hashlib.md5(text.encode()).hexdigest()}"
+        return told if text[-1:] in tuple("aeiou") else f"<summary>{told}</summary>"
 
 
 LEAK_SQL = " or ".join(["contains(lower(s), '{}')".format(T.LEAKED), *("starts_with(lower(s), '{}')".format(p.replace("'", "''")) for p in T.LEAKS)])
 
 
-@query(f"""with h as (select doc_id, substr(text, 1, 90) as h from documents where doc_id % 3 <> 0), t as (select doc_id, trim(h, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as s from h where length(h) < 90 and right(h, 1) not in ('a', 'e', 'i', 'o', 'u') or length(h) = 90 and right(h, 1) not in ('a', 'e', 'i', 'o', 'u'))
-select doc_id, s as summary from t where s <> '' and not ({LEAK_SQL})""")
+@query(f"""with h as (select doc_id, trim(right(text, 90) || ' ' || md5(text), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as s from (select doc_id, coalesce(text, '') as text from documents) where doc_id % 3 <> 0 and right(text, 1) not in ('a', 'e', 'i', 'o', 'u'))
+select doc_id, s as summary from h where not ({LEAK_SQL})""")
 def document_summaries(spark, d):
-    """Of documents that no summary is stored for (here: those whose id three doesn't divide)."""
+    """Of documents that no summary is stored for (here: those whose id three doesn't divide), from their whole texts."""
     rows = docs(spark, d).select("id", "text")
     stored = rows.where("id % 3 = 0").select(F.col("id").alias("doc_id"))
-    return audit.summaries(rows, stored, Opening)
+    return audit.summaries(rows, stored, Closing, most=None)
 
 
 @query()
@@ -686,10 +689,11 @@ def audited_answers(spark, d):
 
 @query()
 def conceptual_cache_replay(spark, d):
-    """Questions of sessions, by turns identifiers and vectors, against caches of a few answers."""
+    """Questions of all events, by turns identifiers and conceptual ones, against each user's cache of a few answers; those
+    beyond the table of vectors have none, so that nothing is near them."""
     v = vectors(spark, d).select(F.col("id").alias("event_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    e = read(spark, d, "events").join(v, "event_id").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.col("event_type").alias("query"), F.when(F.col("event_id") % 4 == 0, "identifier").otherwise("conceptual").alias("kind"), "embedding")
-    return state.replay_cache(e.withColumn("session", F.col("session") % 7), 8, 0.4)
+    e = read(spark, d, "events").join(v, "event_id", "left").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.col("event_type").alias("query"), F.when(F.col("event_id") % 4 == 0, "identifier").otherwise("conceptual").alias("kind"), "embedding")
+    return state.replay_cache(e, 8, 0.4)
 
 
 # Leaks and overlaps.
@@ -701,9 +705,11 @@ d as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from docu
 select doc_id, item_id, count(*) as shared from e join g using (gram) group by 1, 2""")
 def benchmark_overlap(spark, d):
     grams = lambda c: F.explode(T.ngrams(T.found(F.lower(c), "[a-z0-9]+"), 6))
-    left = docs(spark, d).select("doc_id", grams(F.col("text")).alias("gram"))
-    right = read(spark, d, "benchmark").select("item_id", grams(F.col("text")).alias("gram"))
-    return left.join(right, "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    hashed = lambda df: df.withColumn("hash", F.xxhash64("gram"))
+    right = hashed(read(spark, d, "benchmark").select("item_id", grams(F.col("text")).alias("gram")))
+    # numbers of the benchmark's runs meet those of documents first; only runs that are there go on as text
+    left = hashed(docs(spark, d).select("doc_id", grams(F.col("text")).alias("gram"))).join(right.select("hash").distinct(), "hash", "left_semi")
+    return left.join(right, ["hash", "gram"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
 @query("""
