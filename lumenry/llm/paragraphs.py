@@ -2,7 +2,8 @@
 
 Every line with words is a paragraph. Lines of under `min_words` words that follow each other, up to a blank line, are
 also cut into pieces by content: before each word whose hash is the least among `reach` words to both sides, so that a
-passage is cut alike wherever it stands and however it is wrapped. Paragraphs are sets of five-word shingles of
+passage is cut alike wherever it stands and however it is wrapped. Longer lines are cut so too, and their pieces meet equal
+ones alone: that finds what stands inside lines that differ otherwise. Paragraphs are sets of five-word shingles of
 lower-cased words (of fewer words: all as one); bands are tuned so that a pair at the threshold is found with the
 demanded recall; pairs that collide in a band are verified by exact Jaccard similarity, and components follow.
 
@@ -39,6 +40,8 @@ class Paragraphs:
     percent: int = 80
     min_words: int = 16
     reach: int = 8
+    #: The same for pieces of longer lines, which only meet equal ones.
+    long_reach: int = 6
     recall: float = 0.999
     hashes: int = 32
     seed: int = 11
@@ -75,7 +78,8 @@ def cuts(words: np.ndarray, run: np.ndarray, reach: int) -> np.ndarray:
 
 
 def split(texts: list[str | None], rules: Paragraphs) -> dict[str, np.ndarray]:
-    """Paragraphs of all texts: text (its number), no, first_word, last_word (of the text), and bounds into words."""
+    """Paragraphs of all texts: text (its number), no, first_word, last_word (of the text), bounds into words, and whether it is
+    a piece of a longer line."""
     lines = [(t or "").split("\n") for t in texts]
     counts = np.fromiter(map(len, lines), np.int64, len(lines))
     words, at = word_hashes([x.encode() for ls in lines for x in ls]) if len(lines) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
@@ -94,14 +98,24 @@ def split(texts: list[str | None], rules: Paragraphs) -> dict[str, np.ndarray]:
     piece_end = np.append(piece_start[1:], len(words))
     piece_end = np.minimum(piece_end, at[tail][run[piece_start]])
     has = size > 0
-    start, end = np.concatenate((at[:-1][has], piece_start)), np.concatenate((at[1:][has], piece_end))
+    long = size >= rules.min_words
+    line = np.repeat(np.where(long, np.arange(len(size)), -1), size)
+    inner = cuts(words, line, rules.long_reach)
+    inner[at[:-1][long]] = True
+    inner_start = np.flatnonzero(inner)
+    inner_end = np.minimum(np.append(inner_start[1:], len(words)), at[1:][line[inner_start]])
+    start, end = np.concatenate((at[:-1][has], piece_start, inner_start)), np.concatenate((at[1:][has], piece_end, inner_end))
+    inside = np.arange(len(start)) >= len(start) - len(inner_start)
     # by place, the longest first; a piece that is a line counts once
-    bounds = np.unique(np.stack((start, -end), 1), axis=0) if len(start) else np.zeros((0, 2), np.int64)
-    start, end = bounds[:, 0], -bounds[:, 1]
+    order = np.lexsort((inside, -end, start))
+    start, end, inside = start[order], end[order], inside[order]
+    new = np.ones(len(start), bool)
+    new[1:] = (start[1:] != start[:-1]) | (end[1:] != end[:-1])
+    start, end, inside = start[new], end[new], inside[new]
     base = at[np.concatenate(([0], np.cumsum(counts)))]
     text = np.searchsorted(base, start, side="right") - 1
     no = np.arange(len(text)) - np.searchsorted(text, text)
-    return {"words": words, "text": text, "no": no, "first_word": start - base[text], "last_word": end - base[text], "start": start, "end": end}
+    return {"words": words, "text": text, "no": no, "first_word": start - base[text], "last_word": end - base[text], "start": start, "end": end, "inside": inside}
 
 
 def shingled(p: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,9 +161,10 @@ def paragraph_table(docs: DataFrame, rules: Paragraphs = Paragraphs()) -> DataFr
             h, at = shingled(p, rules.n)
             pid = set_keys(h, at).view(np.int64)
             size = np.diff(at).astype(np.int32)
-            _, lead = np.unique(pid, return_index=True)
+            banded = np.flatnonzero(~p["inside"])
+            _, lead = np.unique(pid[banded], return_index=True)
             first = np.zeros(len(pid), bool)
-            first[lead] = True  # of copies in one batch, the first has bands
+            first[banded[lead]] = True  # of copies in one batch, the first has bands
             keys = band_keys(h, at, bands, rows_a_band, rules.seed)[first].view(np.int64)
             own = np.repeat(first, size)
             sig, words = bit_maps(h[own], np.concatenate(([0], np.cumsum(np.where(first, size, 0)))))
