@@ -152,7 +152,7 @@ def band_keys(h: np.ndarray, at: np.ndarray, bands: int, rows: int, seed: int) -
 
 
 def paragraph_table(docs: DataFrame, rules: Paragraphs = Paragraphs()) -> DataFrame:
-    """doc_id, no, first_word, last_word, pid, size, sig and band keys of each paragraph."""
+    """doc_id, no, first_word, last_word, inside (a piece of a longer line), pid, size, sig and band keys of each paragraph."""
     bands, rows_a_band = tune(rules.percent / 100, rules.recall, rules.hashes)
 
     def run(rows):
@@ -171,16 +171,16 @@ def paragraph_table(docs: DataFrame, rules: Paragraphs = Paragraphs()) -> DataFr
             lists = lambda x, sizes: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(x.reshape(-1).view(np.int64)))
             ids = np.array(piece["doc_id"], dtype=object)[p["text"]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(p["no"].astype(np.int32)), pa.array(p["first_word"].astype(np.int32)), pa.array(p["last_word"].astype(np.int32)), pa.array(pid), pa.array(size), lists(sig, words), lists(keys, first * bands)],
-                names=["doc_id", "no", "first_word", "last_word", "pid", "size", "sig", "bands"],
+                [pa.array(ids, pa.int64()), pa.array(p["no"].astype(np.int32)), pa.array(p["first_word"].astype(np.int32)), pa.array(p["last_word"].astype(np.int32)), pa.array(p["inside"]), pa.array(pid), pa.array(size), lists(sig, words), lists(keys, first * bands)],
+                names=["doc_id", "no", "first_word", "last_word", "inside", "pid", "size", "sig", "bands"],
             )
 
-    schema = "doc_id long, no int, first_word int, last_word int, pid long, size int, sig array<long>, bands array<long>"
+    schema = "doc_id long, no int, first_word int, last_word int, inside boolean, pid long, size int, sig array<long>, bands array<long>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def repeated_paragraphs(docs: DataFrame, rules: Paragraphs = Paragraphs(), table: DataFrame | None = None) -> DataFrame:
-    """doc_id, no, first_word, last_word, group_doc (the document that keeps the group's text), removed of all paragraphs with copies."""
+    """doc_id, no, first_word, last_word, inside, group_doc (the document that keeps the group's text), removed of all paragraphs with copies."""
     docs = bounded(docs)
     table = stored(paragraph_table(docs, rules), "paragraphs") if table is None else table
     held = table.where(F.size("bands") > 0)
@@ -203,17 +203,17 @@ def repeated_paragraphs(docs: DataFrame, rules: Paragraphs = Paragraphs(), table
     named = stored(sets.join(components, sets["pid"] == components["id"], "left").select("pid", "n", F.coalesce("component", "pid").alias("component")), "named")
     several = named.groupBy("component").agg(F.sum("n").alias("all")).where(F.col("all") > 1)
     lit = stored(named.join(several.select("component"), "component", "left_semi"), "several")
-    found = table.select("doc_id", "no", "first_word", "last_word", "pid")
+    found = table.select("doc_id", "no", "first_word", "last_word", "inside", "pid")
     rows = salted_join(found, lit.select("pid", "component"), ["pid"], hot_keys(lit, ["pid"]), ["doc_id", "no"])
     # overlapping paragraphs of one document and component are one place
     order = Window.partitionBy("component", "doc_id").orderBy("first_word", "no")
     reach = F.max("last_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(F.col("first_word") < reach, 0).otherwise(1)
-    placed = rows.withColumn("opens", opens).withColumn("place", F.sum("opens").over(order)).select("component", "doc_id", "no", "first_word", "last_word", "place", "opens")
+    placed = rows.withColumn("opens", opens).withColumn("place", F.sum("opens").over(order)).select("component", "doc_id", "no", "first_word", "last_word", "inside", "place", "opens")
     placed = stored(placed, "placed")
     groups = placed.groupBy("component").agg(F.count("*").alias("n"), F.sum("opens").alias("places"), F.min(F.struct("doc_id", "place")).alias("kept")).where("places > 1")
     copies = salted_join(placed, groups.select("component", "kept"), ["component"], hot_keys(groups, ["component"]), ["doc_id", "no"])
-    return copies.select("doc_id", "no", "first_word", "last_word", F.col("kept.doc_id").alias("group_doc"), (~F.struct("doc_id", "place").eqNullSafe(F.col("kept"))).alias("removed"))
+    return copies.select("doc_id", "no", "first_word", "last_word", "inside", F.col("kept.doc_id").alias("group_doc"), (~F.struct("doc_id", "place").eqNullSafe(F.col("kept"))).alias("removed"))
 
 
 def passages(ranges: Column, least: int) -> Column:
@@ -230,23 +230,24 @@ def passages(ranges: Column, least: int) -> Column:
 
 def paragraph_dedup(docs: DataFrame, rules: Paragraphs = Paragraphs()) -> DataFrame:
     """One row a doc_id: repeated passages of `rules.passage` words or more, paragraphs with copies anywhere, those removed,
-    their places, the groups' documents, and paragraphs."""
+    their places, the groups' documents, paragraphs, and pieces of longer lines that are removed, which count as no paragraphs."""
     table = stored(paragraph_table(bounded(docs), rules), "paragraphs")
     rows = repeated_paragraphs(docs, rules, table)
     per_doc = rows.groupBy("doc_id").agg(
         passages(F.array_sort(F.collect_list(F.struct("first_word", "last_word"))), rules.passage).alias("n_passages"),
-        F.count("*").alias("n_repeated"),
-        F.count_if("removed").alias("n_removed"),
-        F.array_sort(F.collect_list(F.when(F.col("removed"), F.col("no")))).alias("removed"),
+        F.count_if(~F.col("inside")).alias("n_repeated"),
+        F.count_if(F.col("removed") & ~F.col("inside")).alias("n_removed"),
+        F.count_if(F.col("removed") & F.col("inside")).alias("n_removed_pieces"),
+        F.array_sort(F.collect_list(F.when(F.col("removed") & ~F.col("inside"), F.col("no")))).alias("removed"),
         F.array_sort(F.collect_set("group_doc")).alias("group_docs"),
     )
-    totals = table.groupBy(F.col("doc_id").alias("of")).agg(F.count("*").alias("n_paragraphs"))
+    totals = table.where("not inside").groupBy(F.col("doc_id").alias("of")).agg(F.count("*").alias("n_paragraphs"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     joined = ids.join(totals, F.col("doc_id").eqNullSafe(F.col("of")), "left").join(per_doc.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
     return joined.select(
         "doc_id", zero("n_passages"), zero("n_repeated"), zero("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
-        F.coalesce("group_docs", F.array().cast("array<long>")).alias("group_docs"), zero("n_paragraphs"),
+        F.coalesce("group_docs", F.array().cast("array<long>")).alias("group_docs"), zero("n_paragraphs"), zero("n_removed_pieces"),
     )
 
 

@@ -174,7 +174,7 @@ def test_passages_inside_longer_lines(spark):
     shared = words("s", 90)
     rows = [(k, " ".join(words(f"a{k}", 200) + (shared if k < 3 else words(f"x{k}", 90)) + words(f"b{k}", 150))) for k in range(5)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_passages"], r["n_removed"] > 0) for r in paragraphs.paragraph_dedup(df).collect()}
+    got = {r["doc_id"]: (r["n_passages"], r["n_removed_pieces"] > 0) for r in paragraphs.paragraph_dedup(df).collect()}
     assert got == {0: (1, False), 1: (1, True), 2: (1, True), 3: (0, False), 4: (0, False)}
     kept = {r["doc_id"]: r["text"].split() for r in paragraphs.drop_paragraphs(df).collect()}
     assert kept[0] == rows[0][1].split() and all([w for w in kept[k] if w not in shared] == [w for w in rows[k][1].split() if w not in shared] and sum(w in shared for w in kept[k]) < 45 for k in (1, 2))
