@@ -207,3 +207,9 @@ def client_key(forwarded: Column, peer: Column) -> Column:
     """The first hop that a request names, else its peer, else unknown."""
     hop = F.trim(F.element_at(F.split(forwarded, ","), 1))
     return F.coalesce(F.when(hop != "", hop), peer, F.lit("unknown"))
+
+
+def chunk_place(id: Column) -> Column:
+    """struct(doc_id, idx) of a chunk's id, cut at its last #; an id without a number behind one is a document's own, without idx."""
+    found = F.regexp_extract(id, r"(?s)^(.*)#([0-9]+)$", 2)
+    return F.struct(F.when(found == "", id).otherwise(F.regexp_extract(id, r"(?s)^(.*)#([0-9]+)$", 1)).alias("doc_id"), F.nullif(found, F.lit("")).cast("int").alias("idx"))

@@ -37,6 +37,15 @@ def sweep(configs: dict[str, DataFrame], labels: DataFrame, k: int) -> DataFrame
     return grouped.withColumn("kind", F.coalesce("kind", F.lit("all")))
 
 
+def changed(before: DataFrame, after: DataFrame, places: int = 6) -> DataFrame:
+    """query_id, rank, id, score of both sides where two rankings(query_id, rank, id, score) differ: another id at a rank, a rank
+    that one of them lacks, or a score that differs at so many places. No row: nothing has changed."""
+    side = lambda df, name: df.select("query_id", "rank", F.col("id").alias(f"{name}_id"), F.round("score", places).alias(f"{name}_score"))
+    both = side(before, "before").join(side(after, "after"), ["query_id", "rank"], "full")
+    same = F.col("before_id").eqNullSafe(F.col("after_id")) & F.col("before_score").eqNullSafe(F.col("after_score"))
+    return both.where(~same)
+
+
 def overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """query_id, shared: ids among both first k."""
     both = a.where(F.col("rank") <= k).select("query_id", "id").join(b.where(F.col("rank") <= k).select("query_id", "id"), ["query_id", "id"])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
 from ..functions.patterns import LEGAL, PatternSet
-from ..operators import answers, dense, exact, fusion, ivf, lexical, postings
+from ..operators import answers, dense, evaluation, exact, fusion, ivf, lexical, postings
 from ..storage import stored
 from . import providers
 
@@ -53,6 +53,11 @@ class Engine:
         vectors = stored(providers.embed(kept, embedder), "vectors")
         return cls(kept, vectors, embedder, patterns, postings.build(kept, patterns=patterns), ivf.build(vectors, cells) if cells else None)
 
+    def within(self, pool: DataFrame) -> Engine:
+        """An engine over the chunks of a pool(id) alone."""
+        kept = pool.select("id").distinct()
+        return Engine(stored(self.chunks.join(kept, "id", "left_semi"), "pool"), stored(self.vectors.join(kept, "id", "left_semi"), "pool_vectors"), self.embedder, self.patterns)
+
     @cached_property
     def n_vectors(self) -> int:
         return self.vectors.count()
@@ -164,6 +169,17 @@ class Engine:
         return self.answer(refused.join(merged.select("query_id").distinct(), "query_id", "left_semi"), make, k, search=lambda q, n: merged)
 
 
+def embedder_trial(chunks: DataFrame, pool: DataFrame, queries: DataFrame, labels: DataFrame, embedders: dict[str, providers.Embedder], k: int = 10) -> DataFrame:
+    """config, kind, n, recall, precision, reciprocal_rank of dense searches of one pool(id) of chunks(id, text), by embedder."""
+    held = stored(chunks.join(pool.select("id").distinct(), "id", "left_semi"), "pool")
+    asked, found = None, {}
+    for name, embedder in embedders.items():
+        engine = Engine(held, stored(providers.embed(held, embedder), "pool_vectors"), embedder)
+        asked = asked or engine.once(queries)
+        found[name] = stored(engine.dense(asked, k), "trial")
+    return evaluation.sweep(found, labels, k)
+
+
 @dataclass
 class Agent:
     """A driver-side loop of few turns over batch operators: a model asks for tools and must answer in the end."""

@@ -12,8 +12,9 @@ from .functions.patterns import PLAIN, STANCES
 from .operators import answers, chunk, containment, dense, descent, evaluation, exact, fusion, ingest, ivf, lexical, treatment
 from .operators import postings as lexicon
 from .plans import audit, providers
-from .plans.search import Engine
+from .plans.search import Engine, embedder_trial as embedder_trial_of
 from .sources import corpus
+from .storage import stored
 from .streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -549,6 +550,28 @@ def pool_shuffled(spark, d):
     return evaluation.shuffled(dense.nearest(asked_vectors(spark, d), vectors(spark, d), 20).select("query_id", "id"), 5)
 
 
+SNAPSHOT_Q = "select item_id as query_id, text as query from benchmark order by item_id limit 9"
+
+
+@query(f"with {bm25_sql(SNAPSHOT_Q, 20)} select query_id, rank, id, round(score, 6) as score from bm25")
+def score_snapshot(spark, d):
+    """Scores of nine questions, the first by id, to depth 20: what a change of the ranking is held against."""
+    nine = asked(spark, d).orderBy("query_id").limit(9)
+    return lexical.bm25(docs(spark, d), nine, 20, patterns=PLAIN).withColumn("score", F.round("score", 6))
+
+
+@query()
+def embedder_trial(spark, d):
+    """Two embedders on one pool: documents of bad quality and fifty others; passages find the pool's documents of a run of their words."""
+    rows = docs(spark, d).select("id", "text")
+    bad = read(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("id"))
+    pool = stored(evaluation.probe_pool(rows.select("id"), bad, "id", 50, 3), "trial_pool")
+    shared = benchmark_overlap(spark, d).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"))
+    relevant = shared.join(pool.select("id"), "id", "left_semi").groupBy("query_id").agg(F.array_sort(F.collect_set("id")).alias("relevant"))
+    labels = stored(relevant.select("query_id", F.lit("exact").alias("kind"), "relevant"), "trial_labels")
+    return embedder_trial_of(rows, pool, asked(spark, d), labels, {"small": providers.HashedWords(32), "large": providers.HashedWords(256)}, 10)
+
+
 MODEL_SQL = "case quality when 0 then 'both' when 1 then 'holding' else null end"
 
 

@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenry.functions import text as T
 from lumenry.operators import dense, descent, evaluation, ivf, lexical, places, postings
 from lumenry.plans import providers
-from lumenry.plans.search import Engine
+from lumenry.plans.search import Engine, embedder_trial
 
 TEXTS = ["Section 9 bars the suit.", "the appeal fails on limitation", "costs follow the event", "notice was served in time", "Section 9 again with AIR 1974", "zebra crossing case"]
 QUERIES = "query_id long, query string"
@@ -73,6 +74,38 @@ def test_empty_queries_are_errors(spark, engine, search):
             getattr(engine, search)(spark.createDataFrame([(1, "good"), (2, text)], QUERIES), 1)
 
 
+def test_a_pool_and_two_embedders(spark, engine):
+    """Searches of a pool find nothing else, and embedders are held against each other on it."""
+    pool = spark.createDataFrame([(1,), (2,), (5,), (5,)], "id long")
+    asked = spark.createDataFrame([(1, "Section 9 bars the suit."), (2, "zebra crossing")], QUERIES)
+    assert {r["id"] for r in engine.within(pool).dense(asked, 9).collect()} == {1, 2, 5}
+    labels = spark.createDataFrame([(1, "exact", [1]), (2, "exact", [5])], "query_id long, kind string, relevant array<long>")
+    kinds = {"one": providers.HashedWords(1), "many": providers.HashedWords(512)}
+    got = {(r["config"], r["kind"]): (r["n"], r["recall"], r["reciprocal_rank"]) for r in embedder_trial(engine.chunks, pool, asked, labels, kinds, 1).collect()}
+    texts = {i: TEXTS[i] for i in (1, 2, 5)}
+    want = {}
+    for name, e in kinds.items():
+        hits = []
+        for query, relevant in (("Section 9 bars the suit.", 1), ("zebra crossing", 5)):
+            scores = {i: round(float(np.float32(e.queries([query])[0]) @ np.float32(e.documents([t])[0])), 9) for i, t in texts.items()}
+            hits.append(min(scores, key=lambda i: (-scores[i], i)) == relevant)
+        want[name] = sum(hits) / 2
+    assert {c: got[c, "all"][1] for c in kinds} == want and got["many", "exact"][0] == 2
+
+
+def test_changed_rankings(spark):
+    rank = lambda *rows: spark.createDataFrame(rows, "query_id long, rank int, id long, score double")
+    before = rank((1, 1, 7, 0.5), (1, 2, 8, 0.4), (2, 1, 7, 0.1))
+    assert evaluation.changed(before, rank((1, 1, 7, 0.5000000001), (1, 2, 8, 0.4), (2, 1, 7, 0.1))).count() == 0
+    got = evaluation.changed(before, rank((1, 1, 8, 0.5), (1, 2, 8, 0.3), (1, 3, 9, 0.2))).collect()
+    assert {(r["query_id"], r["rank"]) for r in got} == {(1, 1), (1, 2), (1, 3), (2, 1)}
+
+
+def test_ids_of_chunks(spark):
+    df = spark.createDataFrame([("a#b#12",), ("doc",), ("doc#x",), ("#3",), ("a\n#4",), (None,)], "id string")
+    assert [tuple(r["p"]) for r in df.select(T.chunk_place(F.col("id")).alias("p")).collect()] == [("a#b", 12), ("doc", None), ("doc#x", None), ("", 3), ("a\n", 4), (None, None)]
+
+
 def words(rng, n):
     return " ".join(f"w{int(x)}" for x in np.minimum(rng.zipf(1.3, n), 400))
 

@@ -3,7 +3,6 @@
 import random
 from html.parser import HTMLParser
 
-import pytest
 from pyspark.sql import functions as F
 
 from lumenry.functions import markup
