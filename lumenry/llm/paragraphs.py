@@ -119,8 +119,8 @@ def split(texts: list[str | None], rules: Paragraphs) -> dict[str, np.ndarray]:
 
 
 def shingled(p: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingles of each paragraph, and bounds."""
-    start, end = p["start"], p["end"]
+    """Sorted distinct shingles of each paragraph that is no piece of a longer line, and bounds."""
+    start, end = p["start"][~p["inside"]], p["end"][~p["inside"]]
     counts = end - start
     made = np.maximum(counts - n + 1, 1)
     begin = rows_of(start, made)
@@ -158,16 +158,19 @@ def paragraph_table(docs: DataFrame, rules: Paragraphs = Paragraphs()) -> DataFr
     def run(rows):
         for piece in batches(rows):
             p = split(piece["text"], rules)
+            inside = p["inside"]
             h, at = shingled(p, rules.n)
-            pid = set_keys(h, at).view(np.int64)
-            size = np.diff(at).astype(np.int32)
-            banded = np.flatnonzero(~p["inside"])
-            _, lead = np.unique(pid[banded], return_index=True)
-            first = np.zeros(len(pid), bool)
-            first[banded[lead]] = True  # of copies in one batch, the first has bands
-            keys = band_keys(h, at, bands, rows_a_band, rules.seed)[first].view(np.int64)
-            own = np.repeat(first, size)
-            sig, words = bit_maps(h[own], np.concatenate(([0], np.cumsum(np.where(first, size, 0)))))
+            key = set_keys(h, at).view(np.int64)
+            _, lead = np.unique(key, return_index=True)
+            once = np.zeros(len(key), bool)
+            once[lead] = True  # of copies in one batch, the first has bands
+            keys = band_keys(h, at, bands, rows_a_band, rules.seed)[once].view(np.int64)
+            counts = np.diff(at)
+            sig, maps = bit_maps(h[np.repeat(once, counts)], np.concatenate(([0], np.cumsum(np.where(once, counts, 0)))))
+            pid, size, words, first = np.zeros(len(inside), np.int64), np.zeros(len(inside), np.int32), np.zeros(len(inside), np.int64), np.zeros(len(inside), bool)
+            pid[~inside], size[~inside], words[~inside], first[~inside] = key, counts, maps, once
+            # pieces of longer lines are told by their words in order
+            pid[inside] = mix64(Spans(p["words"]).of(p["start"][inside], p["end"][inside]) ^ np.uint64(rules.seed)).view(np.int64)
             lists = lambda x, sizes: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(x.reshape(-1).view(np.int64)))
             ids = np.array(piece["doc_id"], dtype=object)[p["text"]]
             yield pa.RecordBatch.from_arrays(

@@ -81,6 +81,24 @@ def test_ngram_join_of_many_near_copies(spark):
         assert got == sorted(brute_components(rows, 4, 85))
 
 
+def test_ngram_join_with_sets_fetched_by_a_join(spark, monkeypatch):
+    """More wanted sets than the filter holds: texts are joined, and the rows are the same."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(60):
+        words = [f"b{k}" for k in range(100)]
+        for at in rng.integers(0, 100, rng.integers(0, 6)):
+            words[at] = f"e{rng.integers(0, 30)}"
+        rows.append((i if i % 9 else None, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    join = ngram_join.Join(block=2, sketch_bits=8)
+    want = sorted(map(str, map(tuple, ngram_join.ngram_join(df, join).collect())))
+    calls, fetched = [], ngram_join.fetched
+    monkeypatch.setattr(ngram_join, "fetched", lambda *a: calls.append(1) or fetched(*a))
+    monkeypatch.setattr(ngram_join.bloom, "ROOM", 0)
+    assert sorted(map(str, map(tuple, ngram_join.ngram_join(df, join).collect()))) == want == sorted(map(str, brute_components(rows, 4, 85))) and calls
+
+
 def test_one_row_of_a_component_stays(spark):
     text = lambda k: " ".join(f"k{k}w{i}" for i in range(60))
     rows = [(1, text(1)), (1, text(1)), (1, text(1)), (None, text(1)), (None, text(1)), (2, text(2)), (3, text(2)), (3, text(3)), (None, text(4)), (None, text(4)), (None, text(5)), (4, ""), (4, "")]
