@@ -202,7 +202,8 @@ def repeated_paragraphs(docs: DataFrame, rules: Paragraphs = Paragraphs(), table
 
     components = connected_components(link(index, fetch, signatures, rules.percent, rules.block))
     # a paragraph's set is named by its component; sets without links name themselves
-    sets = table.groupBy("pid").agg(F.count("*").alias("n"))
+    # a piece of a longer line has no links: where it stands once, it has no copies
+    sets = table.groupBy("pid").agg(F.count("*").alias("n"), F.bool_and("inside").alias("inside")).where("n > 1 or not inside").drop("inside")
     named = stored(sets.join(components, sets["pid"] == components["id"], "left").select("pid", "n", F.coalesce("component", "pid").alias("component")), "named")
     several = named.groupBy("component").agg(F.sum("n").alias("all")).where(F.col("all") > 1)
     lit = stored(named.join(several.select("component"), "component", "left_semi"), "several")
