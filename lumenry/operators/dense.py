@@ -10,17 +10,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from .lexical import top_k
 
+#: Queries of a block that are scored at once, and how far below the k-th score one may be that equals it once rounded.
+SLICE, NEAR = 256, 1e-11
+
 
 def _blocks(n: int, most: int, tasks: int) -> int:
     return max(1, math.ceil(n / most), min(tasks, n // 256))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "query_id", id: str = "id", vector: str = "embedding", skip_self: bool = False, block_rows: int = 4096, n_queries: int | None = None, n_corpus: int | None = None) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "query_id", id: str = "id", vector: str = "embedding", skip_self: bool = False, block_rows: int = 16384, n_queries: int | None = None, n_corpus: int | None = None) -> DataFrame:
     """query_id, rank, id, score: the k vectors of greatest dot product. Vectors are taken as normalised.
 
     Queries and corpus are dealt into blocks by hash, and each pair of blocks is one matrix product; only the k best of
-    each query leave it. Nothing is broadcast, and a task holds two blocks whatever the number of vectors. A search is
-    exact, so work grows with queries times corpus, spread over all pairs of blocks. Sides whose numbers of rows are known,
+    each query leave it. Nothing is broadcast, and a task holds two blocks whatever the number of vectors, and the scores of
+    some queries at a time. A search is exact, so work grows with queries times corpus, spread over all pairs of blocks. Sides whose numbers of rows are known,
     which only set the numbers of blocks, needn't be counted.
     """
     if k <= 0:
@@ -38,15 +41,22 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "query_id"
         matrix = lambda t: np.stack(t["v"].to_numpy(zero_copy_only=False)).astype(np.float64)
         qids, ids = left["query_id"].to_numpy(), right["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
-        ids, scores = ids[order], np.round(matrix(left) @ matrix(right)[order].T, 12)
-        if skip_self:
-            scores[qids[:, None] == ids[None, :]] = -np.inf
-        keep = min(k, len(ids))
-        at = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
-        rows = np.repeat(np.arange(len(qids)), keep)
-        value = scores[rows, at.ravel()]
-        real = np.isfinite(value)
-        return pa.table({"query_id": qids[rows][real], "id": ids[at.ravel()][real], "score": value[real]})
+        ids, held = ids[order], matrix(right)[order].T
+        keep, asked, parts = min(k, len(ids)), matrix(left), []
+        for begin in range(0, len(qids), SLICE):
+            scores = asked[begin : begin + SLICE] @ held
+            if skip_self:
+                scores[qids[begin : begin + SLICE, None] == ids[None, :]] = -np.inf
+            # only what may be among the k best once rounded is rounded and sorted
+            least = np.partition(scores, len(ids) - keep, axis=1)[:, len(ids) - keep, None] - NEAR
+            row, at = np.nonzero(scores >= least)
+            value = np.round(scores[row, at], 12)
+            order = np.lexsort((at, -value, row))
+            row, at, value = row[order], at[order], value[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            real = (place < keep) & np.isfinite(value)
+            parts.append((qids[begin + row[real]], ids[at[real]], value[real]))
+        return pa.table(dict(zip(("query_id", "id", "score"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
     scored = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(best, "query_id long, id long, score double")
     return top_k(scored, k).select("query_id", "rank", "id", "score")
