@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.patterns import LEGAL, PatternSet
+from ..storage import stored
+from .places import numbered
 
 BUDGET = 6000
 NO_SOURCES = "(no sources retrieved)"
@@ -48,11 +50,14 @@ def prompts(queries: DataFrame, packed: DataFrame, remind: bool = True) -> DataF
 def source_lines(results: DataFrame, warnings: DataFrame, patterns: PatternSet = LEGAL) -> DataFrame:
     """results(query_id, rank, id, court, text) with a line for a reader: number, stance, court, text and what to beware of.
 
-    warnings: id, warning.
+    warnings: id, warning. Rows are numbered over the whole table by ranges, from which each query's first place is taken, so
+    that no task has all of one query's texts.
     """
-    number = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    placed, _ = numbered(results, "query_id", "rank", place="__place")
+    first = stored(placed.groupBy(F.col("query_id").alias("__query")).agg(F.min("__place").alias("__first")), "first_places")
     head = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] ("), T.stance_note(T.stance(F.col("text"), patterns)), F.lit(") "), F.coalesce("court", F.lit("unknown court")), F.lit(": "), "text")
-    lines = results.join(warnings, "id", "left").withColumn("n", number)
+    lines = placed.join(first, F.col("query_id").eqNullSafe(F.col("__query"))).withColumn("n", (F.col("__place") - F.col("__first") + 1).cast("int"))
+    lines = lines.drop("__place", "__query", "__first").join(warnings, "id", "left")
     return lines.withColumn("line", F.concat(head, F.coalesce(F.concat(F.lit("\nCAUTION: "), "warning"), F.lit("")))).drop("warning")
 
 
