@@ -105,3 +105,20 @@ def test_chunks_are_made_of_some_texts_at_a_time():
     parts = list(chunk.some_texts(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string()), "n": list(range(6))}), 1000))
     assert [p.column("n").to_pylist() for p in parts] == [[0, 1], [2], [3, 4, 5]]
     assert list(chunk.some_texts(pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())}))) == []
+
+
+def test_stored_search_of_many_long_queries_scores_blocks(spark, monkeypatch):
+    """Queries by blocks by terms are no rows of a shuffle."""
+    from lumenry.operators import postings
+
+    draw = random.Random(6)
+    texts = [(i, " ".join(f"w{int(draw.paretovariate(0.6)) % 200}" for _ in range(draw.randrange(0, 50)))) for i in range(150)] + [(500 + i, "w1 w2 w2") for i in range(9)]
+    corpus = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    asked = spark.createDataFrame([*texts[::10], (-1, "unheard"), (-2, "")], "query_id long, query string")
+    index = postings.build(corpus, buckets=4, block_texts=16)
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 6)) for r in df.collect())
+    want = rows(postings.search(index, asked, 4))
+    monkeypatch.setattr(postings, "BOUNDED", 10)
+    monkeypatch.setattr(postings, "kept_blocks", None)
+    monkeypatch.setattr(lexical, "BLOCK_TEXTS", 50)
+    assert rows(postings.search(index, asked, 4)) == want
