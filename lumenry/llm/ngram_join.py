@@ -8,8 +8,9 @@
 4. Where members of a shingle are still in different components, the remaining pairs are filtered and verified in
    blocks; no link is lost, and no list of all pairs is made. A second pass over components ends it.
 
-The suffix filter compares maps of eight bits or more a shingle, in which each shingle sets the bit of its hash: bits that
-only one map has are shingles that only one set has, which bounds the overlap. Shingles are 64-bit hashes; equal sets
+The suffix filter compares maps of counters of four bits, one for four shingles or fewer, in which each shingle counts at
+its hash: the lesser counts of both maps bound the overlap. A token's group of two members whose sizes and places rule a
+link out is left before maps are sent. Shingles are 64-bit hashes; equal sets
 share a 64-bit key, so all copies of a text count as one set.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; repeated rows are copies of each
@@ -20,7 +21,6 @@ of any length count whole; of ties, the least doc_id names a component; extra co
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import bloom
 from .common import batches, bounded, hot_keys, rows_of, salted_join, stored
 from .graph import connected_components
-from .shingles import bit_maps, most_common, set_keys, shingle_hashes, shingle_sets
+from .shingles import count_maps, map_bytes, most_common, set_keys, shingle_hashes, shingle_sets
 
 SKETCH_SLICES = 64
 
@@ -104,7 +104,7 @@ def text_digest() -> Column:
 
 
 def described(docs: DataFrame, counts: np.ndarray, join: Join, digests: bool = False) -> DataFrame:
-    """doc_id, sid (the set's key), size, sig (its map of bits) and the prefix's tokens, rarest first.
+    """doc_id, sid (the set's key), size, sig (its map of counters) and the prefix's tokens, rarest first.
 
     Of copies in one batch, only the first has a map and tokens. With digests, also the text's.
     """
@@ -127,15 +127,15 @@ def described(docs: DataFrame, counts: np.ndarray, join: Join, digests: bool = F
             place = np.arange(len(h)) - np.repeat(at[:-1], sizes)
             tokens = h[order[place < taken[owner]]].view(np.int64)
             own = mine[owner]
-            sig, words = bit_maps(h[own], np.concatenate(([0], np.cumsum(np.where(mine, sizes, 0)))))
+            sig = count_maps(h[own], np.concatenate(([0], np.cumsum(np.where(mine, sizes, 0)))))
             more = [pa.array(piece["digest"], pa.int64())] if digests else []
             yield pa.RecordBatch.from_arrays(
-                [pa.array(piece["doc_id"], pa.int64()), pa.array(keys.view(np.int64)), pa.array(sizes.astype(np.int32)), lists(sig.view(np.int64), words, pa.int64()), lists(tokens, taken, pa.int64()), *more],
+                [pa.array(piece["doc_id"], pa.int64()), pa.array(keys.view(np.int64)), pa.array(sizes.astype(np.int32)), sig, lists(tokens, taken, pa.int64()), *more],
                 names=["doc_id", "sid", "size", "sig", "tokens", *["digest"] * digests],
             )
 
     asked = [F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), *[text_digest().alias("digest")] * digests]
-    return docs.select(*asked).mapInArrow(run, "doc_id long, sid long, size int, sig array<long>, tokens array<long>" + ", digest long" * digests)
+    return docs.select(*asked).mapInArrow(run, "doc_id long, sid long, size int, sig binary, tokens array<long>" + ", digest long" * digests)
 
 
 def _fits(percent: int):
@@ -152,7 +152,7 @@ def link(index: DataFrame, fetch: Callable[[DataFrame], DataFrame], signatures:
     """Links (a, b) that span the components of all pairs that share a token and whose Jaccard similarity is enough.
 
     index: token, sid, size, place. fetch: ids (sid) to their sets (sid, items, sorted). signatures: ids (sid) to
-    their maps of bits (sid, sig).
+    their maps (sid, sig).
     """
     ends = index.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token")
     members = stored(index.join(ends, "token").select("token", "sid", "size", "place"), "members")
@@ -169,17 +169,20 @@ def link(index: DataFrame, fetch: Callable[[DataFrame], DataFrame], signatures:
 
 
 def _suffix(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, size_a, size_b) whose sets could overlap enough, judged by their maps of bits."""
+    """Pairs (a, b, size_a, size_b) whose sets could overlap enough, judged by their maps."""
     joined = pairs.join(sigs.select(F.col("sid").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("sid").alias("b"), F.col("sig").alias("sig_b")), "b")
-    # sizes fit, so one map has at most so many times as many words as the other
-    for _ in range(math.ceil(math.log2(100 / percent))):
-        for mine, other in (("sig_a", "sig_b"), ("sig_b", "sig_a")):
-            half = (F.size(mine) / 2).cast("int")
-            folded = F.zip_with(F.slice(mine, 1, half), F.slice(mine, half + 1, half), lambda x, y: x.bitwiseOR(y))
-            joined = joined.withColumn(mine, F.when(F.size(mine) > F.size(other), folded).otherwise(F.col(mine)))
-    lacking = lambda mine, other: F.aggregate(F.zip_with(mine, other, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
-    most = F.least(F.col("size_a") - lacking("sig_a", "sig_b"), F.col("size_b") - lacking("sig_b", "sig_a"))
-    return joined.where(most * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+
+    def run(batches):
+        for batch in batches:
+            a, b, sizes = batch.column("a"), batch.column("b"), np.concatenate([batch.column(c).to_numpy() for c in ("size_a", "size_b")]).astype(np.int64)
+            flat, begin, room = map_bytes(pa.chunked_array([batch.column("sig_a"), batch.column("sig_b")]))
+            n, fine = batch.num_rows, np.zeros(batch.num_rows, bool)
+            for x, y in _slices(np.maximum(room[:n], room[n:]), WORK_BYTES):
+                i = np.arange(x, y)
+                fine[x:y] = _enough(most_common(flat, begin, room, sizes, i, i + n), sizes[i], sizes[i + n], percent)
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(fine))
+
+    return joined.mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -192,8 +195,8 @@ def verify(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: i
     return both.select("a", "b", common.alias("n"), (F.size("items_a") + F.size("items_b")).alias("m")).where((100 + percent) * F.col("n") >= percent * F.col("m")).select("a", "b")
 
 
-#: Words of maps that are compared at a time.
-WORDS = 1 << 20
+#: Bytes of maps that are compared at a time.
+WORK_BYTES = 1 << 21
 WORK = "token long, other boolean, x int, y int, sid long, size int, component long, inner boolean, block int"
 
 
@@ -242,19 +245,22 @@ def _remaining(members: DataFrame, pivots: DataFrame, links: DataFrame, sigs: Da
     own = components.select(F.col("id").alias("sid"), "component")
     root = components.select(F.col("id").alias("p"), F.col("component").alias("root"))
     lit = members.join(pivots.select("token", "p"), "token").join(own, "sid", "left").join(root, "p", "left")
-    lit = lit.select("token", "sid", "size", F.coalesce("component", "sid").alias("component"), (F.coalesce("component", "sid") == F.coalesce("root", "p")).alias("inner")).dropDuplicates(["token", "sid"])
+    lit = lit.select("token", "sid", "size", "place", F.coalesce("component", "sid").alias("component"), (F.coalesce("component", "sid") == F.coalesce("root", "p")).alias("inner")).dropDuplicates(["token", "sid"])
     # tokens of the same members are one group: the least such token stands for all
     pick = lambda seed: F.sum(F.xxhash64("sid", F.lit(seed)).cast("decimal(38,0)"))
-    groups = lit.groupBy("token").agg(F.count_if("inner").alias("m"), F.count_if(~F.col("inner")).alias("o"), pick(1).alias("h1"), pick(2).alias("h2")).where("o > 0")
+    groups = lit.groupBy("token").agg(F.count_if("inner").alias("m"), F.count_if(~F.col("inner")).alias("o"), pick(1).alias("h1"), pick(2).alias("h2"), *(f(F.struct("sid", "size", "place")).alias(c) for f, c in ((F.min, "a"), (F.max, "b")))).where("o > 0")
+    # most groups are pairs, which sizes and places tell already
+    groups = groups.select("token", "m", "o", "h1", "h2", *(F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("size", "place")))
+    groups = groups.where((F.col("m") + F.col("o") > 2) | _fits(percent))
     groups = groups.groupBy("m", "o", "h1", "h2").agg(F.min("token").alias("token"))
-    blocks = groups.select("token", F.ceil(F.col("m") / (4 * block)).cast("int").alias("ms"), F.ceil(F.col("o") / block).cast("int").alias("os"))
+    blocks = groups.select("token", (F.col("o") == 1).alias("single"), F.ceil(F.col("m") / (4 * block)).cast("int").alias("ms"), F.ceil(F.col("o") / block).cast("int").alias("os"))
     rows = lit.join(blocks, "token").join(sigs, "sid")
     mine = F.pmod(F.xxhash64("sid"), F.when(F.col("inner"), F.col("ms")).otherwise(F.col("os"))).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
     work = lambda other, x, y: F.struct(F.lit(other).alias("other"), x.cast("int").alias("x"), y.cast("int").alias("y"))
     meets = F.transform(upto(F.col("ms")), lambda j: work(False, F.col("block"), j))
     alike = F.transform(upto(F.col("os")), lambda j: work(True, F.least("block", j), F.greatest("block", j)))
-    tasks = F.when(F.col("inner"), F.transform(upto(F.col("os")), lambda i: work(False, i, F.col("block")))).otherwise(F.concat(meets, alike))
+    tasks = F.when(F.col("inner"), F.transform(upto(F.col("os")), lambda i: work(False, i, F.col("block")))).otherwise(F.when(F.col("single"), meets).otherwise(F.concat(meets, alike)))
     dealt = rows.withColumn("block", mine).select("token", "sid", "size", "component", "inner", "block", "sig", F.explode(tasks).alias("w"))
     names = ["token", "other", "x", "y", "sid", "size", "component", "inner", "block"]
     dealt = dealt.select("token", "w.other", "w.x", "w.y", *names[4:], "sig")
@@ -262,9 +268,7 @@ def _remaining(members: DataFrame, pivots: DataFrame, links: DataFrame, sigs: Da
     def possible(t: pa.Table) -> np.ndarray:
         """Which members have a partner in another component that passes the filters; t holds whole pieces of work."""
         size, comp = t["size"].to_numpy().astype(np.int64), t["component"].to_numpy()
-        sig = t["sig"].combine_chunks()
-        begin, flat = sig.offsets.to_numpy().astype(np.int64), sig.values.to_numpy().view(np.uint64)
-        begin, words = begin[:-1], np.diff(begin)
+        flat, begin, room = map_bytes(t["sig"])
         other, inner = (t[c].to_numpy(zero_copy_only=False) for c in ("other", "inner"))
         where, x, y = (t[c].to_numpy() for c in ("block", "x", "y"))
         unit = np.cumsum(_changes(t)) - 1
@@ -273,12 +277,12 @@ def _remaining(members: DataFrame, pivots: DataFrame, links: DataFrame, sigs: Da
         many = np.diff(first)[unit[left]]
         alive = np.zeros(len(size), bool)
         # partners of each left member one after another, a bounded number of pairs at a time
-        for a, b in _slices(many * words[left], WORDS):
+        for a, b in _slices(many * room[left], WORK_BYTES):
             i = np.repeat(left[a:b], many[a:b])
             j = right[rows_of(first[unit[left[a:b]]], many[a:b])]
             fine = (comp[i] != comp[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])) & ~(alive[i] & alive[j])
             i, j = i[fine], j[fine]
-            fine = _enough(most_common(flat, begin, words, size, i, j), size[i], size[j], percent)
+            fine = _enough(most_common(flat, begin, room, size, i, j), size[i], size[j], percent)
             alive[i[fine]] = True
             alive[j[fine]] = True
         return alive

@@ -31,7 +31,7 @@ from .common import batches, bounded, hot_keys, rows_of, salted_join, stored
 from .graph import connected_components
 from .hashing import Spans, mix64
 from .ngram_join import fetched, link
-from .shingles import bit_maps, set_keys, word_hashes
+from .shingles import count_maps, set_keys, word_hashes
 
 
 @dataclass(frozen=True)
@@ -166,19 +166,19 @@ def paragraph_table(docs: DataFrame, rules: Paragraphs = Paragraphs()) -> DataFr
             once[lead] = True  # of copies in one batch, the first has bands
             keys = band_keys(h, at, bands, rows_a_band, rules.seed)[once].view(np.int64)
             counts = np.diff(at)
-            sig, maps = bit_maps(h[np.repeat(once, counts)], np.concatenate(([0], np.cumsum(np.where(once, counts, 0)))))
-            pid, size, words, first = np.zeros(len(inside), np.int64), np.zeros(len(inside), np.int32), np.zeros(len(inside), np.int64), np.zeros(len(inside), bool)
-            pid[~inside], size[~inside], words[~inside], first[~inside] = key, counts, maps, once
+            sig = count_maps(h[np.repeat(once, counts)], np.concatenate(([0], np.cumsum(np.where(once, counts, 0)))))
+            pid, size, own, first = np.zeros(len(inside), np.int64), np.zeros(len(inside), np.int32), np.full(len(inside), -1), np.zeros(len(inside), bool)
+            pid[~inside], size[~inside], own[~inside], first[~inside] = key, counts, np.arange(len(key)), once
             # pieces of longer lines are told by their words in order
             pid[inside] = mix64(Spans(p["words"]).of(p["start"][inside], p["end"][inside]) ^ np.uint64(rules.seed)).view(np.int64)
             lists = lambda x, sizes: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(x.reshape(-1).view(np.int64)))
             ids = np.array(piece["doc_id"], dtype=object)[p["text"]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(p["no"].astype(np.int32)), pa.array(p["first_word"].astype(np.int32)), pa.array(p["last_word"].astype(np.int32)), pa.array(p["inside"]), pa.array(pid), pa.array(size), lists(sig, words), lists(keys, first * bands)],
+                [pa.array(ids, pa.int64()), pa.array(p["no"].astype(np.int32)), pa.array(p["first_word"].astype(np.int32)), pa.array(p["last_word"].astype(np.int32)), pa.array(p["inside"]), pa.array(pid), pa.array(size), sig.take(pa.array(own, mask=inside)), lists(keys, first * bands)],
                 names=["doc_id", "no", "first_word", "last_word", "inside", "pid", "size", "sig", "bands"],
             )
 
-    schema = "doc_id long, no int, first_word int, last_word int, inside boolean, pid long, size int, sig array<long>, bands array<long>"
+    schema = "doc_id long, no int, first_word int, last_word int, inside boolean, pid long, size int, sig binary, bands array<long>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from .common import rows_of
 from .hashing import MIX_B, Spans, mix64
@@ -57,34 +58,47 @@ def set_keys(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(sizes == 0, np.uint64(0), key)
 
 
-#: Bits of a set's map for each of its shingles, at least.
-ROOM = 8
+#: Shingles of a set for each counter of its map, at most; and the greatest count that a counter holds.
+SHARED, MOST = 4, 15
 
 
-def bit_maps(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A map of bits for each set, in words of 64, and how many words: a shingle's bit is its hash modulo the map's size.
+def count_maps(hashes: np.ndarray, at: np.ndarray) -> pa.BinaryArray:
+    """A map of each set: how many of its shingles fall on each counter, by their hash modulo the number of counters.
 
-    Sizes are powers of two, so that a map folded in half is the map of half the size.
+    Numbers of counters are powers of two, so that a map whose halves are added is the map of half the size. A byte holds
+    a counter of the first half and, in its upper four bits, one of the second. An empty set's map is empty.
     """
     sizes = np.diff(at)
-    words = np.where(sizes > 0, 1 << np.ceil(np.log2(np.maximum(ROOM * sizes / 64, 1))).astype(np.int64), 0)
-    first = np.cumsum(words) - words
+    room = np.where(sizes > 0, 2 << np.ceil(np.log2(np.maximum(sizes / SHARED / 2, 1))).astype(np.int64), 0)
+    first = np.cumsum(room) - room
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    bit = (hashes & (words[owner] * 64 - 1).astype(np.uint64)).astype(np.int64)
-    flags = np.zeros(int(words.sum()) * 64, bool)
-    flags[first[owner] * 64 + bit] = True
-    return np.packbits(flags, bitorder="little").view("<u8"), words
+    place = first[owner] + (hashes & (room[owner] - 1).astype(np.uint64)).astype(np.int64)
+    counts = np.minimum(np.bincount(place, minlength=int(room.sum())), MOST).astype(np.uint8)
+    low = rows_of(first, room // 2)
+    packed = counts[low] | counts[low + np.repeat(room // 2, room // 2)] << np.uint8(4)
+    ends = np.concatenate(([0], np.cumsum(room // 2))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(packed.tobytes())])
 
 
-def most_common(flat: np.ndarray, first: np.ndarray, words: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """A bound on the overlap of sets i and j: a set has a shingle of its own for each bit that the other's map lacks."""
+def map_bytes(maps: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of maps, none of them null, where each map begins and how many bytes it has."""
+    maps = pa.concat_arrays(maps.chunks) if isinstance(maps, pa.ChunkedArray) else maps
+    ends = np.frombuffer(maps.buffers()[1], np.int32)[maps.offset : maps.offset + len(maps) + 1].astype(np.int64)
+    return np.frombuffer(maps.buffers()[2] or b"", np.uint8), ends[:-1], np.diff(ends)
+
+
+def most_common(flat: np.ndarray, first: np.ndarray, room: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A bound on the overlap of sets i and j: of shingles on one counter, no more are common than the lesser count; those
+    that a full counter left out are a set's size less its counts."""
     out = np.zeros(len(i), np.int64)
-    kind = words[i] * (1 << 32) + words[j]
+    kind = room[i] * (1 << 32) + room[j]
     for k in np.unique(kind):
         at = np.flatnonzero(kind == k)
-        a, b = (flat[first[x[at]][:, None] + np.arange(int(words[x[at[0]]]))] for x in (i, j))
+        a, b = (flat[first[x[at]][:, None] + np.arange(int(room[x[at[0]]]))] for x in (i, j))
+        a, b = (np.concatenate((x & 15, x >> 4), axis=1).astype(np.uint16) for x in (a, b))
         while a.shape[1] != b.shape[1]:
             half = max(a.shape[1], b.shape[1]) // 2
-            a, b = (x[:, :half] | x[:, half:] if x.shape[1] > half else x for x in (a, b))
-        out[at] = np.minimum(size[i[at]] - np.bitwise_count(a & ~b).sum(1), size[j[at]] - np.bitwise_count(b & ~a).sum(1))
+            a, b = (x[:, :half] + x[:, half:] if x.shape[1] > half else x for x in (a, b))
+        left = np.minimum(size[i[at]] - a.sum(1, dtype=np.int64), size[j[at]] - b.sum(1, dtype=np.int64))
+        out[at] = np.minimum(a, b).sum(1, dtype=np.int64) + left
     return out
