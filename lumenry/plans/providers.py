@@ -31,17 +31,33 @@ class Model(Protocol):
     def complete(self, system: str, prompt: str) -> str: ...
 
 
+class Places(dict):
+    """Of each word its place, or with sign -1 its place after `dim` more: digests are taken once, and forgotten beyond MOST words."""
+
+    MOST = 500_000
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        d = hashlib.md5(word.encode()).digest()
+        if len(self) >= self.MOST:
+            self.clear()
+        place = self[word] = int.from_bytes(d[:4], "big") % self.dim + (0 if d[4] & 1 else self.dim)
+        return place
+
+
 class HashedWords:
     """Signed counts of words in places given by a digest; unit length, zeros for a text without words."""
 
     def __init__(self, dim: int = 64, prefix: str = ""):
         self.dim, self.prefix, self.name = dim, prefix, f"hashed-words-{dim}"
+        self.places = Places(dim)
 
     def _one(self, text: str) -> np.ndarray:
-        out = np.zeros(self.dim)
-        for w in re.findall(r"[a-z0-9]+", text.lower()):
-            d = hashlib.md5(w.encode()).digest()
-            out[int.from_bytes(d[:4], "big") % self.dim] += 1 if d[4] & 1 else -1
+        places = list(map(self.places.__getitem__, re.findall(r"[a-z0-9]+", text.lower())))
+        counts = np.bincount(np.array(places, np.int64), minlength=2 * self.dim)
+        out = (counts[: self.dim] - counts[self.dim :]).astype(float)
         return out / max(float(np.linalg.norm(out)), 1e-9)
 
     def documents(self, texts: list[str]) -> np.ndarray:
