@@ -122,3 +122,55 @@ def test_stored_search_of_many_long_queries_scores_blocks(spark, monkeypatch):
     monkeypatch.setattr(postings, "kept_blocks", None)
     monkeypatch.setattr(lexical, "BLOCK_TEXTS", 50)
     assert rows(postings.search(index, asked, 4)) == want
+
+
+def kept_plans(monkeypatch):
+    """What is stored as best rows from now on."""
+    held, stored = [], lexical.stored
+
+    def keep(df, name):
+        out = stored(df, name)
+        if name == "best":
+            held.append((df._jdf.queryExecution().executedPlan().toString(), out.count()))
+        return out
+
+    monkeypatch.setattr(lexical, "stored", keep)
+    return held
+
+
+def test_bm25_shuffles_neither_texts_nor_terms_of_queries(spark, monkeypatch):
+    """Lists of texts were shuffled once for each block of queries, those of queries once for each block of texts."""
+    draw = random.Random(8)
+    texts = [(f"{i:03}", ["all"] + [f"w{int(draw.paretovariate(0.6)) % 300}" for _ in range(draw.randrange(0, 40))]) for i in range(120)]
+    texts += [(f"a{99 - i}", ["same", "words", "all"]) for i in range(60)]  # equal scores, the least ids last
+    corpus = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "id string, text string").coalesce(1)
+    queries = [(f"q{i}", w) for i, w in texts[::5]]
+    asked = spark.createDataFrame([(i, " ".join(w)) for i, w in queries], "query_id string, query string")
+    for name, value in (("ROW_TEXTS", 8), ("BLOCK_TEXTS", 20), ("BLOCK_QUERIES", 10), ("SLICE", 3)):
+        monkeypatch.setattr(lexical, name, value)
+    held = kept_plans(monkeypatch)
+    found = lexical.bm25(corpus, asked, 3)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["id"], round(r["score"], 6)))
+    assert got == brute_force(texts, queries, 3)
+    assert len(held) == 4 and all("Exchange" not in plan for plan, _ in held)
+    tasks = max(lexical.TASKS, 2 * spark.sparkContext.defaultParallelism)
+    assert sum(n for _, n in held) <= 3 * len(queries) * tasks
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "terms" not in plan and "places" not in plan
+
+
+def test_bm25_of_repeated_and_missing_ids(spark, monkeypatch):
+    """Texts of one id add up wherever they stand; one of none is a result like others."""
+    texts = [(i % 7 if i % 11 else None, "red " * (1 + i % 3) + "w" * (1 + i % 5) + " blue" * (i % 4 == 1)) for i in range(60)]
+    corpus = spark.createDataFrame(texts, "id long, text string").repartition(5)
+    asked = spark.createDataFrame([(1, "red blue"), (2, "www w"), (None, "blue")], "query_id long, query string")
+    monkeypatch.setattr(lexical, "ROW_TEXTS", 4)
+    monkeypatch.setattr(lexical, "BLOCK_TEXTS", 6)
+    key = lambda i: -1 if i is None else i
+    want = brute_force([(key(i), t.split()) for i, t in texts], [(1, ["red", "blue"]), (2, ["www", "w"]), (-1, ["blue"])], 3)
+    got = {}
+    for r in sorted(lexical.bm25(corpus, asked, 3).collect(), key=lambda r: (key(r["query_id"]), r["rank"])):
+        got.setdefault(key(r["query_id"]), []).append((key(r["id"]), round(r["score"], 6)))
+    assert got == want
