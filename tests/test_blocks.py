@@ -174,3 +174,25 @@ def test_bm25_of_repeated_and_missing_ids(spark, monkeypatch):
     for r in sorted(lexical.bm25(corpus, asked, 3).collect(), key=lambda r: (key(r["query_id"]), r["rank"])):
         got.setdefault(key(r["query_id"]), []).append((key(r["id"]), round(r["score"], 6)))
     assert got == want
+
+
+def test_stored_search_of_many_queries_reads_blocks_where_they_lie(spark, monkeypatch):
+    """Postings of the index were shuffled to their terms, then once more for each block of queries."""
+    from lumenry.operators import postings
+
+    draw = random.Random(9)
+    texts = [(i, [f"w{int(draw.paretovariate(0.6)) % 200}" for _ in range(draw.randrange(0, 50))]) for i in range(90)] + [(700 - i, ["w1", "w2", "w2"]) for i in range(40)]
+    corpus = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "id long, text string").repartition(2)
+    queries = [(i, w) for i, w in texts[::7]]
+    asked = spark.createDataFrame([(i, " ".join(w)) for i, w in queries], "query_id long, query string")
+    index = postings.load(spark, postings.build(corpus, buckets=4, block_texts=16).path)
+    for module, name, value in ((postings, "BOUNDED", 10), (postings, "SENT", 5), (lexical, "BLOCK_TEXTS", 40), (lexical, "BLOCK_QUERIES", 10)):
+        monkeypatch.setattr(module, name, value)
+    held = kept_plans(monkeypatch)
+    found = postings.search(index, asked, 4)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["id"], round(r["score"], 6)))
+    assert got == brute_force(texts, queries, 4)
+    assert len(held) == 2 and all("Exchange" not in plan for plan, _ in held)
+    assert "places" not in found._jdf.queryExecution().executedPlan().toString()
