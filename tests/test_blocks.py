@@ -196,3 +196,20 @@ def test_stored_search_of_many_queries_reads_blocks_where_they_lie(spark, monkey
     assert got == brute_force(texts, queries, 4)
     assert len(held) == 2 and all("Exchange" not in plan for plan, _ in held)
     assert "places" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_is_laid_out_by_a_row_a_block_and_bucket(spark, monkeypatch):
+    """Each term of each block was a row of the shuffle."""
+    from lumenry.operators import postings
+
+    draw = random.Random(10)
+    texts = [(i, " ".join(f"w{int(draw.paretovariate(0.6)) % 200}" for _ in range(draw.randrange(0, 50)))) for i in range(100)] + [(200, None)]
+    corpus = spark.createDataFrame(texts, "id long, text string").coalesce(1)
+    monkeypatch.setattr(postings, "FILE_TEXTS", 40)
+    index = postings.build(corpus, buckets=4, block_texts=16)
+    packed = postings._blocks(index.whole, index.mean_length, 4, index.k1, index.b)
+    assert packed.count() <= index.blocks * 5 < index.table.count()
+    flat = lambda df: {(r["term"], r["id"]): r["tf"] for r in df.collect()}
+    assert flat(postings.flat(index)) == flat(lexical.postings(lexical.tokens_table(corpus)))
+    own = postings.texts(index).collect()
+    assert {r["id"]: r["dl"] for r in own} == {i: len((t or "").split()) for i, t in texts} and len(own) == 101
